@@ -30,7 +30,7 @@ GROUP_ITEMS, FAN_IN = 50_000, 8
 #: Free tokens up to which a bin counts as nearly full.
 SLACK = 8
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -51,7 +51,11 @@ def _tokenizer(path: str):
 
 
 class ChunkIds(dict):
-    """Ids of texts between blanks. The tokenizer drops blanks and no token spans one, so chunks are encoded apart."""
+    """Ids of texts between blanks. The tokenizer drops blanks and no token spans one, so chunks are encoded apart.
+
+    A chunk of letters, with or without one full stop or comma behind it, is its letters' ids (in lower case) and the
+    mark's. Chunks and letter runs seen before come from bounded caches.
+    """
 
     def __init__(self, path: str) -> None:
         self.path = path
@@ -59,29 +63,62 @@ class ChunkIds(dict):
 
     def reset(self) -> None:
         self.clear()
+        self.cores: dict[str, int] = {"": 0, ".": 1, ",": 2}
         self.new: list[str] = []
-        self.flat, self.offs, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts: list[int] = []  # of each new chunk: its core, and what is behind it
+        self.known = np.zeros((0, 2), np.int64)
+        marks = [e.ids for e in _tokenizer(self.path).encode_batch([".", ","], add_special_tokens=False)]
+        self.flat = np.array([i for x in marks for i in x], np.uint32)
+        self.lens = np.array([0, *map(len, marks)], np.int64)
+        self.offs = np.cumsum(self.lens) - self.lens
 
     def __missing__(self, chunk: str) -> int:
-        self.new.append(chunk)
+        core, tail = chunk, 0
+        if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+            core, tail = chunk[:-1], 1 if chunk[-1] == "." else 2
+        if core.isascii() and core.isalpha():
+            core = core.lower()
+        if (k := self.cores.get(core)) is None:
+            k = self.cores[core] = len(self.cores)
+            self.new.append(core)
+        self.parts += k, tail
         self[chunk] = n = len(self)
         return n
 
+    def _encode_new(self) -> None:
+        tok, new = _tokenizer(self.path), self.new
+        letters = np.array([c.isalpha() for c in new])
+        lens = np.zeros(len(new), np.int64)
+        some = [c for c, a in zip(new, letters.tolist(), strict=True) if a]
+        e = tok.encode(" ".join(some), add_special_tokens=False)
+        of = np.array(e.word_ids, np.int64) if some else np.zeros(0, np.int64)
+        if len(of) and of[-1] + 1 != len(some):  # a letter that the normaliser takes apart
+            letters[:], of = False, of[:0]
+        ids = np.array(e.ids, np.uint32)[: len(of)]
+        lens[letters] = np.bincount(of, minlength=int(letters.sum()))
+        rest = [x.ids for x in tok.encode_batch([c for c, a in zip(new, letters.tolist(), strict=True) if not a], add_special_tokens=False)]
+        lens[~letters] = [len(x) for x in rest]
+        offs = np.zeros(len(new), np.int64)
+        offs[letters] = np.cumsum(lens[letters]) - lens[letters]
+        offs[~letters] = len(ids) + np.cumsum(lens[~letters]) - lens[~letters]
+        self.offs, self.lens = np.concatenate([self.offs, len(self.flat) + offs]), np.concatenate([self.lens, lens])
+        self.flat = np.concatenate([self.flat, ids, np.fromiter((i for x in rest for i in x), np.uint32)])
+        self.new = []
+
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the n + 1 offsets of the texts."""
-        if len(self) > CACHE_WORDS:
+        if len(self) > CACHE_WORDS or len(self.cores) > CACHE_WORDS:
             self.reset()
         get, codes = self.__getitem__, []
         for t in texts:
             codes.append(np.fromiter(map(get, t.replace("\n", " ").split(" ")), np.int64))
         if self.new:
-            found = [e.ids for e in _tokenizer(self.path).encode_batch(self.new, add_special_tokens=False)]
-            lens = np.fromiter(map(len, found), np.int64, len(found))
-            offs = len(self.flat) + np.cumsum(lens) - lens
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32, int(lens.sum()))])
-            self.offs, self.lens, self.new = np.concatenate([self.offs, offs]), np.concatenate([self.lens, lens]), []
-        sizes = np.array([self.lens[c].sum() for c in codes], np.int64)
-        return self.flat[spread(np.concatenate(codes), self.offs, self.lens)], np.concatenate([[0], np.cumsum(sizes)])
+            self._encode_new()
+        self.known = np.concatenate([self.known, np.array(self.parts, np.int64).reshape(-1, 2)])
+        self.parts = []
+        size = self.lens[self.known].sum(1)
+        sizes = np.array([size[c].sum() for c in codes], np.int64)
+        return self.flat[spread(self.known[np.concatenate(codes)].ravel(), self.offs, self.lens)], np.concatenate([[0], np.cumsum(sizes)])
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -8,19 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ruleweft.llm.bpe import bpe_round_trip
 from ruleweft.llm.common import table
+from ruleweft.llm.embed_dedup import embedding_near_dedup
+from ruleweft.llm.html_extract import extract
 from ruleweft.llm.packing import best_fit_packing
+from ruleweft.llm.quality import quality, train
+from ruleweft.llm.toxicity import toxicity
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op6_packing": op6_packing}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_quality, op6_packing, op9_html, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
