@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from ruleweft.llm.common import ids_and_text, slices, spread, strings
-from ruleweft.llm.packing import tokenizer_path
+from ruleweft.llm.packing import BYTE_CHARS, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 CACHE_WORDS = 400_000
@@ -29,24 +29,13 @@ CACHE_WORDS = 400_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def byte_chars() -> dict[str, int]:
-    """The printable stand-in of each byte in byte-level vocabularies: itself if printable, else the next from 256 on."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    out, n = {chr(b): b for b in plain}, 0
-    for b in range(256):
-        if b not in plain:
-            out[chr(256 + n)] = b
-            n += 1
-    return out
-
-
 class ByteBPE:
     """Vocabulary and merges of a byte-level BPE file as arrays."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab, chars = spec["model"]["vocab"], byte_chars()
+        vocab, chars = spec["model"]["vocab"], {c: b for b, c in BYTE_CHARS.items()}
         self.size = max([*vocab.values(), *(a["id"] for a in spec["added_tokens"])]) + 1
         raw = [b""] * self.size
         for t, i in vocab.items():

@@ -14,6 +14,8 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,16 @@ SLACK = 8
 CACHE_WORDS = 600_000
 
 
+def byte_chars() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself if printable, else the next from 256 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+BYTE_CHARS = byte_chars()
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -76,7 +88,7 @@ class ChunkIds(dict):
         core, tail = chunk, 0
         if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
             core, tail = chunk[:-1], 1 if chunk[-1] == "." else 2
-        if core.isascii() and core.isalpha():
+        if core.isalpha() and (core.isascii() or "\u03a3" not in core and is_normalized("NFC", core)):  # capital sigma's small form varies
             core = core.lower()
         if (k := self.cores.get(core)) is None:
             k = self.cores[core] = len(self.cores)
@@ -86,24 +98,21 @@ class ChunkIds(dict):
         return n
 
     def _encode_new(self) -> None:
-        tok, new = _tokenizer(self.path), self.new
-        letters = np.array([c.isalpha() for c in new])
-        lens = np.zeros(len(new), np.int64)
-        some = [c for c, a in zip(new, letters.tolist(), strict=True) if a]
-        e = tok.encode(" ".join(some), add_special_tokens=False)
-        of = np.array(e.word_ids, np.int64) if some else np.zeros(0, np.int64)
-        if len(of) and of[-1] + 1 != len(some):  # a letter that the normaliser takes apart
-            letters[:], of = False, of[:0]
-        ids = np.array(e.ids, np.uint32)[: len(of)]
-        lens[letters] = np.bincount(of, minlength=int(letters.sum()))
-        rest = [x.ids for x in tok.encode_batch([c for c, a in zip(new, letters.tolist(), strict=True) if not a], add_special_tokens=False)]
-        lens[~letters] = [len(x) for x in rest]
-        offs = np.zeros(len(new), np.int64)
-        offs[letters] = np.cumsum(lens[letters]) - lens[letters]
-        offs[~letters] = len(ids) + np.cumsum(lens[~letters]) - lens[~letters]
-        self.offs, self.lens = np.concatenate([self.offs, len(self.flat) + offs]), np.concatenate([self.lens, lens])
-        self.flat = np.concatenate([self.flat, ids, np.fromiter((i for x in rest for i in x), np.uint32)])
-        self.new = []
+        tok, found = _tokenizer(self.path), []
+        one = tok.model.tokenize
+        rest = [c for c in self.new if not self.plain(c)]
+        whole = iter(tok.encode_batch(rest, add_special_tokens=False))
+        for c in self.new:
+            found.append([t.id for t in one("".join(map(BYTE_CHARS.__getitem__, c.encode())))] if self.plain(c) else next(whole).ids)
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        self.offs = np.concatenate([self.offs, len(self.flat) + np.cumsum(lens) - lens])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(lens.sum()))])
+        self.lens, self.new = np.concatenate([self.lens, lens]), []
+
+    @staticmethod
+    def plain(core: str) -> bool:
+        """Letters that the normaliser and the pre-tokeniser leave as they are: one word for the merges alone."""
+        return core.isalpha() and core.islower() and (core.isascii() or is_normalized("NFC", core) and core.lower() == core)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the n + 1 offsets of the texts."""
