@@ -10,8 +10,10 @@ from ruleweft.llm.bpe import bpe_round_trip
 from ruleweft.llm.common import table
 from ruleweft.llm.embed_dedup import embedding_near_dedup
 from ruleweft.llm.html_extract import extract
+from ruleweft.llm.minhash import minhash_near_dedup
 from ruleweft.llm.packing import best_fit_packing
 from ruleweft.llm.quality import quality, train
+from ruleweft.llm.suffix_dedup import suffix_dedup
 from ruleweft.llm.toxicity import toxicity
 
 
@@ -28,10 +30,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -41,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_quality, op6_packing, op9_html, op10_toxicity)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_quality, op4_suffix_dedup, op6_packing, op8_minhash, op9_html, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
