@@ -112,12 +112,26 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r.get(c) for r in rows], t) for c, t in _TYPES], [c for c, _ in _TYPES])
 
 
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """True where sorted rows begin a new group."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def _bounds(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """First and last-but-one row of each group of sorted rows."""
+    at = np.flatnonzero(_groups(*keys)).tolist()
+    return list(zip(at, [*at[1:], len(keys[0])], strict=False))
+
+
 def _notes(doc: np.ndarray, at: np.ndarray, mark: np.ndarray) -> list[dict]:
     """One row for each document: places and marks."""
     order = np.lexsort((at, doc))
     doc, at, mark = doc[order], at[order], mark[order]
-    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
-    return [{"doc_id": int(doc[s]), "n": int(e - s), "at": at[s:e].astype(np.int32 if at[s:e].max() < 2**31 else np.int64).tobytes(), "mark": mark[s:e].astype(np.int8).tobytes()} for s, e in zip(cut, [*cut[1:], len(doc)], strict=True)]
+    return [{"doc_id": int(doc[s]), "n": int(e - s), "at": at[s:e].astype(np.int32 if at[s:e].max() < 2**31 else np.int64).tobytes(), "mark": mark[s:e].astype(np.int8).tobytes()} for s, e in _bounds(doc)]
 
 
 def _places(n: int, raw: bytes) -> np.ndarray:
@@ -128,18 +142,8 @@ def _entries(key: np.ndarray, buckets: int, **cols: np.ndarray) -> list[dict]:
     """One row of packed, sorted entries for each bucket that has any."""
     bucket = (key >> U(32)).astype(np.int64) % buckets
     order = np.lexsort((key, bucket))
-    cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(key) else []
     cols = {"key": key} | cols
-    return [{"bucket": int(bucket[order[s]]), "n": int(e - s)} | {c: planes(x[order[s:e]]) for c, x in cols.items()} for s, e in zip(cut, [*cut[1:], len(key)], strict=True)]
-
-
-def _groups(*keys: np.ndarray) -> np.ndarray:
-    """True where sorted rows begin a new group."""
-    new = np.zeros(len(keys[0]), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return new
+    return [{"bucket": int(bucket[order[s]]), "n": int(e - s)} | {c: planes(x[order[s:e]]) for c, x in cols.items()} for s, e in _bounds(bucket[order])]
 
 
 def _index(buckets: int):
@@ -283,17 +287,15 @@ def _runs(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[dict]:
     """Notes (at: first and last window by turns) of runs of repeated windows."""
     order = np.lexsort((first, doc))
     doc, pair = doc[order], np.stack([first[order], last[order]], 1)
-    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
-    return [{"doc_id": int(doc[s]), "n": int(e - s), "span": pair[s:e].astype(np.int64).tobytes()} for s, e in zip(cut, [*cut[1:], len(doc)], strict=True)]
+    return [{"doc_id": int(doc[s]), "n": int(e - s), "span": pair[s:e].astype(np.int64).tobytes()} for s, e in _bounds(doc)]
 
 
 def _texts(key: np.ndarray, doc: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray, buckets: int) -> list[dict]:
     """Packed contexts by bucket: key, document, first window, length and text."""
     bucket = (key >> U(32)).astype(np.int64) % buckets
     order = np.argsort(bucket, kind="stable")
-    cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
     out = []
-    for s, e in zip(cut, [*cut[1:], len(key)], strict=True):
+    for s, e in _bounds(bucket[order]):
         i = order[s:e]
         text = b"".join(data[a:b].tobytes() for a, b in zip(start[i].tolist(), end[i].tolist(), strict=True))
         out.append({"bucket": int(bucket[i[0]]), "n": len(i), "span": text, "doc": planes(doc[i]), "at": planes(at[i]), "mark": planes((end[i] - start[i]).astype(np.int16))})
