@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from ruleweft.llm.bytesops import LETTERLIKE, LOWER, U, Hasher, mix, owners, runs
 from ruleweft.llm.common import flat_bytes, ids_and_text, slices
-from ruleweft.llm.sampling import held_out, labelled
+from ruleweft.llm.sampling import fitted, held_out, parts
 
 #: Lengths in bytes of the prefixes that are features besides the whole token (0).
 PREFIXES = (0, 4, 5, 6, 7)
@@ -125,16 +125,20 @@ def fit(texts: pa.Array, y: np.ndarray, counts: dict[int, int]) -> Model:
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     if not n1 or not n0:
         return empty
-    data, offs = flat_bytes(texts)
-    feats, at = features(data, offs)
-    own = owners(at)
+    held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in PREFIXES]
+    for data, offs, own_y in parts(texts, y):
+        feats, at = features(data, offs)
+        own = owners(at)
+        for x, found in zip(feats, held, strict=True):
+            some = x != 0
+            f, rows = _unique_pairs(x[some], own[some])
+            found.append((f, own_y[rows] == 1))
     keys, scores = [], []
-    for x in feats:
-        some = x != 0
-        pair = _unique_pairs(x[some], own[some])
-        f, i = np.unique(pair[0], return_inverse=True)
-        pos = np.bincount(i, weights=(y[pair[1]] == 1), minlength=len(f))
+    for found in held:
+        f, i = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+        pos = np.bincount(i, weights=np.concatenate([x for _, x in found]), minlength=len(f))
         neg = np.bincount(i, minlength=len(f)) - pos
+        found.clear()
         prior = PRIOR * (pos + neg + 1) / (n1 + n0 + 2)
         a1, a0 = pos + prior * n1 / (n1 + n0), neg + prior * n0 / (n1 + n0)
         b1, b0 = n1 + PRIOR - a1, n0 + PRIOR - a0
@@ -145,16 +149,21 @@ def fit(texts: pa.Array, y: np.ndarray, counts: dict[int, int]) -> Model:
         scores.append(delta[keep])
     model = Model(keys, scores, 1.0, 1.0, 0.0, 0.0)
     # lambda solves E[exp(lambda s)] = 1 over the tokens of clean texts, one token smoothing the lexicon's share
-    hit = model.hits(feats)
-    clean = y[own] == 0
-    s = hit[clean & (hit > 0)]
-    s, n = np.append(s, [float(np.median(hit[hit > 0]))] if (hit > 0).any() else [1.0]), int(clean.sum()) + 1
+    every, clean, n = [np.zeros(0)], [np.zeros(0)], 1
+    for data, offs, own_y in parts(texts, y):
+        feats, at = features(data, offs)
+        hit, ok = model.hits(feats), own_y[owners(at)] == 0
+        every.append(hit[hit > 0])
+        clean.append(hit[ok & (hit > 0)])
+        n += int(ok.sum())
+    every = np.concatenate(every)
+    s = np.append(np.concatenate(clean), [float(np.median(every)) if len(every) else 1.0])
     lo, hi = 1e-6, 50.0
     for _ in range(80):
         lam = (lo + hi) / 2
         lo, hi = (lam, hi) if np.exp(np.minimum(lam * s, 600)).sum() / n + (1 - len(s) / n) * np.exp(-lam * GAP) < 1 else (lo, lam)
     model.lam = lo
-    evidence = np.sqrt(model.passages(data, offs)[0])
+    evidence = np.sqrt(np.concatenate([model.passages(data, offs)[0] for data, offs, _ in parts(texts, y)]))
     model.slope, model.bias = _logistic(evidence, y == 1)
     # the sample holds the classes in other shares than the labelled rows do
     model.bias += np.log(max(counts.get(1, n1), 1) / max(counts.get(0, n0), 1)) - np.log(n1 / n0)
@@ -187,8 +196,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
 
 def train(docs: DataFrame, labels: DataFrame, **options: int) -> Model:
     """Learns from labelled rows that are not held out; at most ``per_class`` of each class."""
-    rows, counts = labelled(docs, labels, "toxic", ~held_out(), **options)
-    return fit(rows.column("text"), rows.column("y").to_numpy().astype(np.int64), counts)
+    return fitted(docs, labels, "toxic", fit, ~held_out(), **options)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
