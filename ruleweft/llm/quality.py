@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from ruleweft.llm.bytesops import CONTINUES, SPACE, U, Hasher, lines, mix, owners, per_row, repeated, later, windows, words
 from ruleweft.llm.common import flat_bytes, ids_and_text, slices
-from ruleweft.llm.sampling import labelled
+from ruleweft.llm.sampling import fitted, parts
 
 SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 UPPER, LOWERCASE = np.isin(np.arange(256), range(65, 91)), np.isin(np.arange(256), range(97, 123))
@@ -129,14 +129,22 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = 250, rate: float = 0.1, rid
     if len(set(y.tolist())) < 2:
         crf.emit[0, 1] = 1.0
         return crf
-    counts, f, n, lat = measure(*flat_bytes(texts))
-    rows = np.flatnonzero((counts["n_words"] >= MIN_WORDS))
-    y = y[rows]
-    size = np.minimum(np.diff(lat)[rows], FIT_LINES)
+    kept, sizes, labels = [], [], []
+    for data, offs, own_y in parts(texts, y):
+        counts, f, _, lat = measure(data, offs)
+        rows = np.flatnonzero(counts["n_words"] >= MIN_WORDS)
+        size = np.minimum(np.diff(lat)[rows], FIT_LINES)
+        kept.append(f[np.repeat(lat[:-1][rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+        sizes.append(size)
+        labels.append(own_y[rows])
+    f, size, y = np.concatenate(kept), np.concatenate(sizes), np.concatenate(labels)
+    if len(set(y.tolist())) < 2:
+        crf.emit[0, 1] = 1.0
+        return crf
     top = int(size.max())
-    x = np.zeros((top, len(rows), N_FEATURES))
+    x = np.zeros((top, len(size), N_FEATURES))
     on = np.arange(top)[:, None] < size[None]
-    at = lat[:-1][rows][None] + np.arange(top)[:, None]
+    at = (np.cumsum(size) - size)[None] + np.arange(top)[:, None]
     x[on] = f[at[on]]
     # classes weigh the same, and so do texts of any number of lines
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) / size
@@ -170,8 +178,7 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = 250, rate: float = 0.1, rid
 
 def train(docs: DataFrame, labels: DataFrame, **options: int) -> Crf:
     """Fits the weights on at most ``per_class`` labelled texts of each class."""
-    rows, _ = labelled(docs, labels, "quality", **options)
-    return fit(rows.column("text"), rows.column("y").to_numpy().astype(np.int64))
+    return fitted(docs, labels, "quality", lambda texts, y, counts: fit(texts, y), **options)
 
 
 def judge(data: np.ndarray, offs: np.ndarray, crf: Crf, share: float = CONTENT_SHARE) -> dict[str, np.ndarray]:
