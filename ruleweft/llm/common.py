@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,6 +91,13 @@ def spread(codes: np.ndarray, offs: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(offs[codes] - (ends - n), n) + np.arange(total)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts can be long: fewer rows in an Arrow batch keep both sides' buffers small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def ids_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Just the key and the text, so that other columns are pruned at the scan."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

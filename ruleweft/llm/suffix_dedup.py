@@ -35,7 +35,7 @@ from ruleweft.llm.common import flat_bytes, ids_and_text, n_parts, remove, share
 LENGTH, GRAM = 100, 32
 BATCHES = 4
 #: Bytes of text that a task settles among itself at a time, and that one scan's arrays hold.
-SLICE, SEGMENT = 24 << 20, 2 << 20
+SLICE, SEGMENT = 12 << 20, 512 << 10
 #: Different spans of an anchor from which a slice, or all slices together, compare its windows by hash.
 SLICE_SPANS, ANCHOR_SPANS = 32, 4096
 #: How many buckets there are for each shuffle partition.
@@ -274,7 +274,7 @@ def _windows(buckets: int):
                     size += len(p)
             for i in range(0, len(rows), 4096):
                 yield _rows(rows[i : i + 4096])
-            if size >= 2_000_000:
+            if size >= 500_000:
                 yield from settle(parts)
                 parts, size = [], 0
         if parts:
