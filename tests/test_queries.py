@@ -21,9 +21,16 @@ def con():
     return c
 
 
+def plain(v):
+    if pd.api.types.is_scalar(v) and pd.isna(v):
+        return None
+    if isinstance(v, bool) or not isinstance(v, (int, float, complex)) and not hasattr(v, "dtype"):
+        return str(v)
+    return str(v) if "datetime" in str(getattr(v, "dtype", "")) or "bool" in str(getattr(v, "dtype", "")) else round(float(v), 3)
+
+
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or v is pd.NaT or isinstance(v, float) and v != v else round(v, 3) if isinstance(v, float) else str(v) if hasattr(v, "isoformat") else v
     return sorted((tuple(map(plain, r)) for r in df.itertuples(index=False, name=None)), key=repr)
 
 
