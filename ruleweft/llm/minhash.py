@@ -2,9 +2,9 @@
 
 ``COLLECTIONS`` small collections of ``PER_COLLECTION`` minhashes each are computed once; a table key joins two of
 them, so 30 minhashes serve 45 tables of six. Documents with equal sets form a class first, and only its smallest id
-goes on. In each table bucket all members are compared with one pivot; links that these confirm are contracted to
-components, and what is still apart in a bucket is then compared across components, without any cap. Comparing
-members with a pivot keeps a bucket of near copies linear, and no pair within a known component is ever made.
+goes on. In each table bucket all members are compared with one pivot, which keeps a bucket of near copies linear;
+links that these confirm are contracted to components. Members that are still outside their pivot's component are
+then compared with all of their neighbourhood, without any cap, in blocks from which only links come out.
 
 Null and empty texts, and texts of blanks, have the empty set and link with nothing; fewer words than a shingle make
 one shingle; very long texts are whole; equal rows are linked; rows with a null doc_id are returned unlinked, with a
@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleweft.llm.bytesops import LOWER, U, Hasher, mix, owners, values, windows, words
-from ruleweft.llm.common import flat_bytes, ids_and_text, remove, shared_dir, slices, stash
+from ruleweft.llm.common import flat_bytes, ids_and_text, remove, shared_dir, slices, spread, stash
 from ruleweft.llm.components import components
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 COLLECTIONS, PER_COLLECTION = 10, 3
+#: Documents in a block of those that still have to meet.
+BLOCK = 1024
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +98,32 @@ def _confirm(percent: int):
                 i = np.searchsorted(y, x)
                 i[i == len(y)] = 0
                 common = int((y[i] == x).sum()) if len(y) else 0
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                union = len(x) + len(y) - common
+                keep.append(100 * common >= percent * union)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
+
+    return run
+
+
+def _across(percent: int):
+    def run(g: pa.Table) -> pa.Table:
+        """Links between the asking documents of a block and the others, across components."""
+        asks = g.column("asks").to_numpy(zero_copy_only=False)
+        ids, c = g.column("id").to_numpy(), g.column("c").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), U) for x in g.column("items")]
+        told, a, b = np.flatnonzero(~asks), [], []
+        sizes = np.array([len(sets[i]) for i in told], np.int64)
+        keys, own = np.concatenate([sets[i] for i in told]) if len(told) else np.zeros(0, U), np.repeat(np.arange(len(told)), sizes)
+        order = np.argsort(keys, kind="stable")
+        keys, own = keys[order], own[order]
+        for i in np.flatnonzero(asks).tolist():
+            x = sets[i]
+            lo, n = np.searchsorted(keys, x, "left"), np.searchsorted(keys, x, "right")
+            common = np.bincount(own[spread(np.arange(len(x)), lo, n - lo)], minlength=len(told))
+            hit = (100 * common >= percent * (len(x) + sizes - common)) & (c[told] != c[i])
+            a += [ids[i]] * int(hit.sum())
+            b += ids[told[hit]].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -116,42 +142,55 @@ def minhash_near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     keys = F.array(*(F.xxhash64(F.lit(t), *pair) for t, pair in enumerate(combinations(cols, 2))))
     tables = classes.select("id", F.col("n_shingles").alias("n"), F.explode(keys).alias("key"))
-    pivots = tables.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("key", "pivot")
-    members = stash(tables.join(pivots, "key"), f"{where}/members")
+    shared = tables.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = stash(tables.join(shared, "key"), f"{where}/shared")
+    # the pivot is the member that shares its buckets with most others: in a group of copies, what they were copied from
+    rank = members.groupBy("id").agg(F.sum("size").alias("rank"))
+    members = stash(members.drop("size").join(rank, "id"), f"{where}/ranked")
+    pivots = members.groupBy("key").agg(F.max(F.struct("rank", (-F.col("id")).alias("minus"))).alias("p")).select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.rank").alias("pivot_rank"))
+    members = stash(members.drop("rank").join(pivots, "key"), f"{where}/members")
     ids = members.select("id").distinct()
     items = stash(texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, items binary"), f"{where}/items")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         left = pairs.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
         both = left.join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-        return stash(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), f"{where}/{name}")
+        return stash(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long, linked boolean"), f"{where}/{name}")
 
     def with_component(frame: DataFrame, found: DataFrame, column: str, name: str) -> DataFrame:
         x = found.select(F.col("id").alias(column), F.col("component_id").alias(name))
         return frame.join(x, column, "left").withColumn(name, F.coalesce(name, column))
 
-    near = members.where(F.col("id") != F.col("pivot")).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    # first the smallest pivot of each document, which in a group of copies is one and the same for most
-    links = confirmed(near.groupBy("a").agg(F.min("b").alias("b")), "links0")
-    found = components(links)
+    near = members.where(F.col("id") != F.col("pivot")).select(F.col("id").alias("a"), F.col("pivot").alias("b"), "pivot_rank")
+    # first the highest pivot of each document
+    best = near.groupBy("a").agg(F.max(F.struct("pivot_rank", (-F.col("b")).alias("minus"))).alias("p")).select("a", (-F.col("p.minus")).alias("b"))
+    seen = confirmed(best, "links0")
+    found = components(seen.where("linked"))
     # then the other pivots, where they are still apart
-    apart = with_component(with_component(near.distinct(), found, "a", "ca"), found, "b", "cb").where("ca <> cb").select("a", "b")
-    links = links.unionByName(confirmed(apart, "links1"))
-    found = components(links)
-    # then whatever shares a bucket across components: the members outside the pivot's component with all others
-    placed = with_component(with_component(members, found, "id", "c"), found, "pivot", "cp")
-    placed = stash(placed, f"{where}/placed")
-    stray = placed.where("c <> cp AND id <> pivot").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-    right = placed.where("id <> pivot").select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    rest = stray.join(right, "key").where((F.col("ca") != F.col("cb")) & size).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = links.unionByName(confirmed(rest, "links2"))
+    apart = with_component(with_component(near.select("a", "b").distinct(), found, "a", "ca"), found, "b", "cb").where("ca <> cb").select("a", "b")
+    seen = seen.unionByName(confirmed(apart.join(seen, ["a", "b"], "left_anti"), "links1"))
+    found = components(seen.where("linked"))
+    # then whatever shares a bucket across components: members outside their pivot's component meet all others of their
+    # neighbourhood in blocks, from which only links come out
+    placed = stash(with_component(with_component(members, found, "id", "c"), found, "pivot", "cp"), f"{where}/placed")
+    open_ = placed.groupBy("key").agg(F.max((F.col("c") != F.col("cp")).cast("int")).alias("open")).where("open = 1").select("key")
+    left = stash(placed.join(open_, "key").select("id", "c", "pivot", (F.col("c") != F.col("cp")).cast("int").alias("stray")), f"{where}/open")
+    area = components(left.select(F.col("id").alias("a"), F.col("pivot").alias("b"))).withColumnRenamed("component_id", "area")
+    each = left.groupBy("id").agg(F.first("c").alias("c"), F.max("stray").alias("stray")).join(area, "id")
+    each = each.join(area.groupBy("area").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "area").join(items, "id")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cols = ["area", "i", "j", "id", "c", "items"]
+    asks = each.where("stray = 1").withColumn("i", own).withColumn("j", other).select(*cols, F.lit(True).alias("asks"))
+    told = each.withColumn("j", own).withColumn("i", other).select(*cols, F.lit(False).alias("asks"))
+    rest = stash(asks.unionByName(told).groupBy("area", "i", "j").applyInArrow(_across(percent), "a long, b long"), f"{where}/links2")
+    links = seen.where("linked").select("a", "b").unionByName(rest)
     found = stash(components(links), f"{where}/components")
 
     by_class = with_component(classes.select(*sets, "id"), found, "id", "component_id").drop("id")
     out = signed.join(by_class, sets, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    for name in ("members", "items", "placed"):
+    for name in ("shared", "ranked", "members", "items", "placed", "open"):
         remove(spark, f"{where}/{name}")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(False)).alias("kept"))
 
