@@ -102,7 +102,7 @@ class Model:
         evidence, found = np.zeros(len(offs) - 1), []
         rows = owners(at)[where]
         cuts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)], strict=True):
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)], strict=False):
             r = int(rows[a])
             pos = (where[a:b] - at[r]).tolist()
             n = int(at[r + 1] - at[r])
