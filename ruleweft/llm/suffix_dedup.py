@@ -442,17 +442,17 @@ def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     found = repeats(ids_and_text(one), where, batches)
     bare = docs.where("doc_id IS NULL").withColumn("_notes", F.lit(None).cast(found.schema["notes"].dataType))
     both = one.join(found.withColumnRenamed("notes", "_notes"), "doc_id", "left").select(*docs.columns, "_notes").unionByName(bare)
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             null = np.array(b.column(at).is_null())
             data, offs = flat_bytes(b.column(at))
             raw, offs = data.tobytes(), offs.tolist()
-            texts = [k.decode("utf-8", "ignore") for k, _, _ in _cut([raw[s:e] for s, e in zip(offs, offs[1:], strict=False)], b.column(len(docs.columns)).to_pylist())]
-            cols = [b.column(i) for i in range(len(docs.columns))]
+            texts = [k.decode("utf-8", "ignore") for k, _, _ in _cut([raw[s:e] for s, e in zip(offs, offs[1:], strict=False)], b.column(len(names)).to_pylist())]
+            cols = [b.column(i) for i in range(len(names))]
             cols[at] = pa.array(texts, pa.string(), mask=null)
-            yield pa.record_batch(cols, docs.columns)
+            yield pa.record_batch(cols, names)
 
     out = both.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
