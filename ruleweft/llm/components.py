@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleweft.llm.common import remove, shared_dir, stash
+from ruleweft.llm.common import n_parts, remove, shared_dir, stash
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -58,7 +58,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         k += 1
-        new = stash(small, f"{where}/{k}")
+        # links between ids are small rows: few files hold them
+        new = stash(small.coalesce(max(1, n_parts(spark) // 8)), f"{where}/{k}")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40)), F.count_distinct("a")).first()
         remove(spark, f"{where}/{k - 1}")
         if state[:2] == before or state[0] == 0:
