@@ -26,10 +26,11 @@ from ruleweft.llm.sampling import fitted, held_out, parts
 
 #: Lengths in bytes of the prefixes that are features besides the whole token (0).
 PREFIXES = (0, 4, 5, 6, 7)
-#: z-score from which a feature is in the lexicon, and the fewest toxic texts that hold it.
-Z, LEAST_TEXTS = 4.0, 4
+#: z-score of a feature's shares of texts, and log-odds, from which a feature is in the lexicon, and the fewest toxic texts that hold it. The log-odds
+#: keep out the plain words of a language that merely has more toxic texts than others.
+Z, LOG_ODDS, LEAST_TEXTS = 6.0, 2.5, 4
 #: Cost of a token outside the lexicon, and what the prior counts for, in texts.
-GAP, PRIOR = 0.05, 20.0
+GAP, PRIOR = 0.05, 4.0
 #: p-value up to which a segment is significant.
 P_VALUE = 0.05
 THRESHOLD = 0.7
@@ -143,8 +144,9 @@ def fit(texts: pa.Array, y: np.ndarray, counts: dict[int, int]) -> Model:
         a1, a0 = pos + prior * n1 / (n1 + n0), neg + prior * n0 / (n1 + n0)
         b1, b0 = n1 + PRIOR - a1, n0 + PRIOR - a0
         delta = np.log(a1 / np.maximum(b1, 0.5)) - np.log(a0 / np.maximum(b0, 0.5))
-        z = delta / np.sqrt(1 / a1 + 1 / a0)
-        keep = (z >= Z) & (pos >= LEAST_TEXTS) & (delta > 0)
+        share = (pos + neg) / (n1 + n0)
+        z = (pos / n1 - neg / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+        keep = (z >= Z) & (pos >= LEAST_TEXTS) & (delta >= LOG_ODDS)
         keys.append(f[keep])
         scores.append(delta[keep])
     model = Model(keys, scores, 1.0, 1.0, 0.0, 0.0)
