@@ -57,14 +57,35 @@ def _equal(c: Column, t: T.DataType, v: Any) -> Column:
     return (c == x) & ~_nan(c, t) if isinstance(t, (T.FloatType, T.DoubleType)) else c == x
 
 
-def compile_condition(condition: Any, resolve: Resolver, special: Callable[[Any], Column] | None = None, first_only: bool = False) -> Column:
-    """A condition tree as a Column. ``special`` compiles conditions that need a plan of their own.
+def ragged_leaf(test: Test, fields: str = "fields") -> Column:
+    """One test over a map of tagged cells. A missing field makes ``ne`` true and all else false; null is a value that
+    equals null; 5 isn't equal to 5.0 but is ordered like it; values that can't be compared make the test false."""
+    cell, v, lk = F.col(fields)[test.field], test.value, V.literal_kind(test.value)
+    here = F.coalesce(F.map_contains_key(fields, test.field), F.lit(False))
+    if test.op in ("eq", "ne"):
+        same = V.cell_equal(cell, V.literal_cell(v))
+        return here & same if test.op == "eq" else ~here | ~same
+    if test.op in ("gt", "lt", "ge", "le"):
+        part = {"number": V.cell_number(cell), "string": cell["s"], "boolean": cell["b"], "date": cell["ts"]}.get(lk)
+        if part is None:
+            return F.lit(False)
+        x = V.lit(v)
+        return F.coalesce({"gt": part > x, "lt": part < x, "ge": part >= x, "le": part <= x}[test.op], F.lit(False))
+    if lk != "string":
+        return F.coalesce(F.array_contains(F.from_json(cell["j"], "array<string>"), str(v)), F.lit(False)) if test.op == "contains" else F.lit(False)
+    member = F.array_contains(F.from_json(cell["j"], "array<string>"), v) & (cell["t"] == "array")
+    by = {"contains": F.coalesce(cell["s"].contains(v), member), "starts_with": cell["s"].startswith(v), "ends_with": cell["s"].endswith(v)}
+    return F.coalesce(by[test.op], F.lit(False))
+
+
+def compile_condition(condition: Any, resolve: Resolver, special: Callable[[Any], Column] | None = None, first_only: bool = False, test: Callable[[Test], Column] | None = None) -> Column:
+    """A condition tree as a Column. ``special`` compiles conditions that need a plan of their own, ``test`` the leaves.
 
     ``first_only``: compatibility with the aggregator's NOT, which negates its first child and holds without any.
     """
-    own = lambda cs: [compile_condition(c, resolve, special, first_only) for c in cs]
+    own = lambda cs: [compile_condition(c, resolve, special, first_only, test) for c in cs]
     if isinstance(condition, Test):
-        return leaf(condition, resolve)
+        return test(condition) if test else leaf(condition, resolve)
     if isinstance(condition, All):
         return reduce(and_, own(condition.conditions), F.lit(True))
     if isinstance(condition, AnyOf):
@@ -81,3 +102,9 @@ def compile_condition(condition: Any, resolve: Resolver, special: Callable[[Any]
 def compile_rule(conditions: tuple, resolve: Resolver, special: Callable[[Any], Column] | None = None) -> Column:
     """All of a rule's conditions; a rule without any never fires."""
     return compile_condition(All(conditions), resolve, special) if conditions else F.lit(False)
+
+
+def ragged_matches(facts, rules, fields: str = "fields", fact_id: str = "fact_id"):
+    """(rule_id, fact_id) of matches over ragged facts; conditions are trees of tests."""
+    cases = [F.when(compile_condition(All(r.conditions), lambda n: (F.lit(None), T.NullType()), test=lambda t: ragged_leaf(t, fields)), F.lit(r.id).cast("bigint")) for r in rules if r.conditions and r.enabled]
+    return facts.select(F.explode(F.array_compact(F.array(*cases))).alias("rule_id"), F.col(fact_id).cast("bigint").alias("fact_id"))

@@ -14,8 +14,8 @@ from ruleweft.model import Aggregate, Alert, All, AnyOf, Append, Calculate, Crea
 from ruleweft.operators import aggregates as A
 from ruleweft.operators import conflict, joins
 from ruleweft.operators.frames import positions
-from ruleweft.operators.predicates import compile_condition, resolver
-from ruleweft.plans.engine import Engine, apply, retracted
+from ruleweft.operators.predicates import compile_condition, ragged_matches, resolver
+from ruleweft.plans.engine import Engine, apply, retracted, top_rules
 from ruleweft.plans.pipeline import Stage, latest, run
 from ruleweft.sources import json_io
 from ruleweft.sources.store import FactStore
@@ -550,3 +550,17 @@ def retraction(spark, sf_dir):
 @query("SELECT o_orderkey AS fact_id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders")
 def global_positions(spark, sf_dir):
     return positions(orders(spark, sf_dir), ["o_orderdate", "o_orderkey"]).select("fact_id", F.col("_pos").cast("bigint").alias("pos"))
+
+
+@query("SELECT CAST(1 AS BIGINT) AS rule_id, event_id AS fact_id FROM events WHERE event_type = 'click' UNION ALL SELECT 2, event_id FROM events WHERE value > 50 UNION ALL SELECT 3, event_id FROM events UNION ALL SELECT 4, event_id FROM events WHERE user_id = 7")
+def ragged_facts(spark, sf_dir):
+    """Facts as maps of tagged cells: typed equality, missing fields."""
+    e = events(spark, sf_dir).select("fact_id", "event_type", F.col("value").cast("double").alias("value"), F.col("user_id").cast("bigint").alias("user_id"))
+    ragged = json_io.parse(json_io.serialize(e))
+    rules = [Rule(1, "text", (Test("event_type", "eq", "click"),)), Rule(2, "order", (Test("value", "gt", 50),)), Rule(3, "missing", (Test("nothing", "ne", 1),)), Rule(4, "whole", (Test("user_id", "eq", 7),)), Rule(5, "typed", (Test("user_id", "eq", 7.0),))]
+    return ragged_matches(ragged, rules)
+
+
+@query("SELECT CAST(p_size AS BIGINT) AS rule_id, count(*) AS facts, count(*) AS actions FROM part WHERE p_size BETWEEN 1 AND 40 GROUP BY p_size ORDER BY facts DESC, rule_id LIMIT 5")
+def top_firing_rules(spark, sf_dir):
+    return top_rules(Engine(SIZES).evaluate(facts(spark, sf_dir, "part", "p_partkey")), 5)

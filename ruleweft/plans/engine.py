@@ -211,3 +211,9 @@ def apply(facts: DataFrame, firings: DataFrame, fact_id: str = "fact_id") -> Dat
         return F.coalesce(x.cast(t), F.col(name)).alias(name)
 
     return out.select(fact_id, *(new(n) for n in names))
+
+
+def top_rules(firings: DataFrame, n: int = 10) -> DataFrame:
+    """The rules that fired for most facts, with how many."""
+    counts = firings.groupBy("rule_id").agg(F.count_distinct("fact_id").alias("facts"), F.count("*").alias("actions"))
+    return counts.orderBy(F.desc("facts"), "rule_id").limit(n)
