@@ -99,6 +99,23 @@ def compile_condition(condition: Any, resolve: Resolver, special: Callable[[Any]
     return special(condition)
 
 
+def prefilter(condition: Any, resolve: Resolver) -> Column | None:
+    """What every match satisfies, in the plain form that scans can take over; None if there is no such form."""
+    if isinstance(condition, Test):
+        c, t = resolve(condition.field)
+        k, v = V.kind(t), condition.value
+        if k not in ("number", "string", "date") or k != V.literal_kind(v) or condition.op in ("ne", "contains", "ends_with"):
+            return None
+        x = V.lit(v)
+        return {"eq": c == x, "gt": c > x, "lt": c < x, "ge": c >= x, "le": c <= x, "starts_with": c.startswith(x)}[condition.op]
+    if isinstance(condition, (All, AnyOf)):
+        own = [prefilter(c, resolve) for c in condition.conditions]
+        if isinstance(condition, All):
+            return reduce(and_, some) if (some := [c for c in own if c is not None]) else None
+        return reduce(or_, own) if own and all(c is not None for c in own) else None
+    return None
+
+
 def compile_rule(conditions: tuple, resolve: Resolver, special: Callable[[Any], Column] | None = None) -> Column:
     """All of a rule's conditions; a rule without any never fires."""
     return compile_condition(All(conditions), resolve, special) if conditions else F.lit(False)

@@ -10,19 +10,23 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleweft.functions import values as V
-from ruleweft.model import Aggregate, Alert, Log, Notify, Rule, RuleError, SetField, StreamTest, Test
+from ruleweft.model import Aggregate, Alert, All, Log, Notify, Rule, RuleError, SetField, StreamTest, Test
 from ruleweft.operators.actions import FIRING, firing, ordered
 from ruleweft.operators.aggregates import attach
-from ruleweft.operators.predicates import compile_rule, resolver
+from ruleweft.operators.predicates import compile_rule, prefilter, resolver
 
 #: Rules on one field from which the lookup table is used, and predicates in one array.
 INDEX_FROM, CHUNK = 8, 50
+#: Rules up to which what any of them needs becomes a filter of the scan.
+NARROW_MOST = 16
 #: Rules that a lookup table may hold: what is broadcast is bounded by this.
 INDEX_MOST = 100_000
 COLUMNS = ["rule_id", "fact_id", "action_seq", "kind", "field", "value", "message", "target_fact_id", "extra"]
@@ -45,6 +49,14 @@ def collect_special(condition: Any) -> list[Any]:
     return [x for c in getattr(condition, "conditions", ()) for x in collect_special(c)]
 
 
+def narrow(facts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Facts that some rule may match, by conditions that reach the scan; all of them if a rule has no such condition."""
+    if not 0 < len(rules) <= NARROW_MOST:
+        return facts
+    own = [prefilter(All(r.conditions), resolver(facts.schema)) if r.conditions else F.lit(False) for r in rules]
+    return facts if any(c is None for c in own) else facts.where(reduce(or_, own))
+
+
 class Engine:
     """Rules by id, in a session of their own; compiled against a table's schema when they are evaluated."""
 
@@ -102,7 +114,7 @@ class Engine:
         """(rule_id, fact_id) of every match."""
         store = facts if history is None else history.unionByName(facts, allowMissingColumns=True)
         rules = self.enabled()
-        facts, flags = self._flags(facts, store, rules)
+        facts, flags = self._flags(narrow(facts, rules), store, rules)
         resolve = resolver(facts.schema)
         cases = [F.when(compile_rule(r.conditions, resolve, lambda c: F.col(flags[c])), F.lit(r.id).cast("bigint")) for r in rules]
         if not cases:
@@ -132,7 +144,7 @@ class Engine:
 
     def _one_pass(self, facts: DataFrame, history: DataFrame | None, rules: list[Rule]) -> DataFrame:
         store = facts if history is None else history.unionByName(facts, allowMissingColumns=True)
-        facts, flags = self._flags(facts, store, rules)
+        facts, flags = self._flags(narrow(facts, rules), store, rules)
         resolve = resolver(facts.schema)
         cases: list[Column] = []
         for r in rules:
