@@ -98,12 +98,19 @@ class ChunkIds(dict):
         return n
 
     def _encode_new(self) -> None:
-        tok, found = _tokenizer(self.path), []
+        tok, found, rest = _tokenizer(self.path), [], []
         one = tok.model.tokenize
-        rest = [c for c in self.new if not self.plain(c)]
-        whole = iter(tok.encode_batch(rest, add_special_tokens=False))
         for c in self.new:
-            found.append([t.id for t in one("".join(map(BYTE_CHARS.__getitem__, c.encode())))] if self.plain(c) else next(whole).ids)
+            if c.isascii() and c.isalpha() and c.islower():  # stands for itself in the byte-level vocabulary
+                found.append([t.id for t in one(c)])
+            elif self.plain(c):
+                found.append([t.id for t in one("".join(map(BYTE_CHARS.__getitem__, c.encode())))])
+            else:
+                rest.append(len(found))
+                found.append(c)
+        whole = tok.encode_batch([found[i] for i in rest], add_special_tokens=False)
+        for i, e in zip(rest, whole, strict=True):
+            found[i] = e.ids
         lens = np.fromiter(map(len, found), np.int64, len(found))
         self.offs = np.concatenate([self.offs, len(self.flat) + np.cumsum(lens) - lens])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(lens.sum()))])
@@ -112,7 +119,7 @@ class ChunkIds(dict):
     @staticmethod
     def plain(core: str) -> bool:
         """Letters that the normaliser and the pre-tokeniser leave as they are: one word for the merges alone."""
-        return core.isalpha() and core.islower() and (core.isascii() or is_normalized("NFC", core) and core.lower() == core)
+        return core.isalpha() and core.islower() and is_normalized("NFC", core) and core.lower() == core
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the n + 1 offsets of the texts."""
