@@ -144,6 +144,14 @@ def literal_cell(v: Any) -> Column:
     )
 
 
+def plain_cell(v: Any) -> dict:
+    """The parts of a Python value's cell, as Python values."""
+    k = literal_kind(v)
+    name = ("integer" if isinstance(v, int) else "float") if k == "number" else k
+    part = {"string": "s", "integer": "i", "float": "d", "boolean": "b", "date": "ts", "array": "j", "object": "j"}.get(name)
+    return dict.fromkeys(("s", "i", "d", "b", "ts", "j")) | {"t": name} | ({part: json.dumps(v) if part == "j" else v} if part else {})
+
+
 NO_CELL = f"CAST(NULL AS {CELL})"
 
 

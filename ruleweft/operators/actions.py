@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,6 +129,29 @@ def firing(rule_id: int, seq: int, action: Any, resolve: Resolver) -> Column:
     return F.struct(F.lit(rule_id).cast("bigint").alias("rule_id"), F.lit(seq).cast("int").alias("action_seq"), *(parts[k].alias(k) for k in ("kind", "field", "value", "message", "target_fact_id", "extra")))
 
 
+#: Arrow's view of a firing without the fact's id.
+FIRING_TYPE = pa.struct(
+    [
+        ("rule_id", pa.int64()), ("action_seq", pa.int32()), ("kind", pa.string()), ("field", pa.string()),
+        ("value", pa.struct([("t", pa.string()), ("s", pa.string()), ("i", pa.int64()), ("d", pa.float64()), ("b", pa.bool_()), ("ts", pa.timestamp("us", "UTC")), ("j", pa.string())])),
+        ("message", pa.string()), ("target_fact_id", pa.int64()), ("extra", pa.map_(pa.string(), pa.string())),
+    ]
+)
+
+
+def literal_firing(rule_id: int, seq: int, action: Any) -> dict:
+    """One firing of an action that doesn't read the fact, as Python values."""
+    row = dict.fromkeys(("field", "value", "message", "target_fact_id", "extra")) | {"rule_id": rule_id, "action_seq": seq}
+    if isinstance(action, SetField):
+        return row | {"kind": "field_set", "field": action.field, "value": V.plain_cell(action.value)}
+    if isinstance(action, Log):
+        return row | {"kind": "logged", "message": action.message}
+    more = [(k, str(v)) for k, v in action.metadata.items()]
+    if isinstance(action, Alert):
+        return row | {"kind": "logged", "message": f"Alert [{action.type}]: {action.message}", "extra": [("severity", action.severity), *more]}
+    return row | {"kind": "notification_sent", "message": action.subject, "extra": [("recipient", action.recipient), ("channel", action.channel), ("message", action.message), *more]}
+
+
 def ordered(actions: tuple) -> list[tuple[int, Any]]:
     """Actions with their numbers: created facts follow all others."""
     first = [a for a in actions if not isinstance(a, CreateFact)]

@@ -14,12 +14,13 @@ from functools import reduce
 from operator import or_
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleweft.functions import values as V
 from ruleweft.model import Aggregate, Alert, All, Log, Notify, Rule, RuleError, SetField, StreamTest, Test
-from ruleweft.operators.actions import FIRING, firing, ordered
+from ruleweft.operators.actions import FIRING, FIRING_TYPE, firing, literal_firing, ordered
 from ruleweft.operators.aggregates import attach
 from ruleweft.operators.predicates import compile_rule, prefilter, resolver
 
@@ -157,16 +158,12 @@ class Engine:
     def _lookup(self, spark: SparkSession, facts: DataFrame, by_field: dict[str, list[Rule]]) -> DataFrame:
         """Facts meet the tables of rules by hash joins on broadcast sides of a bounded number of rules."""
         wide, arrays = facts.select(F.col(self.fact_id).cast("bigint").alias("fact_id"), *(F.col(f"`{f}`") for f in by_field)), []
-        none = lambda name: (F.lit(None), V.T.NullType())
         for i, (f, rules) in enumerate(by_field.items()):
-            kind = facts.schema[f].dataType
-            by_value: dict[Any, list[Column]] = defaultdict(list)
+            by_value: dict[Any, list[dict]] = defaultdict(list)
             for r in rules:
-                by_value[r.conditions[0].value] += [firing(r.id, seq, a, none) for seq, a in ordered(r.actions)]
-            keys = F.array(*(V.lit(v).cast(kind) for v in by_value))
-            # one row that holds the table: no Python rows, no job
-            rows = F.array(*(F.struct(F.element_at(keys, j + 1).alias("k"), F.array(*fs).alias("v")) for j, fs in enumerate(by_value.values())))
-            table = spark.range(1).select(F.inline(rows)).select(F.col("k").alias(f"_k{i}"), F.col("v").alias(f"_v{i}"))
+                by_value[r.conditions[0].value] += [literal_firing(r.id, seq, a) for seq, a in ordered(r.actions)]
+            rows = pa.table({"k": pa.array(list(by_value)), "v": pa.array(list(by_value.values()), pa.list_(FIRING_TYPE))})
+            table = spark.createDataFrame(rows).select(F.col("k").cast(facts.schema[f].dataType).alias(f"_k{i}"), F.col("v").alias(f"_v{i}"))
             wide = wide.join(F.broadcast(table), F.col(f"`{f}`") == F.col(f"_k{i}"), "left")
             arrays.append(F.col(f"_v{i}"))
         fired = arrays[0] if len(arrays) == 1 else F.flatten(F.array_compact(F.array(*arrays)))
