@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ruleweft.model import Rule
+from ruleweft.operators.frames import positions
 
 ORDERS = {"priority": F.desc, "salience": F.desc, "recency": F.desc, "specificity": F.desc, "name": F.asc}
 
@@ -29,9 +30,9 @@ def resolve(executions: DataFrame, primary: str | Column = "priority", tie: str
     ``most`` keeps the first of each set, after ordering.
     """
     order = [_order(primary), _order(tie), F.asc("rule_id"), F.asc("fact_id")]
-    w = Window.partitionBy(*conflict_set) if conflict_set else Window.partitionBy(F.lit(0))
-    if not conflict_set and most is not None:
-        # a global limit is a top-k, not one sorted partition
-        executions = executions.orderBy(*order).limit(most)
-    out = executions.withColumn("rank", F.row_number().over(w.orderBy(*order)))
-    return out if most is None else out.where(F.col("rank") <= most)
+    if conflict_set:
+        out = executions.withColumn("rank", F.row_number().over(Window.partitionBy(*conflict_set).orderBy(*order)))
+        return out if most is None else out.where(F.col("rank") <= most)
+    # a global limit is a top-k, and global ranks are numbered by range partitions: no task gets all rows
+    first = executions if most is None else executions.orderBy(*order).limit(most)
+    return positions(first, order).withColumn("rank", (F.col("_pos") + 1).cast("int")).drop("_pos")

@@ -18,7 +18,7 @@ def millis(c: str | Column = TIME) -> Column:
     return F.unix_millis((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
 
 
-def positions(df: DataFrame, order: list[str], name: str = "_pos") -> DataFrame:
+def positions(df: DataFrame, order: list, name: str = "_pos") -> DataFrame:
     """Numbers rows from 0 in a total order without gathering them: counts by range partition, then row numbers within.
 
     Partitions are ranges of the order, so only their counts meet in one place.
