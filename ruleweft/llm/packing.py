@@ -186,10 +186,11 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 NODE = f"node long, bin long, {PIECES}, offset long, final boolean"
 
 
-def _pack_node(capacity: int, slack: int, fan_in: int, last: bool):
+def _pack_node(capacity: int, slack: int, fan_in: int, first: bool, last: bool):
     def run(group: pa.Table) -> pa.Table:
         cols = {n: group.column(n).to_numpy() for n in ("bin", "length", "offset")}
-        own = np.unique(cols["bin"], return_inverse=True)[1]
+        # each piece is a bin of its own at first
+        own = np.arange(group.num_rows) if first else np.unique(cols["bin"], return_inverse=True)[1]
         sizes = np.bincount(own, weights=cols["length"]).astype(np.int64)
         to, base, free = best_fit(sizes, capacity)
         final = np.ones(len(free), bool)
@@ -207,12 +208,10 @@ def pack(items: DataFrame, where: str, capacity: int = CAPACITY, group_items: in
     """Packs pieces (a table written once) and adds sequence_id and offset. ``where``: a shared folder for the rounds."""
     n = items.count()
     nodes, round_, done = max(1, -(-n // group_items)), 0, None
-    # each piece is a bin of its own at first; a dense number within the group comes from its key
-    left = items.select(
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(nodes)).alias("node"), F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()).alias("bin"), "doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"), F.lit(False).alias("final")
-    )
+    none = F.lit(0).cast("long")
+    left = items.select(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(nodes)).alias("node"), none.alias("bin"), *items.columns, none.alias("offset"), F.lit(False).alias("final"))
     while True:
-        packed = stash(left.groupBy("node").applyInArrow(_pack_node(capacity, slack, fan_in, nodes == 1), NODE), f"{where}/round{round_}")
+        packed = stash(left.groupBy("node").applyInArrow(_pack_node(capacity, slack, fan_in, not round_, nodes == 1), NODE), f"{where}/round{round_}")
         ready = packed.where("final").select(*items.columns, (F.lit(round_ << 58).cast("long") + F.shiftleft("node", 24) + F.col("bin")).alias("sequence_id"), "offset")
         done = ready if done is None else done.unionByName(ready)
         if nodes == 1:
