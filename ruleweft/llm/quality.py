@@ -29,6 +29,8 @@ MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 CONTENT_SHARE = 0.5
 #: Lines of a text that fitting reads, at most (labelling reads all).
 FIT_LINES = 48
+#: Labelled texts of each class that fitting reads, at most.
+PER_CLASS = 2000
 N_FEATURES = 11
 
 
@@ -123,7 +125,7 @@ class Crf:
         return out
 
 
-def fit(texts: pa.Array, y: np.ndarray, steps: int = 250, rate: float = 0.1, ridge: float = 1e-3) -> Crf:
+def fit(texts: pa.Array, y: np.ndarray, steps: int = 100, rate: float = 0.2, ridge: float = 1e-3) -> Crf:
     """Maximises the conditional likelihood of label sequences by gradient ascent; each line has its text's label."""
     crf = Crf(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
     if len(set(y.tolist())) < 2:
@@ -176,9 +178,9 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = 250, rate: float = 0.1, rid
     return Crf(*theta)
 
 
-def train(docs: DataFrame, labels: DataFrame, **options: int) -> Crf:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Crf:
     """Fits the weights on at most ``per_class`` labelled texts of each class."""
-    return fitted(docs, labels, "quality", lambda texts, y, counts: fit(texts, y), **options)
+    return fitted(docs, labels, "quality", lambda texts, y, counts: fit(texts, y), per_class=per_class)
 
 
 def judge(data: np.ndarray, offs: np.ndarray, crf: Crf, share: float = CONTENT_SHARE) -> dict[str, np.ndarray]:
