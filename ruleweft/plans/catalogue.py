@@ -17,7 +17,7 @@ from ruleweft.operators.frames import positions
 from ruleweft.operators.predicates import compile_condition, ragged_matches, resolver
 from ruleweft.plans.engine import Engine, apply, retracted, top_rules
 from ruleweft.plans.pipeline import Stage, latest, run
-from ruleweft.sources import json_io
+from ruleweft.sources import json_io, wire
 from ruleweft.sources.store import FactStore
 from ruleweft.streaming import windows as W
 
@@ -564,3 +564,56 @@ def ragged_facts(spark, sf_dir):
 @query("SELECT CAST(p_size AS BIGINT) AS rule_id, count(*) AS facts, count(*) AS actions FROM part WHERE p_size BETWEEN 1 AND 40 GROUP BY p_size ORDER BY facts DESC, rule_id LIMIT 5")
 def top_firing_rules(spark, sf_dir):
     return top_rules(Engine(SIZES).evaluate(facts(spark, sf_dir, "part", "p_partkey")), 5)
+
+
+@query("SELECT CAST(1 AS BIGINT) AS rule_id, event_id AS fact_id FROM events WHERE user_id = 7 UNION ALL SELECT 2, event_id FROM events WHERE event_type = 'view'")
+def wire_ingest(spark, sf_dir):
+    """Messages with one-of values, matched as ragged facts."""
+    part = lambda **k: F.struct(*(k.get(n, F.lit(None)).cast(t).alias(n) for n, t in (("string_value", "string"), ("number_value", "double"), ("bool_value", "boolean"), ("int_value", "bigint"))))
+    data = F.create_map(F.lit("event_type"), part(string_value=F.col("event_type")), F.lit("value"), part(number_value=F.col("value")), F.lit("user_id"), part(int_value=F.col("user_id")))
+    messages = events(spark, sf_dir).select(F.col("event_id").cast("string").alias("id"), data.alias("data"), F.unix_timestamp("event_ts").alias("created_at"))
+    return ragged_matches(wire.from_messages(messages), [Rule(1, "user", (Test("user_id", "eq", 7),)), Rule(2, "view", (Test("event_type", "eq", "view"),))])
+
+
+@query("SELECT '1' AS rule_id, CAST(c_custkey AS VARCHAR) AS fact_id, CAST(2 AS INTEGER) AS n FROM customer WHERE c_acctbal < 0")
+def wire_results(spark, sf_dir):
+    rules = [Rule(1, "low", (Test("c_acctbal", "lt", 0),), (Log("low"), SetField("state", "watch")))]
+    return wire.to_messages(Engine(rules).evaluate(facts(spark, sf_dir, "customer", "c_custkey"))).select("rule_id", "fact_id", F.size("actions").alias("n"))
+
+
+def event_stream(spark, sf_dir) -> DataFrame:
+    src = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet*").parquet(sf_dir).withColumn("event_ts", F.col("ts").cast("timestamp"))
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    import uuid
+
+    from ruleweft.streaming.run import drain
+
+    return drain(stream, f"drained_{uuid.uuid4().hex[:8]}")
+
+
+CLOSED = "(SELECT max(ts) - INTERVAL 60 SECOND FROM events)"
+
+
+@query(f"SELECT * FROM (SELECT s AS window_start, s + INTERVAL 1 DAY AS window_end, user_id, count(*) AS n FROM (SELECT user_id, ts, unnest([time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * k) FOR k IN range(4)]) AS s FROM events) WHERE ts < s + INTERVAL 1 DAY GROUP BY 1, 2, 3) WHERE window_end <= {CLOSED}")
+def stream_sliding_drained(spark, sf_dir):
+    return ntz(drained(W.stream(event_stream(spark, sf_dir), W.EventWindow("sliding", 86_400_000, 21_600_000), {"n": F.count(F.lit(1))}, ("user_id",))))
+
+
+@query(f"SELECT * FROM (SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 1 HOUR AS window_end, count(*) AS n FROM (SELECT *, sum(n0) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 3600000000 THEN 1 ELSE 0 END AS n0 FROM events)) GROUP BY user_id, g) WHERE window_end <= {CLOSED}")
+def stream_session_drained(spark, sf_dir):
+    return ntz(drained(W.stream(event_stream(spark, sf_dir), W.EventWindow("session", 3_600_000), {"n": F.count(F.lit(1))}, ("user_id",))))
+
+
+@query("SELECT user_id AS key, unnest(range(count(*) // 20)) AS block, CAST(20 AS BIGINT) AS n FROM events GROUP BY user_id")
+def stream_count_windows(spark, sf_dir):
+    return drained(W.count_windows(event_stream(spark, sf_dir), "user_id", "value", 20)).select("key", "block", "n")
+
+
+@query("SELECT a.event_id AS l_event_id, b.event_id AS r_event_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 600 SECOND WHERE a.event_type = 'view' AND b.event_type = 'purchase'")
+def stream_join(spark, sf_dir):
+    """Views and the purchases that follow within ten minutes."""
+    e = event_stream(spark, sf_dir).select("event_id", "user_id", "event_type", "event_ts")
+    return drained(W.joined(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "user_id", 600_000, 86_400_000 * 40)).select("l_event_id", "r_event_id")
