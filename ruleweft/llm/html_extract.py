@@ -37,6 +37,8 @@ BAD = frozenset(
 )
 WEAK = frozenset("header head top bottom meta tags tools links".split())
 GOOD = frozenset("article main content post entry story articlebody prose".split())
+#: Score of an ancestor that marks the main part.
+MAIN = 3.0
 #: Weight of the edge between successive blocks, and of the one between successive children of a parent.
 ADJACENT, SIBLING = 0.6, 0.6
 
@@ -48,6 +50,8 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Class names that tell of a state of the page around, not of what the element is.
+STATE = re.compile(r"(?:has|with|without|no|is|js)[-_]", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -71,7 +75,7 @@ class Block:
 def _score(name: str, attrs: str) -> float:
     score = TAG_SCORE.get(name, 0.0)
     if attrs and name not in ("html", "body") and (found := ATTR.findall(attrs)):
-        tokens = {x.lower() for a in found for x in PART.findall(a[1] or a[2] or a[3])}
+        tokens = {x.lower() for a in found for name in (a[1] or a[2] or a[3]).split() if not STATE.match(name) for x in PART.findall(name) + re.split("[-_]", name)}
         if tokens & BAD:
             score = min(score, -9.0)
         elif tokens & GOOD:
@@ -174,17 +178,27 @@ def _holder(e: Element) -> Element:
     return e
 
 
-def evidence(b: Block) -> float:
-    """For content if above 0: the ancestors' scores (the worst counts if bad, else the best), links, and the text."""
+def ancestry(b: Block) -> tuple[float, float]:
+    """The worst and the best score among a block's ancestors."""
     low = high = 0.0
     x = b.parent
     while x is not None:
         low, high = min(low, x.score), max(high, x.score)
         x = x.parent
+    return low, high
+
+
+def evidence(b: Block, low: float, high: float, marked: bool) -> float:
+    """For content if above 0: the ancestors' scores (the worst counts if bad, else the best), links, and the text.
+
+    ``marked``: the page marks its main part, so text outside it counts for less.
+    """
     words = b.text.count(" ") + 1
     own = min(2.0, words / 8) - 0.8 + 0.4 * (b.text[-1] in ".!?…:\"'") - 3.0 * b.linked / max(1, len(b.text))
     if b.parent.name == "h1":
         own += 1
+    if marked and high < MAIN:
+        own -= 3.0
     return own + (low + 0.25 * high if low <= -5 else low + high)
 
 
@@ -253,7 +267,9 @@ def main_text(html: str) -> str:
         if last.get(key, i - 1) < i - 1:
             edges.append((last[key], i, SIBLING * shared(found[last[key]].parent, b.parent)))
         last[key] = i
-    good = min_cut([evidence(b) for b in found], edges)
+    ranks = [ancestry(b) for b in found]
+    marked = any(high >= MAIN and low > -5 for low, high in ranks)
+    good = min_cut([evidence(b, *r, marked) for b, r in zip(found, ranks, strict=True)], edges)
     return " ".join(b.text for b, g in zip(found, good, strict=True) if g)
 
 

@@ -98,6 +98,7 @@ PAGES = {
     "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><ul><li><a href='/x'>Menu</a></li></ul></nav><div class='ad'>Buy this now, it is cheap.</div><article><h1>Head &amp; line</h1><p><b>First part of the text,<br>with more.<p>Second &lt;para&gt;  graph.</p></article><footer>&copy; us</footer>": "Head & line First part of the text, with more. Second <para> graph.",
     "<div class='sidebar'><p>Aside text of some length, which looks quite real.</p></div><main><p>The body of the page has a sentence here.</p><form><p>Your name:</p></form><section id='comments'><p>A reader liked the page a lot and says so.</p></section></main>": "The body of the page has a sentence here.",
     "<div id='cookie-notice'>We use cookies to make this page better for you.</div><div class='content'><p>Wo<i>rd</i>s join. <a href='x'>A link</a> stays in the text.</p><!-- <p>hidden</p> --></div>": "Words join. A link stays in the text.",
+    "<div class='layout with-sidebar'><div class='sideBar'><p>Links of the side, which are long enough to fool.</p></div><article><p>The text is here, and it ends.</p><aside>Read more about this elsewhere.</aside><div class='share-box'>Share it!</div><pre>code  too</pre><table><tr><td>a<td>b</table></article></div>": "The text is here, and it ends. code too a b",
     "no tags but a sentence of plain words, which is all there is.": "no tags but a sentence of plain words, which is all there is.",
     "": "",
 }
