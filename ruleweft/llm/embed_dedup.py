@@ -40,10 +40,17 @@ def n_passes(largest: int, cosine: float = COSINE, window: int = WINDOW, miss: f
     return max(4, math.ceil(math.log(miss) / math.log(1 - near)))
 
 
-def unit_vectors(column: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """By length of vectors: the rows that hold proper vectors and their unit vectors in double precision."""
-    lists = column.cast(pa.large_list(pa.float64()))
-    flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+def units(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision; scaled first, so that squares neither overflow nor vanish."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def proper(column: pa.Array, kind: type) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By length of vectors: the rows that hold proper vectors, and these, in the table's own precision."""
+    lists = column.cast(pa.large_list(pa.from_numpy_dtype(kind)))
+    flat = lists.values.to_numpy(zero_copy_only=False).astype(kind)
     offs = lists.offsets.to_numpy()
     size = np.where(np.array(lists.is_valid()), np.diff(offs), 0)
     out = []
@@ -52,26 +59,26 @@ def unit_vectors(column: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, n
         x = flat[offs[rows][:, None] + np.arange(d)]
         top = np.abs(x).max(1)
         good = np.isfinite(top) & (top > 0)
-        rows, x = rows[good], x[good] / top[good][:, None]
-        out.append((rows, x / np.sqrt((x * x).sum(1))[:, None]))
-    return size, out
+        out.append((rows[good], x[good]))
+    return out
 
 
 def _planes(passes: int, dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((passes, KEY_BITS, dim))
 
 
-def _keys(passes: int, seed: int):
+def _keys(passes: int, seed: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         weight = (1 << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
         for b in batches:
             ids, labels = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for rows, x in unit_vectors(b.column(2))[1]:
+            for rows, x in proper(b.column(2), kind):
                 dim = x.shape[1]
                 if dim not in planes:
                     planes[dim] = _planes(passes, dim, seed)
                 vecs = pa.array([v.tobytes() for v in x], pa.binary())
+                x = units(x)
                 for p in range(passes):
                     key = ((x @ planes[dim][p].T) > 0).astype(np.int64) @ weight
                     n = len(rows)
@@ -94,14 +101,14 @@ def _near(group: np.ndarray, ids: np.ndarray, x: np.ndarray, window: int, cosine
     return np.concatenate(a), np.concatenate(b)
 
 
-def _matrix(v: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(v.to_pylist()), np.float64).reshape(-1, dim)
+def _matrix(v: pa.Array, dim: int, kind: type) -> np.ndarray:
+    return units(np.frombuffer(b"".join(v.to_pylist()), kind).reshape(-1, dim))
 
 
 SCANNED = "a long, b long, border int, side int, at int, pass int, dim int, label long, v binary"
 
 
-def _scan(window: int, cosine: float):
+def _scan(window: int, cosine: float, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links within the partition's rows (sorted), then its first and last rows for the borders."""
         part = TaskContext.get().partitionId()
@@ -117,7 +124,7 @@ def _scan(window: int, cosine: float):
                 if e <= new_from:
                     continue
                 change = np.r_[0, np.cumsum((labels[s + 1 : e] != labels[s : e - 1]) | (passes[s + 1 : e] != passes[s : e - 1]))]
-                a, b = _near(change, ids[s:e], _matrix(v.slice(s, e - s), int(dims[s])), window, cosine)
+                a, b = _near(change, ids[s:e], _matrix(v.slice(s, e - s), int(dims[s]), kind), window, cosine)
                 keep = forest(a, b)
                 yield rows(a=a[keep], b=b[keep])
 
@@ -146,7 +153,7 @@ def _scan(window: int, cosine: float):
     return run
 
 
-def _borders(window: int, cosine: float):
+def _borders(window: int, cosine: float, kind: type):
     def run(g: pa.Table) -> pa.Table:
         g = g.sort_by([("side", "ascending"), ("at", "ascending")])
         side, dims = g.column("side").to_numpy(), g.column("dim").to_numpy()
@@ -154,21 +161,21 @@ def _borders(window: int, cosine: float):
         cut = int((side == 0).sum())
         if 0 < cut < len(side) and dims[0] == dims[-1] and (dims == dims[0]).all():
             key = g.column("label").to_numpy() * 1000 + g.column("pass").to_numpy()
-            a, b = _near(key, g.column("a").to_numpy(), _matrix(g.column("v").combine_chunks(), int(dims[0])), window, cosine, cut)
+            a, b = _near(key, g.column("a").to_numpy(), _matrix(g.column("v").combine_chunks(), int(dims[0]), kind), window, cosine, cut)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _count(cosine: float):
+def _count(cosine: float, kind: type):
     def run(g: pa.Table) -> pa.Table:
         """Links between the two blocks of a pair, by vector."""
         own, i, j = (g.column(c).to_numpy() for c in ("block", "i", "j"))
-        ids, out = g.column("vec_id").to_numpy(), []
+        ids = g.column("vec_id").to_numpy()
         n = np.zeros(len(ids), np.int64)
         for d in np.unique(sizes := np.array([len(v) for v in g.column("v").to_pylist()])).tolist():
             at = np.flatnonzero(sizes == d)
-            x = _matrix(g.column("v").combine_chunks().take(pa.array(at)), d // 8)
+            x = _matrix(g.column("v").combine_chunks().take(pa.array(at)), d // np.dtype(kind).itemsize, kind)
             left, right = at[own[at] == i[0]], at[own[at] == j[0]]
             xl, xr = x[own[at] == i[0]], x[own[at] == j[0]]
             for s in range(0, len(left), 512):
@@ -177,8 +184,7 @@ def _count(cosine: float):
                 n[left[s : s + 512]] += near.sum(1)
                 if i[0] != j[0]:
                     n[right] += near.sum(0)
-        out = {"vec_id": pa.array(ids), "n": pa.array(n)}
-        return pa.table(out)
+        return pa.table({"vec_id": pa.array(ids), "n": pa.array(n)})
 
     return run
 
@@ -187,17 +193,19 @@ def embedding_near_dedup(vectors: DataFrame, cosine: float = COSINE, window: int
     """(vec_id, n_links, component_id, kept) of each vector."""
     spark = vectors.sparkSession
     where = shared_dir(spark)
-    one = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
+    kind = np.float32 if single else np.float64
+    one = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
     no_id = one.where("vec_id IS NULL").select("vec_id")
     one = one.where("vec_id IS NOT NULL").dropDuplicates(["vec_id"])
     able = one.where("label IS NOT NULL AND embedding IS NOT NULL")
     largest = able.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
     passes = n_passes(largest[0] or 0, cosine, window, miss)
     parts = max(1, min(n_parts(spark), passes * (largest[1] or 0) // (64 * window)))
-    keyed = able.mapInArrow(_keys(passes, seed), "pass int, dim int, label long, key long, vec_id long, v binary")
+    keyed = able.mapInArrow(_keys(passes, seed, kind), "pass int, dim int, label long, key long, vec_id long, v binary")
     order = ["pass", "dim", "label", "key", "vec_id"]
-    scanned = stash(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_scan(window, cosine), SCANNED), f"{where}/scanned")
-    across = scanned.where("border IS NOT NULL").groupBy("border").applyInArrow(_borders(window, cosine), "a long, b long")
+    scanned = stash(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_scan(window, cosine, kind), SCANNED), f"{where}/scanned")
+    across = scanned.where("border IS NOT NULL").groupBy("border").applyInArrow(_borders(window, cosine, kind), "a long, b long")
     found = components(scanned.where("border IS NULL").select("a", "b").unionByName(across))
     found = stash(found.withColumnRenamed("id", "vec_id"), f"{where}/components")
 
@@ -205,8 +213,8 @@ def embedding_near_dedup(vectors: DataFrame, cosine: float = COSINE, window: int
     size = found.groupBy("component_id").agg(F.count("*").alias("size"))
     member = found.join(size, "component_id").join(able, "vec_id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     meet = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "embedding")
-    pairs = meet.mapInArrow(_as_bytes, "component_id long, i int, j int, block int, vec_id long, v binary")
-    links = pairs.groupBy("component_id", "i", "j").applyInArrow(_count(cosine), "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    pairs = meet.mapInArrow(_as_bytes(kind), "component_id long, i int, j int, block int, vec_id long, v binary")
+    links = pairs.groupBy("component_id", "i", "j").applyInArrow(_count(cosine, kind), "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     links = stash(links, f"{where}/links")
     remove(spark, f"{where}/scanned")
     out = one.select("vec_id").join(found, "vec_id", "left").join(links, "vec_id", "left").unionByName(no_id, allowMissingColumns=True)
@@ -215,9 +223,12 @@ def embedding_near_dedup(vectors: DataFrame, cosine: float = COSINE, window: int
     )
 
 
-def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        at = b.schema.get_field_index("embedding")
-        for rows, x in unit_vectors(b.column(at))[1]:
-            own = b.take(pa.array(rows))
-            yield pa.record_batch([*(own.column(c) for c in range(at)), pa.array([v.tobytes() for v in x], pa.binary())], ["component_id", "i", "j", "block", "vec_id", "v"])
+def _as_bytes(kind: type):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("embedding")
+            for rows, x in proper(b.column(at), kind):
+                own = b.take(pa.array(rows))
+                yield pa.record_batch([*(own.column(c) for c in range(at)), pa.array([v.tobytes() for v in x], pa.binary())], ["component_id", "i", "j", "block", "vec_id", "v"])
+
+    return run
