@@ -8,7 +8,7 @@ attempt lie in folders that no manifest names.
 
 Null texts count as empty; rows without an id go with the first arrival; equal rows stay as many as they are; a very
 long text may make a shard larger than the target; an empty table makes a version without shards; all columns of the
-table are kept (a column named like the engine's own, ``_shard``, is refused).
+table are kept, also those named like the operator's own (``_shard`` gets more underscores then).
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ruleweft.llm.common import shared_dir
@@ -26,6 +27,13 @@ ARRIVAL, TARGET, FAN_IN = 2 << 20, 64 << 20, 2
 MANIFEST = "shard long, folder string, docs long, bytes long"
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column has it."""
+    while name in columns:
+        name = f"_{name}"
+    return name
+
+
 class Dataset:
     """A folder of shards (``data/<attempt>/_shard=n``), manifests and version markers."""
 
@@ -66,26 +74,28 @@ class Dataset:
             out.close()
         return after + 1
 
-    def shards(self, docs: DataFrame, shard, text: str = "text", by_shard: bool = False) -> DataFrame:
-        """Writes ``docs`` as shards numbered by the column ``shard``; returns their manifest rows."""
-        if "_shard" in docs.columns:
-            raise ValueError("the table has a column _shard")
+    def shards(self, docs: DataFrame, shard, text: str = "text", moved: str | None = None) -> DataFrame:
+        """Writes ``docs`` as shards numbered by the column ``shard``; returns their manifest rows.
+
+        ``moved``: a helper column that isn't written; rows are then dealt by shard, so that each is one file.
+        """
+        name = free("_shard", [c for c in docs.columns if c != moved])
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        rows = docs.withColumn("_shard", shard)
-        rows = rows.repartition("_shard") if by_shard else rows
-        rows.write.option("compression", "zstd").partitionBy("_shard").parquet(folder)
+        rows = docs.withColumn(name, shard)
+        rows = rows.drop(moved).repartition(name) if moved else rows
+        rows.write.option("compression", "zstd").partitionBy(name).parquet(folder)
         made = self.spark.read.schema(rows.schema).parquet(folder)
         size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-        return made.groupBy(F.col("_shard").cast("long").alias("shard")).agg(F.count("*").alias("docs"), F.sum(size).alias("bytes")).select("shard", F.lit(folder).alias("folder"), "docs", "bytes")
+        return made.groupBy(F.col(name).cast("long").alias("shard")).agg(F.count("*").alias("docs"), F.sum(size).alias("bytes")).select("shard", F.lit(folder).alias("folder"), "docs", "bytes")
 
-    def read(self, schema, version: int | None = None) -> DataFrame:
-        """The rows of a version, with the number of their shard in ``_shard``."""
-        manifest = self.manifest(version)
+    def read(self, schema, version: int | None = None) -> DataFrame | None:
+        """The rows of a version, with the number of their shard in ``_shard`` (see ``free``); None without shards."""
+        manifest, name = self.manifest(version), free("_shard", schema.names)
         out = None
         for row in manifest.select("folder").distinct().orderBy("folder").collect():  # one folder an append or merge
-            own = manifest.where(F.col("folder") == row["folder"]).select(F.col("shard").alias("_shard"))
-            data = self.spark.read.schema(schema.add("_shard", "long") if "_shard" not in schema.names else schema).parquet(row["folder"])
-            data = data.join(own, "_shard", "left_semi")
+            own = manifest.where(F.col("folder") == row["folder"]).select(F.col("shard").alias(name))
+            data = self.spark.read.schema(T.StructType([*schema.fields, T.StructField(name, T.LongType())])).parquet(row["folder"])
+            data = data.join(own, name, "left_semi")
             out = data if out is None else out.unionByName(data)
         return out
 
@@ -126,8 +136,10 @@ def compact(data: Dataset, schema, target: int = TARGET, fan_in: int = FAN_IN) -
     if moves.isEmpty():
         return version
     first = old.agg(F.max("shard")).first()[0] + 1
-    rows = data.read(schema, version).join(moves.select(F.col("shard").alias("_shard"), "merged"), "_shard").drop("_shard")
-    new = data.shards(rows.withColumnRenamed("merged", "_merged"), F.col("_merged") + F.lit(first), by_shard=True)
+    own = free("_shard", schema.names)
+    moved = free("_moved", [*schema.names, own])
+    rows = data.read(schema, version).join(moves.select(F.col("shard").alias(own), F.col("merged").alias(moved)), own).drop(own)
+    new = data.shards(rows, F.col(moved) + F.lit(first), moved=moved)
     return data.commit(old.join(moves, "shard", "left_anti").unionByName(new), version)
 
 
@@ -139,11 +151,13 @@ def size_tiered_shards(docs: DataFrame, arrival_bytes: int = ARRIVAL, target: in
     data = Dataset(docs.sparkSession, shared_dir(docs.sparkSession))
     append(data, docs, arrival_bytes)
     version = compact(data, docs.schema, target, fan_in)
-    manifest = data.manifest(version).select(F.col("shard").alias("_shard"), F.col("docs").alias("shard_docs"), F.col("bytes").alias("shard_bytes"))
+    own = free("_shard", docs.columns)
+    manifest = data.manifest(version).select(F.col("shard").alias(own), F.col("docs").alias("shard_docs"), F.col("bytes").alias("shard_bytes"))
     rows = data.read(docs.schema, version)
     if rows is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, shard long, shard_docs long, shard_bytes long, version int")
-    return rows.join(manifest, "_shard").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_shard").alias("shard"), "shard_docs", "shard_bytes", F.lit(version).alias("version"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), own)
+    return rows.join(manifest, own).select("doc_id", F.col(own).alias("shard"), "shard_docs", "shard_bytes", F.lit(version).alias("version"))
 
 
 ORACLE_SQL = f"""

@@ -440,8 +440,11 @@ def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     where = shared_dir(docs.sparkSession)
     one = _unique(docs)
     found = repeats(ids_and_text(one), where, batches)
-    bare = docs.where("doc_id IS NULL").withColumn("_notes", F.lit(None).cast(found.schema["notes"].dataType))
-    both = one.join(found.withColumnRenamed("notes", "_notes"), "doc_id", "left").select(*docs.columns, "_notes").unionByName(bare)
+    own = "_notes"
+    while own in docs.columns:
+        own = f"_{own}"
+    bare = docs.where("doc_id IS NULL").withColumn(own, F.lit(None).cast(found.schema["notes"].dataType))
+    both = one.join(found.withColumnRenamed("notes", own), "doc_id", "left").select(*docs.columns, own).unionByName(bare)
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

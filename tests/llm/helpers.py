@@ -35,5 +35,5 @@ def clashing(docs):
     """The same rows with columns named like the operators' own."""
     from pyspark.sql import functions as F
 
-    names = ("id", "a", "b", "key", "bucket", "node", "bin", "offset", "final", "length", "piece", "component_id", "kept", "label", "score", "notes", "_n", "n_words")
+    names = ("id", "a", "b", "key", "bucket", "node", "bin", "offset", "final", "length", "piece", "component_id", "kept", "label", "score", "notes", "_n", "n_words", "_notes", "_shard", "_moved", "shard", "merged", "_kept", "folder", "docs", "bytes", "items", "n_shingles", "set1", "c0", "y", "all")
     return docs.withColumns({n: F.lit(-1) for n in names})

@@ -131,8 +131,8 @@ def test_quality_counts(docs, values, empty, spark):
         assert got[i][:6] == plain_quality(x), repr(x)[:60]
         assert got[i][6] == (not got[i][5])  # without labels every line is content
     assert quality.quality(empty, crf).count() == 0
-    kept = quality.only_good(docs, crf)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in got if got[i][6]}
+    kept = quality.only_good(clashing(docs), crf)
+    assert kept.columns == clashing(docs).columns and {r["doc_id"] for r in kept.collect()} == {i for i in got if got[i][6]}
 
 
 def test_quality_learns(spark):
@@ -195,8 +195,8 @@ def test_suffix_dedup(spark, values, empty, small, monkeypatch):
         got = rows(suffix_dedup.suffix_dedup(clashing(d), batches), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
         assert [got[i] for i in range(len(values))] == want
     if not small:
-        cut = suffix_dedup.without_repeats(d)
-        assert cut.columns == d.columns and cut.count() == len(values)
+        cut = suffix_dedup.without_repeats(clashing(d))
+        assert cut.columns == clashing(d).columns and cut.count() == len(values)
         assert all((r["text"] is None) == (values[r["doc_id"]] is None) for r in cut.collect())
         assert suffix_dedup.suffix_dedup(empty).count() == 0
         null = spark.createDataFrame([(None, "z" * 300, "en", "s", 300), (1, "z" * 99, "en", "s", 99)], SCHEMA)
@@ -241,7 +241,7 @@ def test_minhash(spark, values, empty):
     assert [got[i] for i in range(len(values))] == [(n, c, c == i) for i, (n, c) in enumerate(want)]
     assert minhash.minhash_near_dedup(empty).count() == 0
     d = documents(spark, values)
-    assert {r["doc_id"] for r in minhash.one_of_each(d).collect()} == {c for _, c in want}
+    assert {r["doc_id"] for r in minhash.one_of_each(clashing(d)).collect()} == {c for _, c in want}
     null = spark.createDataFrame([(None, chain[0], "en", "s", 1), (4, chain[0], "en", "s", 1), (4, chain[0], "en", "s", 1)], SCHEMA)
     assert sorted((r["component_id"] or -1, r["kept"]) for r in minhash.minhash_near_dedup(null).collect()) == [(-1, False), (4, True), (4, True)]
 
@@ -285,8 +285,8 @@ def test_toxicity(spark, empty):
     own = [i for i in range(600) if got[i][0]]
     assert sum(got[i][2] == int(i % 4 == 0) for i in own) >= 0.98 * len(own)
     assert got[600] == (got[600][0], got[601][1], 0) and got[603][2] == 1
-    kept = toxicity.without_toxic(d, labels)
-    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {i for i in got if got[i][2] == 0}
+    kept = toxicity.without_toxic(clashing(d), labels)
+    assert kept.columns == clashing(d).columns and {r["doc_id"] for r in kept.collect()} == {i for i in got if got[i][2] == 0}
     assert toxicity.toxicity(empty, labels).count() == 0
     assert {r["predicted"] for r in toxicity.toxicity(d, labels.limit(0)).collect()} == {0}
 
@@ -296,7 +296,7 @@ def test_toxicity(spark, empty):
 
 def test_sharding(spark, docs, values, empty):
     size = [len((v or "").encode()) for v in values]
-    got = rows(sharding.size_tiered_shards(docs, 10_000, 60_000, 2), "doc_id", "shard", "shard_docs", "shard_bytes", "version")
+    got = rows(sharding.size_tiered_shards(clashing(docs), 10_000, 60_000, 2), "doc_id", "shard", "shard_docs", "shard_bytes", "version")
     n = max(1, -(-sum(size) // 10_000))
     width = -(-len(size) // n)
     of = [i // width for i in range(len(size))]
@@ -340,6 +340,6 @@ def test_manifest(spark, docs, tmp_path):
 
 def test_licenses(spark, empty):
     files = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.txt", "words and words"), (3, "a/b/c/LICENSE", "Licensed under the Apache License, Version 2.0."), (4, "a/b/c/d/y.txt", "more words"), (5, "z/w.txt", "a plain text\nThis work is licensed under the GNU General Public License, version 3.\n" + "word " * 50), (6, "z/v.txt", None), (7, "z/u.txt", ""), (8, "top.txt", "nothing here but the licensed bar")]
-    got = rows(licenses.license_scan(spark.createDataFrame(files, "doc_id bigint, path string, text string")), "doc_id", "license", "origin", "from_doc_id")
+    got = rows(licenses.license_scan(clashing(spark.createDataFrame(files, "doc_id bigint, path string, text string"))), "doc_id", "license", "origin", "from_doc_id")
     assert got == {1: ("MIT", "own", 1), 2: ("MIT", "inherited", 1), 3: ("Apache-2.0", "own", 3), 4: ("Apache-2.0", "inherited", 3), 5: ("GPL-3.0", "own", 5), 6: ("none", "none", None), 7: ("none", "none", None), 8: ("none", "none", None)}
     assert licenses.license_scan(licenses.with_paths(empty)).count() == 0
