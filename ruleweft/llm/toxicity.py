@@ -2,7 +2,7 @@
 
 Tokens are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. Log-odds with an informative Dirichlet prior
 compare how many toxic and clean labelled texts hold a token, or a prefix of one (which covers inflected and compound
-forms); features whose z-score is high enough form the lexicon, and any other token costs ``gap``. A linear-time scan
+forms); features whose likelihood ratio is high enough form the lexicon, and any other token costs ``gap``. A linear-time scan
 over a text's tokens yields all maximal scoring segments. A segment of score S in a text of n tokens is judged by
 extreme-value statistics, p = 1 - exp(-K n exp(-lambda S)); the text's evidence is the sum of -ln p over its
 significant segments, and a logistic curve fitted on the labelled sample turns evidence into a probability.
@@ -26,9 +26,10 @@ from ruleweft.llm.sampling import fitted, held_out, parts
 
 #: Lengths in bytes of the prefixes that are features besides the whole token (0).
 PREFIXES = (0, 4, 5, 6, 7)
-#: z-score of a feature's shares of texts, and log-odds, from which a feature is in the lexicon, and the fewest toxic texts that hold it. The log-odds
-#: keep out the plain words of a language that merely has more toxic texts than others.
-Z, LOG_ODDS, LEAST_TEXTS = 6.0, 2.5, 4
+#: Likelihood ratio (G) of a feature's counts and log-odds from which it is in the lexicon, and the fewest toxic texts
+#: that hold it. G is high enough for a million features to be tested; the log-odds keep out the plain words of a
+#: language that merely has more toxic texts than others.
+LIKELIHOOD, LOG_ODDS, LEAST_TEXTS = 23.0, 2.5, 4
 #: Cost of a token outside the lexicon, and what the prior counts for, in texts.
 GAP, PRIOR = 0.05, 4.0
 #: p-value up to which a segment is significant.
@@ -144,9 +145,9 @@ def fit(texts: pa.Array, y: np.ndarray, counts: dict[int, int]) -> Model:
         a1, a0 = pos + prior * n1 / (n1 + n0), neg + prior * n0 / (n1 + n0)
         b1, b0 = n1 + PRIOR - a1, n0 + PRIOR - a0
         delta = np.log(a1 / np.maximum(b1, 0.5)) - np.log(a0 / np.maximum(b0, 0.5))
-        share = (pos + neg) / (n1 + n0)
-        z = (pos / n1 - neg / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-        keep = (z >= Z) & (pos >= LEAST_TEXTS) & (delta >= LOG_ODDS)
+        part = lambda got, want: got * np.log(np.maximum(got, 1e-12) / want)
+        g = 2 * (part(pos, (pos + neg) * n1 / (n1 + n0)) + part(neg, (pos + neg) * n0 / (n1 + n0)))
+        keep = (g >= LIKELIHOOD) & (pos >= LEAST_TEXTS) & (delta >= LOG_ODDS)
         keys.append(f[keep])
         scores.append(delta[keep])
     model = Model(keys, scores, 1.0, 1.0, 0.0, 0.0)
