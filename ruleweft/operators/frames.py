@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ruleweft.model import Aggregate
 from ruleweft.operators.predicates import compile_condition, resolver
+from ruleweft.sources.shared import durable
 
 TIME, ID = "event_ts", "fact_id"
 
@@ -21,12 +22,14 @@ def millis(c: str | Column = TIME) -> Column:
 def positions(df: DataFrame, order: list, name: str = "_pos") -> DataFrame:
     """Numbers rows from 0 in a total order without gathering them: counts by range partition, then row numbers within.
 
-    Partitions are ranges of the order, so only their counts meet in one place.
+    Partitions are ranges of the order, so only their counts meet in one place. Bounds of ranges are sampled anew
+    whenever a plan runs, so the dealt rows are written once.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = durable(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     w = Window.partitionBy("_part")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    # one row for each partition
     return ranged.withColumn("_rn", F.row_number().over(w.orderBy(*order)) - 1).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_rn")).drop("_part", "_rn", "_before")
 
 
@@ -36,10 +39,24 @@ def last(df: DataFrame, n: int) -> DataFrame:
 
 
 def sessions(df: DataFrame, keys: list[str], gap_ms: int, name: str = "_session") -> DataFrame:
-    """Numbers sessions of each key: a gap longer than ``gap_ms`` begins a new one."""
-    w = Window.partitionBy(*keys).orderBy(millis(), ID) if keys else Window.orderBy(millis(), ID)
+    """Numbers sessions of each key: a gap longer than ``gap_ms`` begins a new one.
+
+    Without keys the sessions are those of all facts together: numbered within ranges of time, and on from the ranges
+    before, of which only the ends and counts meet in one place.
+    """
+    by = list(keys)
+    if not keys:
+        df, by = durable(df.repartitionByRange(millis(), ID).withColumn("_part", F.spark_partition_id())), ["_part"]
+    w = Window.partitionBy(*by).orderBy(millis(), ID)
     new = (millis() - F.lag(millis()).over(w) > gap_ms).cast("int")
-    return df.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    out = df.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    if keys:
+        return out
+    ends = out.groupBy("_part").agg(F.min(millis()).alias("_lo"), F.max(millis()).alias("_hi"), F.max(name).alias("_n"))
+    order = Window.orderBy("_part")
+    step = F.coalesce(F.lag("_n").over(order), F.lit(0)) + F.coalesce((F.col("_lo") - F.lag("_hi").over(order) > gap_ms).cast("int"), F.lit(0))
+    base = ends.withColumn("_step", step).withColumn("_base", F.sum("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("_part", "_base")
+    return out.join(F.broadcast(base), "_part").withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base")
 
 
 def framed(facts: DataFrame, store: DataFrame, spec: Aggregate, flag: str, value: Callable) -> DataFrame:

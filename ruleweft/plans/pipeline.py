@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ruleweft.model import Rule, RuleError
 from ruleweft.plans.engine import Engine, apply
+from ruleweft.sources.shared import durable
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,7 @@ def run(stages: list[Stage], facts: DataFrame, checkpoint: bool = False, first_i
             facts_next = facts_next.unionByName(engine.created(own, s.created, first_id + (i << 32)), allowMissingColumns=True)
         own = own.withColumn("stage", F.lit(s.name))
         fired = own if fired is None else fired.unionByName(own)
-        facts = facts_next.checkpoint() if checkpoint else facts_next
+        facts = durable(facts_next) if checkpoint else facts_next
     return facts, fired
 
 
@@ -63,8 +64,9 @@ def to_fixpoint(engine: Engine, facts: DataFrame, schema: str, most: int = 10, f
     fresh = facts
     for i in range(most):
         made = engine.created(engine.evaluate(fresh), schema, first_id + (i << 32)).dropDuplicates(names)
-        new = made.join(facts.select(*(F.col(n).alias(f"_{n}") for n in names)), [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names], "left_anti").checkpoint()
+        new = made.join(facts.select(*(F.col(n).alias(f"_{n}") for n in names)), [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names], "left_anti")
+        new = durable(new)
         if new.isEmpty():
             return facts, i
-        facts, fresh = facts.unionByName(new, allowMissingColumns=True).checkpoint(), facts.limit(0).unionByName(new, allowMissingColumns=True)
+        facts, fresh = durable(facts.unionByName(new, allowMissingColumns=True)), facts.limit(0).unionByName(new, allowMissingColumns=True)
     return facts, most

@@ -133,6 +133,9 @@ def test_frames(spark):
     assert m(Frame("last", 2), 16.0) == [2, 4]
     assert m(Frame("block", 2), 3.0) == [0, 1, 2, 3, 4]
     assert m(Frame("session", 5000), 8.0) == [3, 4]
+    many = times(spark, *((s, "a", 1) for s in [*range(0, 300, 3), *range(400, 700, 3), 710, 900]))
+    numbered = {r["fact_id"]: r["_session"] for r in frames.sessions(many.repartition(4), [], 10_000).collect()}
+    assert [numbered[i] for i in range(len(numbered))] == [0] * 100 + [1] * 100 + [2, 3]
     got = {r["fact_id"]: r["_pos"] for r in frames.positions(df, ["event_ts", "fact_id"]).collect()}
     assert got == {i: i for i in range(5)}
 
