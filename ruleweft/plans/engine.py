@@ -58,6 +58,12 @@ def narrow(facts: DataFrame, rules: list[Rule]) -> DataFrame:
     return facts if any(c is None for c in own) else facts.where(reduce(or_, own))
 
 
+def chunked(cases: list[Column]) -> Column:
+    """One array of all cases, built in parts that keep generated methods small."""
+    arrays = [F.array(*cases[i : i + CHUNK]) for i in range(0, len(cases), CHUNK)]
+    return arrays[0] if len(arrays) == 1 else F.flatten(F.array(*arrays))
+
+
 class Engine:
     """Rules by id, in a session of their own; compiled against a table's schema when they are evaluated."""
 
@@ -120,8 +126,7 @@ class Engine:
         cases = [F.when(compile_rule(r.conditions, resolve, lambda c: F.col(flags[c])), F.lit(r.id).cast("bigint")) for r in rules]
         if not cases:
             return facts.sparkSession.createDataFrame([], "rule_id bigint, fact_id bigint")
-        arrays = [F.array_compact(F.array(*cases[i : i + CHUNK])) for i in range(0, len(cases), CHUNK)]
-        return facts.select(F.explode(F.flatten(F.array(*arrays))).alias("rule_id"), F.col(self.fact_id).cast("bigint").alias("fact_id"))
+        return facts.select(F.explode(chunked(cases)).alias("rule_id"), F.col(self.fact_id).cast("bigint").alias("fact_id")).where("rule_id IS NOT NULL")
 
     def evaluate(self, facts: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """All firings: one row for each action of each match. Aggregates see ``history`` and ``facts``."""
@@ -147,13 +152,14 @@ class Engine:
         store = facts if history is None else history.unionByName(facts, allowMissingColumns=True)
         facts, flags = self._flags(narrow(facts, rules), store, rules)
         resolve = resolver(facts.schema)
+        single = all(len(r.actions) == 1 for r in rules)
         cases: list[Column] = []
         for r in rules:
-            rows = F.array(*(firing(r.id, seq, a, resolve) for seq, a in ordered(r.actions)))
-            cases.append(F.when(compile_rule(r.conditions, resolve, lambda c: F.col(flags[c])), rows))
-        arrays = [F.flatten(F.array_compact(F.array(*cases[i : i + CHUNK]))) for i in range(0, len(cases), CHUNK)]
-        fired = arrays[0] if len(arrays) == 1 else F.flatten(F.array(*arrays))
-        return facts.select(F.col(self.fact_id).cast("bigint").alias("fact_id"), F.inline(fired)).select(*COLUMNS)
+            rows = [firing(r.id, seq, a, resolve) for seq, a in ordered(r.actions)]
+            cases.append(F.when(compile_rule(r.conditions, resolve, lambda c: F.col(flags[c])), rows[0] if single else F.array(*rows)))
+        # rows that didn't match are dropped after the explosion: all of it stays in generated code, lambdas would not
+        fired = facts.select(F.col(self.fact_id).cast("bigint").alias("fact_id"), F.explode(chunked(cases)).alias("_fired")).where("_fired IS NOT NULL")
+        return (fired.select("fact_id", "_fired.*") if single else fired.select("fact_id", F.inline("_fired"))).select(*COLUMNS)
 
     def _lookup(self, spark: SparkSession, facts: DataFrame, by_field: dict[str, list[Rule]]) -> DataFrame:
         """Facts meet the tables of rules by hash joins on broadcast sides of a bounded number of rules."""
