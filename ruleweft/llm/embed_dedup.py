@@ -3,8 +3,11 @@
 Each pass orders the vectors of a label lexicographically by a key of concatenated random-projection hashes and
 compares each with a bounded window of neighbours; verified pairs of all passes are united. How many passes there are
 follows from the wanted recall at the threshold and from the size of the largest label. Neighbour windows cross the
-borders of partitions. The links of every component are then counted in blocks, which a bounded window can't do for
-crowded vectors: blocks of one component meet pairwise, and only counts leave them.
+borders of partitions. Where a label's vectors point the same way, hash bits hardly split it, and a range of equal
+prefixes holds more than a window: the vectors of such a range meet in full across the components found so far, in
+blocks from which only links come out. If that is more work than comparing the whole label once, the label is. The
+links of every component are then counted in blocks, which a bounded window can't do for crowded vectors: blocks of one
+component meet pairwise, and only counts leave them.
 
 Vectors that are null, empty or zero, hold null or non-finite components, or have no label link with nothing; so do
 vectors of different lengths. Equal vectors are linked. Rows that share a vec_id are one vector (any of them); rows
@@ -29,14 +32,19 @@ COSINE, WINDOW, MISS, BLOCK = 0.98, 32, 1e-4, 2048
 KEY_BITS = 63
 
 
+def prefix_bits(largest: int, window: int = WINDOW) -> int:
+    """Key bits that split a label of ``largest`` rows into ranges of a window's size, if each bit halves it."""
+    return max(1, math.ceil(math.log2(max(2, largest) / window)))
+
+
 def n_passes(largest: int, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS) -> int:
     """Passes after which a pair at the threshold is missed with probability ``miss`` in a label of ``largest`` rows.
 
-    Two vectors at angle t agree in a random hyperplane's sign with probability 1 - t / pi; they are neighbours if they
-    agree in the first bits that split the label into runs of a window's size.
+    Two vectors at angle t agree in a random hyperplane's sign with probability 1 - t / pi, however the label's vectors
+    lie; they are compared if they agree in the prefix, as ranges larger than a window are compared in full.
     """
     agree = 1 - math.acos(cosine) / math.pi
-    near = agree ** max(1.0, math.log2(max(2, largest) / window))
+    near = agree ** prefix_bits(largest, window)
     return max(4, math.ceil(math.log(miss) / math.log(1 - near)))
 
 
@@ -67,7 +75,7 @@ def _planes(passes: int, dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((passes, KEY_BITS, dim))
 
 
-def _keys(passes: int, seed: int, kind: type):
+def _keys(passes: int, seed: int, kind: type, vectors: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         weight = (1 << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
@@ -77,12 +85,12 @@ def _keys(passes: int, seed: int, kind: type):
                 dim = x.shape[1]
                 if dim not in planes:
                     planes[dim] = _planes(passes, dim, seed)
-                vecs = pa.array([v.tobytes() for v in x], pa.binary())
+                vecs = [pa.array([v.tobytes() for v in x], pa.binary())] if vectors else []
                 x = units(x)
                 for p in range(passes):
                     key = ((x @ planes[dim][p].T) > 0).astype(np.int64) @ weight
                     n = len(rows)
-                    yield pa.record_batch([pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(labels[rows]), pa.array(key), pa.array(ids[rows]), vecs], ["pass", "dim", "label", "key", "vec_id", "v"])
+                    yield pa.record_batch([pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(labels[rows]), pa.array(key), pa.array(ids[rows]), *vecs], ["pass", "dim", "label", "key", "vec_id", *["v"] * vectors])
 
     return run
 
@@ -167,6 +175,52 @@ def _borders(window: int, cosine: float, kind: type):
     return run
 
 
+def _meet(cosine: float, kind: type):
+    def run(g: pa.Table) -> pa.Table:
+        """Links between the asking vectors of a block and the others, across components."""
+        asks = g.column("asks").to_numpy()
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(left) and len(right):
+            ids, c = g.column("vec_id").to_numpy(), g.column("c").to_numpy()
+            x = _matrix(g.column("v").combine_chunks(), g.column("dim")[0].as_py(), kind)
+            xr = x[right].T
+            for s in range(0, len(left), 512):
+                own = left[s : s + 512]
+                i, j = np.nonzero((x[own] @ xr >= cosine) & (c[own][:, None] != c[right][None]))
+                keep = forest(ids[own[i]], ids[right[j]])
+                a.append(ids[own[i]][keep])
+                b.append(ids[right[j]][keep])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
+def _crowded(able: DataFrame, found: DataFrame, passes: int, bits: int, window: int, cosine: float, block: int, seed: int, kind: type, where: str) -> DataFrame:
+    """Links (a, b) across the components ``found`` in ranges of equal prefixes that are larger than a window."""
+    spot = ["pass", "dim", "label", "prefix"]
+    keyed = able.mapInArrow(_keys(passes, seed, kind, vectors=False), "pass int, dim int, label long, key long, vec_id long")
+    placed = keyed.select("pass", "dim", "label", F.shiftright("key", KEY_BITS - bits).alias("prefix"), "vec_id").join(found, "vec_id", "left")
+    placed = placed.withColumn("c", F.coalesce("component_id", "vec_id")).drop("component_id")
+    # the whole label is one more range, as of a pass -1
+    whole = placed.where("pass = 0").withColumns({"pass": F.lit(-1), "prefix": F.lit(0).cast("long")})
+    placed = stash(placed.unionByName(whole), f"{where}/placed")
+    top = placed.groupBy(*spot, "c").agg(F.count("*").alias("n")).groupBy(*spot).agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top"))
+    # members of the largest component needn't meet each other: the rest asks, all answer
+    top = top.where((F.col("n") > window + 1) & (F.col("n") > F.col("top.n"))).withColumn("work", (F.col("n") - F.col("top.n")).cast("double") * F.col("n"))
+    work = top.groupBy("dim", "label").agg(F.sum(F.when(F.col("pass") >= 0, F.col("work"))).alias("ranges"), F.max(F.when(F.col("pass") < 0, F.col("work"))).alias("all"))
+    by_range = F.coalesce(F.coalesce("ranges", F.lit(0.0)) <= F.col("all"), F.lit(True))
+    chosen = top.join(work, ["dim", "label"]).where((F.col("pass") >= 0) == by_range).select(*spot, F.col("top.c").alias("top"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    each = placed.join(chosen, spot).join(able.select("vec_id", "embedding"), "vec_id")
+    own = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cols = [*spot, "i", "j", "vec_id", "c"]
+    asks = each.where("c <> top").withColumn("i", own).withColumn("j", other).select(*cols, F.lit(True).alias("asks"), "embedding")
+    told = each.withColumn("j", own).withColumn("i", other).select(*cols, F.lit(False).alias("asks"), "embedding")
+    meet = asks.unionByName(told).mapInArrow(_as_bytes(kind), "pass int, dim int, label long, prefix long, i int, j int, vec_id long, c long, asks boolean, v binary")
+    return meet.groupBy(*spot, "i", "j").applyInArrow(_meet(cosine, kind), "a long, b long")
+
+
 def _count(cosine: float, kind: type):
     def run(g: pa.Table) -> pa.Table:
         """Links between the two blocks of a pair, by vector."""
@@ -206,7 +260,10 @@ def embedding_near_dedup(vectors: DataFrame, cosine: float = COSINE, window: int
     order = ["pass", "dim", "label", "key", "vec_id"]
     scanned = stash(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_scan(window, cosine, kind), SCANNED), f"{where}/scanned")
     across = scanned.where("border IS NOT NULL").groupBy("border").applyInArrow(_borders(window, cosine, kind), "a long, b long")
-    found = components(scanned.where("border IS NULL").select("a", "b").unionByName(across))
+    near = stash(scanned.where("border IS NULL").select("a", "b").unionByName(across), f"{where}/near")
+    found = components(near).withColumnRenamed("id", "vec_id")
+    rest = stash(_crowded(able, found, passes, prefix_bits(largest[0] or 0, window), window, cosine, block, seed, kind, where), f"{where}/rest")
+    found = components(near.unionByName(rest))
     found = stash(found.withColumnRenamed("id", "vec_id"), f"{where}/components")
 
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")
@@ -216,7 +273,8 @@ def embedding_near_dedup(vectors: DataFrame, cosine: float = COSINE, window: int
     pairs = meet.mapInArrow(_as_bytes(kind), "component_id long, i int, j int, block int, vec_id long, v binary")
     links = pairs.groupBy("component_id", "i", "j").applyInArrow(_count(cosine, kind), "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     links = stash(links, f"{where}/links")
-    remove(spark, f"{where}/scanned")
+    for name in ("scanned", "placed", "near", "rest"):
+        remove(spark, f"{where}/{name}")
     out = one.select("vec_id").join(found, "vec_id", "left").join(links, "vec_id", "left").unionByName(no_id, allowMissingColumns=True)
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept")
@@ -229,6 +287,6 @@ def _as_bytes(kind: type):
             at = b.schema.get_field_index("embedding")
             for rows, x in proper(b.column(at), kind):
                 own = b.take(pa.array(rows))
-                yield pa.record_batch([*(own.column(c) for c in range(at)), pa.array([v.tobytes() for v in x], pa.binary())], ["component_id", "i", "j", "block", "vec_id", "v"])
+                yield pa.record_batch([*(own.column(c) for c in range(at)), pa.array([v.tobytes() for v in x], pa.binary())], [*b.schema.names[:at], "v"])
 
     return run

@@ -61,6 +61,22 @@ def test_embeddings(spark):
     assert embed_dedup.embedding_near_dedup(twice).count() == 6
 
 
+def test_concentrated_embeddings(spark):
+    """A label of mean cosine 0.9, which hash bits hardly split, with isolated pairs at cosine 0.9805."""
+    rnd = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    mean = unit(rnd.normal(size=64))
+    x = unit(np.sqrt(0.9) * mean + np.sqrt(0.1) * unit(rnd.normal(size=(4000, 64))))
+    off = rnd.normal(size=(1000, 64))
+    off = unit(off - (off * x[:1000]).sum(1, keepdims=True) * x[:1000])
+    x = np.concatenate([x, 0.9805 * x[:1000] + np.sqrt(1 - 0.9805**2) * off]).astype(np.float32)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<float>, label int")
+    u = unit(x.astype(np.float64))
+    want = (u @ u.T >= embed_dedup.COSINE).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.embedding_near_dedup(df).collect()}
+    assert want.sum() >= 2000 and [got[i] for i in range(len(x))] == want.tolist()
+
+
 def test_passes():
     assert embed_dedup.n_passes(5_000) < embed_dedup.n_passes(5_000_000) < 100
 
