@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: each stage works on all that the stage before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs; all but the last return the columns of ``documents``.
+next stage's docs; all but the last return the columns of ``documents``. Near duplicates are documents whose shingle
+sets have a similarity of ``NEAR_PERCENT`` % or more.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from ruleweft.llm.quality import only_good, train
 from ruleweft.llm.suffix_dedup import without_repeats
 from ruleweft.llm.toxicity import without_toxic
 
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return only_good(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -25,7 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    return one_of_each(docs, NEAR_PERCENT)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

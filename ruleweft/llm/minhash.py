@@ -1,7 +1,7 @@
 """Near-duplicate documents by MinHash with tensored banding, confirmed on full shingle sets.
 
-``COLLECTIONS`` small collections of ``PER_COLLECTION`` minhashes each are computed once; a table key joins two of
-them, so 30 minhashes serve 45 tables of six. Documents with equal sets form a class first, and only its smallest id
+Small collections of ``PER_COLLECTION`` minhashes each are computed once; a table key joins two of them, so at the
+threshold of 85 % 30 minhashes serve 45 tables of six. Lower thresholds take more collections. Documents with equal sets form a class first, and only its smallest id
 goes on. In each table bucket all members are compared with one pivot, which keeps a bucket of near copies linear;
 links that these confirm are contracted to components. Members that are still outside their pivot's component are
 then compared with all of their neighbourhood, without any cap, in blocks from which only links come out.
@@ -28,11 +28,21 @@ from ruleweft.llm.components import components
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
-COLLECTIONS, PER_COLLECTION = 10, 3
+PER_COLLECTION = 3
+#: Probability that all tables miss a pair at the threshold, at most.
+MISS = 0.00125
 #: Documents in a block of those that still have to meet.
 BLOCK = 1024
 
 
+def n_collections(percent: int, miss: float = MISS, k: int = PER_COLLECTION) -> int:
+    """The fewest collections of which a pair at the threshold shares less than two with probability ``miss`` at most."""
+    p, m = (min(max(percent, 1), 99) / 100) ** k, 2
+    while (1 - p) ** m + m * p * (1 - p) ** (m - 1) > miss:
+        m += 1
+    return m
+
+
 def shingles(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, sorted within rows, and the n + 1 offsets."""
     data = LOWER[data]
@@ -53,7 +63,7 @@ def shingles(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.n
     return keys[first], np.searchsorted(own[first], np.arange(len(n) + 1))
 
 
-def collections(keys: np.ndarray, at: np.ndarray, m: int = COLLECTIONS, k: int = PER_COLLECTION) -> np.ndarray:
+def collections(keys: np.ndarray, at: np.ndarray, m: int, k: int = PER_COLLECTION) -> np.ndarray:
     """The rows' ``m`` collection keys, each the hash of ``k`` minhashes; 0 for empty rows."""
     some = np.flatnonzero(np.diff(at))
     out = np.zeros((len(at) - 1, m), U)
@@ -69,17 +79,17 @@ def collections(keys: np.ndarray, at: np.ndarray, m: int = COLLECTIONS, k: int =
     return out
 
 
-SIGNED = f"doc_id long, n_shingles long, set1 long, set2 long, {', '.join(f'c{i} long' for i in range(COLLECTIONS))}"
-
+def _sign(m: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_shingles", "set1", "set2", *(f"c{i}" for i in range(m))]
+        for b in slices(batches, "text"):
+            keys, at = shingles(*flat_bytes(b.column(1)))
+            c = collections(keys, at, m)
+            sums = [np.concatenate([[U(0)], np.cumsum(mix(keys + U(s)))]) for s in (21, 22)]
+            sets = [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
+            yield pa.record_batch([b.column(0), pa.array(np.diff(at)), *map(pa.array, sets), *(pa.array(c[:, i].view(np.int64)) for i in range(m))], names)
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "set1", "set2", *(f"c{i}" for i in range(COLLECTIONS))]
-    for b in slices(batches, "text"):
-        keys, at = shingles(*flat_bytes(b.column(1)))
-        c = collections(keys, at)
-        sums = [np.concatenate([[U(0)], np.cumsum(mix(keys + U(s)))]) for s in (21, 22)]
-        sets = [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
-        yield pa.record_batch([b.column(0), pa.array(np.diff(at)), *map(pa.array, sets), *(pa.array(c[:, i].view(np.int64)) for i in range(COLLECTIONS))], names)
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +143,10 @@ def minhash_near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     where = shared_dir(spark)
     texts = ids_and_text(docs)
-    signed = stash(texts.mapInArrow(_sign, SIGNED), f"{where}/signed")
-    cols = [f"c{i}" for i in range(COLLECTIONS)]
+    m = n_collections(percent)
+    cols = [f"c{i}" for i in range(m)]
+    schema = f"doc_id long, n_shingles long, set1 long, set2 long, {', '.join(f'{c} long' for c in cols)}"
+    signed = stash(texts.mapInArrow(_sign(m), schema), f"{where}/signed")
     sets = ["set1", "set2", "n_shingles"]
     some = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     # equal sets have equal signatures: the smallest id stands for the class

@@ -130,6 +130,26 @@ def test_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_pipeline_near_threshold(spark):
+    """Copies of a similarity between 0.80 and 0.85 go, those below 0.80 stay."""
+    import corpus_pipeline as P
+
+    from ruleweft.llm.minhash import n_collections
+
+    rnd, values, stays = random.Random(21), [], []
+    for i in range(60):
+        w = sentence(rnd, 204).split(" ")
+        n = 4 if i % 2 else 6  # edits far apart change five shingles each, of 200
+        copy = ["edited" if k % 30 == 15 and k // 30 < n else x for k, x in enumerate(w)]
+        sets = [{tuple(x[k : k + 5]) for k in range(200)} for x in (w, copy)]
+        like = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        assert 0.80 <= like < 0.85 if n == 4 else like < 0.80
+        stays += [2 * i] if n == 4 else [2 * i, 2 * i + 1]
+        values += [" ".join(w), " ".join(copy)]
+    assert [r["doc_id"] for r in P.near_duplicates(spark, documents(spark, values), "").orderBy("doc_id").collect()] == stays
+    assert n_collections(85) == 10 and n_collections(80) > 10
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against what it should keep; the packed pieces hold exactly what the stage before left."""
     import corpus_pipeline as P
