@@ -194,6 +194,8 @@ class Typed:
 
 
 def typed(c: Column, t: T.DataType) -> Typed:
+    if V.is_cell(t):
+        return Typed(c, "cell", type=t)
     k = V.kind(t)
     item = typed(F.lit(None), t.elementType) if k == "array" else typed(F.lit(None), t.valueType) if isinstance(t, T.MapType) else None
     fields = {f.name: f.dataType for f in t.fields} if isinstance(t, T.StructType) else None
@@ -214,6 +216,16 @@ def function(name: str, least: int, most: int | None = None):
     return put
 
 
+def taken(x: Typed, kind: str) -> Typed:
+    """A cell's part of a kind; NULL if the cell holds another one."""
+    if x.kind != "cell":
+        return x
+    part = {"number": V.cell_number(x.col), "string": x.col["s"], "boolean": x.col["b"], "date": x.col["ts"]}
+    if kind not in part:
+        raise RuleError("type", f"a field of several kinds can't be taken as {kind}")
+    return Typed(part[kind], kind)
+
+
 def _numbers(name: str, *xs: Typed) -> None:
     for x in xs:
         if x.kind not in ("number", "null"):
@@ -299,7 +311,7 @@ class Compiler:
         return Typed(F.struct(*(x.col.alias(k) for k, x in items.items())) if items else F.create_map(), "object", fields=items)
 
     def _unary(self, n: Node) -> Typed:
-        x = self(n.args[0])
+        x = taken(self(n.args[0]), "number" if n.value == "-" else "boolean")
         if n.value == "-":
             _numbers("-", x)
             return Typed(-x.col, "number", x.whole)
@@ -310,6 +322,13 @@ class Compiler:
 
     def _binary(self, n: Node) -> Typed:
         a, b, op = self(n.args[0]), self(n.args[1]), n.value
+        if "cell" in (a.kind, b.kind):
+            kinds = {a.kind, b.kind} - {"cell", "null"}
+            want = kinds.pop() if kinds else "boolean" if op in ("||", "&&") else "string" if op in ("++", "contains", "starts_with", "ends_with") else "number"
+            if op in ("==", "!=") and a.kind == b.kind:
+                same = V.cell_equal(a.col, b.col, typed=False)
+                return Typed(same if op == "==" else ~same, "boolean")
+            a, b = taken(a, want), taken(b, want)
         if op in ("||", "&&"):
             if {a.kind, b.kind} - {"boolean"}:
                 raise RuleError("type", f"{op} needs booleans, not {a.kind} and {b.kind}")
@@ -363,7 +382,9 @@ class Compiler:
         least, most, f = FUNCTIONS[n.value]
         if len(n.args) < least or most is not None and len(n.args) > most:
             raise RuleError("expression", f"{n.value} takes {least} to {most or 'any number of'} arguments, not {len(n.args)}")
-        return f(*(self(a) for a in n.args))
+        args = [self(a) for a in n.args]
+        # what functions take from fields of several kinds is their number
+        return f(*(taken(x, "number") for x in args))
 
     def _index(self, n: Node) -> Typed:
         x, i = self(n.args[0]), self(n.args[1])
@@ -395,6 +416,8 @@ class Compiler:
         raise RuleError("type", f"{x.kind} has no field {n.value!r}")
 
     def _truth(self, x: Typed) -> Column:
+        if x.kind == "cell":
+            return F.coalesce(x.col["b"], V.cell_number(x.col) != 0, F.length(x.col["s"]) > 0, x.col["ts"].isNotNull())
         by = {"boolean": lambda: x.col, "number": lambda: x.col != 0, "string": lambda: F.length(x.col) > 0, "date": lambda: x.col.isNotNull(), "array": lambda: F.size(x.col) > 0, "object": lambda: F.lit(bool(x.fields)), "null": lambda: F.lit(False)}
         return F.coalesce(by[x.kind](), F.lit(False))
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ruleweft.model import RuleError
 
 CELL = "struct<t:string,s:string,i:bigint,d:double,b:boolean,ts:timestamp,j:string>"
+CELL_TYPE = T.StructType([T.StructField(n, t) for n, t in (("t", T.StringType()), ("s", T.StringType()), ("i", T.LongType()), ("d", T.DoubleType()), ("b", T.BooleanType()), ("ts", T.TimestampType()), ("j", T.StringType()))])
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -31,6 +32,11 @@ def kind(t: T.DataType) -> str:
     raise RuleError("type", f"{t.simpleString()} has no counterpart among values")
 
 
+def is_cell(t: T.DataType) -> bool:
+    """A column whose values are of several kinds: each is a tagged cell."""
+    return isinstance(t, T.StructType) and t.names == CELL_TYPE.names and [f.dataType for f in t.fields] == [f.dataType for f in CELL_TYPE.fields]
+
+
 def literal_kind(v: Any) -> str:
     if v is None:
         return "null"
@@ -102,12 +108,16 @@ def as_float(c: Column, t: T.DataType) -> Column:
 
 def number(c: Column, t: T.DataType) -> Column:
     """What aggregates see: numbers as doubles, NULL for all else."""
+    if is_cell(t):
+        return cell_number(c)
     return c.cast("double") if kind(t) == "number" else F.lit(None).cast("double")
 
 
 def as_string(c: Column, t: T.DataType) -> Column:
     """Text of a value: RFC 3339 for dates, JSON for containers."""
     k = kind(t)
+    if is_cell(t):
+        return F.coalesce(c["s"], c["i"].cast("string"), c["d"].cast("string"), c["b"].cast("string"), as_string(c["ts"], T.TimestampType()), c["j"])
     if k == "date":
         return F.date_format(c.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return F.to_json(c) if k in ("array", "object") else c.cast("string")
@@ -124,6 +134,8 @@ def lit(v: Any) -> Column:
 
 def cell(c: Column, t: T.DataType) -> Column:
     """A tagged cell of a column's value."""
+    if is_cell(t):
+        return c
     k, null = kind(t), lambda x: F.lit(None).cast(x)
     part = lambda when, col, cast: (col if when else null(cast)).cast(cast)
     whole = isinstance(t, WHOLE)
@@ -144,6 +156,33 @@ def literal_cell(v: Any) -> Column:
     )
 
 
+def unified(types: list[T.DataType]) -> T.DataType:
+    """The type that holds values of all these types: whole numbers widen to bigint, other numbers to double, and
+    different kinds become tagged cells."""
+    some = [t for t in types if not isinstance(t, T.NullType)]
+    if not some:
+        return T.StringType()
+    if all(t == some[0] for t in some):
+        return some[0]
+    kinds = {"cell" if is_cell(t) else kind(t) for t in some}
+    if kinds == {"number"}:
+        return T.LongType() if all(isinstance(t, WHOLE) for t in some) else T.DoubleType()
+    if kinds == {"string"}:
+        return T.StringType()
+    if kinds == {"date"}:
+        return T.TimestampType()
+    if kinds == {"array"} and not is_cell(item := unified([t.elementType for t in some])):
+        return T.ArrayType(item)
+    return CELL_TYPE
+
+
+def converted(c: Column, t: T.DataType, to: T.DataType) -> Column:
+    """A value of type ``t`` as one of ``to``, which ``unified`` gave."""
+    if isinstance(t, T.NullType):
+        return F.lit(None).cast(to)
+    return c if t == to else F.when(c.isNotNull(), cell(c, t)) if is_cell(to) else c.cast(to)
+
+
 def plain_cell(v: Any) -> dict:
     """The parts of a Python value's cell, as Python values."""
     k = literal_kind(v)

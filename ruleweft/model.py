@@ -9,6 +9,8 @@ from typing import Any
 
 OPERATORS = ("eq", "ne", "gt", "lt", "ge", "le", "contains", "starts_with", "ends_with")
 AGGREGATES = ("count", "sum", "avg", "min", "max", "stddev", "percentile")
+#: Aggregates that users registered, by name.
+CUSTOM_AGGREGATES: dict[str, Any] = {}
 CHANNELS = ("email", "sms", "push", "webhook", "slack", "teams", "in_app")
 
 
@@ -84,7 +86,7 @@ class Aggregate:
     percent: float | None = None
 
     def __post_init__(self) -> None:
-        if self.function not in AGGREGATES:
+        if self.function not in AGGREGATES and self.function not in CUSTOM_AGGREGATES:
             raise RuleError("condition", f"unknown aggregate {self.function!r}")
         if self.function == "percentile" and not 0 <= (self.percent if self.percent is not None else -1) <= 100:
             raise RuleError("condition", "a percentile needs percent from 0 to 100")

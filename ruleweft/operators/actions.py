@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ruleweft.functions import values as V
 from ruleweft.functions.calculators import calculate
-from ruleweft.functions.expr import Typed, compile_expression, typed
+from ruleweft.functions.expr import Typed, compile_expression, taken, typed
 from ruleweft.model import Alert, Append, Calculate, CreateFact, DeleteFact, Formula, Increment, Log, LogTemplate, Notify, RuleError, SetField, UpdateFact
 from ruleweft.operators.predicates import Resolver
 
@@ -40,8 +40,16 @@ def _json(x: Any) -> str:
     return json.dumps(x, default=str, sort_keys=True)
 
 
+def appended(cell: Column, value: Any) -> Column:
+    """The JSON text of a cell's array with one more item; a missing field becomes an array of one."""
+    item = _json(value)
+    return F.when(cell.isNull(), F.lit(f"[{item}]")).when(cell["j"] == "[]", F.lit(f"[{item}]")).otherwise(F.concat(F.left(cell["j"], F.length(cell["j"]) - 1), F.lit(f",{item}]")))
+
+
 def _typed_cell(x: Typed) -> Column:
     """A cell of an expression's value."""
+    if x.kind == "cell":
+        return x.col
     k, null = x.kind, lambda t: F.lit(None).cast(t)
     whole = k == "number" and x.whole
     name = {"number": "integer" if whole else "float"}.get(k, k)
@@ -57,10 +65,28 @@ def _input(x: Any, resolve: Resolver) -> Typed | None:
     """A calculator's input: a field's name, else a literal. A field that the table lacks is left out."""
     if isinstance(x, str):
         c, t = resolve(x)
-        return None if V.kind(t) == "null" else typed(c, t)
+        return None if V.kind(t) == "null" else taken(typed(c, t), "number")
     return Typed(V.lit(x), V.literal_kind(x), isinstance(x, int))
 
 
+def id_of(c: Column, t) -> Column:
+    """The fact id that a field holds; NULL if it holds none."""
+    if V.is_cell(t):
+        return F.coalesce(c["i"], c["s"].try_cast("bigint"))
+    return c.try_cast("bigint") if V.kind(t) in ("number", "string") else F.lit(None).cast("bigint")
+
+
+def incremented(cell: Column, by: int | float) -> Column:
+    """A cell after an increment; NULL if it holds another type."""
+    part, name = ("i", "integer") if isinstance(by, int) else ("d", "float")
+    new = F.struct(F.lit(name).alias("t"), *((cell[p] + V.lit(by) if p == part else cell[p]).alias(p) for p in ("s", "i", "d", "b", "ts", "j")))
+    return F.when(cell.isNull(), V.literal_cell(by)).when(cell["t"] == name, new)
+
+
+def calculator_inputs(action: Calculate, resolve: Resolver) -> dict[str, Typed]:
+    return {k: x for k, v in action.inputs.items() if (x := _input(v, resolve)) is not None}
+
+
 def compile_action(action: Any, resolve: Resolver) -> dict[str, Column]:
     """The parts of an action's firing row."""
     if isinstance(action, SetField):
@@ -80,13 +106,17 @@ def compile_action(action: Any, resolve: Resolver) -> dict[str, Column]:
         return _row("notification_sent", message=action.subject, extra={"recipient": action.recipient, "channel": action.channel, "message": action.message, **{k: str(v) for k, v in action.metadata.items()}})
     if isinstance(action, (UpdateFact, DeleteFact)):
         c, t = resolve(action.id_field)
-        target = c.try_cast("bigint") if V.kind(t) in ("number", "string") else F.lit(None).cast("bigint")
+        target = id_of(c, t)
         if isinstance(action, DeleteFact):
             return _either(target.isNotNull(), _row("fact_deleted", action.id_field, target=target), f"Delete failed: no fact id in '{action.id_field}'")
         good = _row("fact_updated", ",".join(sorted(action.updates)), target=target, extra={"updates": _json(action.updates)})
         return _either(target.isNotNull(), good, f"Update failed: no fact id in '{action.id_field}'")
     if isinstance(action, Increment):
         c, t = resolve(action.field)
+        if V.is_cell(t):
+            new = incremented(c, action.by)
+            good = _row("field_incremented", action.field, new, extra={"old": F.coalesce(V.as_string(c, t), F.lit("0"))})
+            return _either(new.isNotNull(), good, f"Increment failed: '{action.field}' is of another type")
         k, whole = V.kind(t), isinstance(action.by, int)
         if k == "null":
             return _row("field_incremented", action.field, V.literal_cell(action.by), extra={"old": "0"})
@@ -96,6 +126,9 @@ def compile_action(action: Any, resolve: Resolver) -> dict[str, Column]:
         return _row("field_incremented", action.field, _typed_cell(Typed(new, "number", whole)), extra={"old": F.coalesce(c, F.lit(0)).cast("string")})
     if isinstance(action, Append):
         c, t = resolve(action.field)
+        if V.is_cell(t):
+            n = F.size(F.from_json(appended(c, action.value), "array<string>"))
+            return _either(F.coalesce(c["t"] == "array", F.lit(True)), _row("array_appended", action.field, V.literal_cell(action.value), extra={"new_length": n}), f"Append failed: '{action.field}' is not an array")
         if V.kind(t) not in ("array", "null"):
             return _row("logged", message=f"Append failed: '{action.field}' is not an array")
         n = F.coalesce(V.size(c, t), F.lit(0)) + 1 if V.kind(t) == "array" else F.lit(1)
@@ -108,8 +141,7 @@ def compile_action(action: Any, resolve: Resolver) -> dict[str, Column]:
         return _row("fact_created", extra={"data": F.to_json(F.struct(*cols)) if cols else "{}"})
     if isinstance(action, Calculate):
         try:
-            inputs = {k: x for k, v in action.inputs.items() if (x := _input(v, resolve)) is not None}
-            got = calculate(action.calculator, inputs)
+            got = calculate(action.calculator, calculator_inputs(action, resolve))
         except RuleError as e:
             return _row("logged", message=f"Calculator '{action.calculator}' failed: {e}")
         from ruleweft.functions.calculators import REGISTRY

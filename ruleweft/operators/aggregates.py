@@ -7,18 +7,28 @@ empty group is NULL. ``lazy``: like ``rule``, but count counts numbers only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ruleweft.functions import values as V
-from ruleweft.model import Aggregate
+from ruleweft.model import AGGREGATES, CUSTOM_AGGREGATES, Aggregate, RuleError
 from ruleweft.operators.frames import framed
 from ruleweft.operators.predicates import compile_condition, resolver
 
 MODES = ("rule", "strict", "lazy")
 
 
+def register_aggregate(name: str, build: Callable[[Column], Column]) -> None:
+    """Adds an aggregate to rules: ``build`` makes an aggregate Column of a double Column (a composition of built-in
+    aggregates, or a grouped-aggregate pandas UDF)."""
+    if name in AGGREGATES:
+        raise RuleError("aggregate", f"'{name}' is built in")
+    CUSTOM_AGGREGATES[name] = build
+
+
 def value(function: str, c: Column, t: T.DataType, mode: str = "rule", percent: float | None = None, over=None) -> Column:
     """The aggregate of a column, over a window if one is given."""
     if mode not in MODES:
@@ -28,6 +38,8 @@ def value(function: str, c: Column, t: T.DataType, mode: str = "rule", percent:
     if mode == "strict":
         x = c.cast("double") if V.kind(t) in ("number", "string") else F.raise_error(F.lit("Field is not numeric")).cast("double")
         x = F.when(c.isNull(), F.raise_error(F.lit("Field is missing")).cast("double")).otherwise(x)
+    if function in CUSTOM_AGGREGATES:
+        return at(CUSTOM_AGGREGATES[function](x))
     inf = float("inf")
     if function == "count":
         return at(F.count(c if mode == "rule" else x))
@@ -72,10 +84,8 @@ def having(spec: Aggregate, df: DataFrame) -> Column:
 def attach(facts: DataFrame, store: DataFrame, spec: Aggregate, flag: str, mode: str = "rule", with_value: bool = False) -> DataFrame:
     """``facts`` with a boolean column that says whether the aggregate over each fact's group in ``store`` qualifies.
 
-    Grouped once and joined back on null-safe keys. Frames are relative to the fact and use window functions.
+    Grouped once and joined back on null-safe keys.
     """
-    if spec.frame is not None:
-        return framed(facts, store, spec, flag, lambda c, t, over=None: value(spec.function, c, t, mode, spec.percent, over))
     own = grouped(store, spec, mode)
     if not spec.group_by:
         got = own.select(F.lit(True).alias(flag), spec.alias)
@@ -92,6 +102,11 @@ def attach(facts: DataFrame, store: DataFrame, spec: Aggregate, flag: str, mode:
     return out if with_value else out.drop(spec.alias)
 
 
+def attach_framed(facts: DataFrame, history: DataFrame | None, spec: Aggregate, flag: str, mode: str = "rule") -> DataFrame:
+    """The same for an aggregate over a frame, which is relative to the fact and uses window functions."""
+    return framed(facts, history, spec, flag, lambda c, t, over=None: value(spec.function, c, t, mode, spec.percent, over))
+
+
 def to_facts(groups: DataFrame, spec: Aggregate, target: str) -> DataFrame:
     """Aggregate rows as facts: target, aggregation_type, source_field, group_key and the value under ``target``."""
     key = F.concat_ws("|", *(F.col(f"`{k}`").cast("string") for k in spec.group_by)) if spec.group_by else F.lit("")

@@ -59,35 +59,58 @@ def sessions(df: DataFrame, keys: list[str], gap_ms: int, name: str = "_session"
     return out.join(F.broadcast(base), "_part").withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base")
 
 
-def framed(facts: DataFrame, store: DataFrame, spec: Aggregate, flag: str, value: Callable) -> DataFrame:
-    """``facts`` with a flag for the aggregate over the fact's frame of ``store``, which holds the facts themselves."""
-    keys, kind, size = list(spec.group_by), spec.frame.kind, spec.frame.size
+#: Facts of a ``last`` frame up to which their groups are broadcast.
+BROADCAST_LAST = 100_000
+
+
+def framed(facts: DataFrame, history: DataFrame | None, spec: Aggregate, flag: str, value: Callable) -> DataFrame:
+    """``facts`` with a flag for the aggregate over each fact's frame of ``history`` and ``facts``.
+
+    The flag comes out of the window's own pass, so facts keep their rows even where ids repeat. A group field that the
+    facts lack counts as null for all.
+    """
+    kind, size = spec.frame.kind, spec.frame.size
+    store = facts if history is None else history.withColumn("_own", F.lit(False)).unionByName(facts.withColumn("_own", F.lit(True)), allowMissingColumns=True)
+    keys = [k for k in spec.group_by if k in store.columns]
     resolve = resolver(store.schema)
     c, t = resolve(spec.source)
     keep = compile_condition(spec.filter, resolve) if spec.filter is not None else F.lit(True)
     c = F.when(keep, c)
 
     def qualify(df: DataFrame) -> DataFrame:
-        ok = F.col("_present") > 0 if spec.having is None else compile_condition(spec.having, resolver(df.schema))
-        return df.withColumn(flag, F.coalesce(ok, F.lit(False)))
+        types = df.schema
+        other = resolver(types)
+        ok = F.col("_present") > 0 if spec.having is None else compile_condition(spec.having, lambda n: (F.col("_agg"), types["_agg"].dataType) if n == spec.alias else other(n))
+        return df.withColumn(flag, F.coalesce(ok, F.lit(False))).drop("_agg", "_present")
 
     if kind == "last":
-        own = last(store, size).groupBy(*keys).agg(value(c, t).alias(spec.alias), F.count(c).alias("_present"))
-        own = qualify(own).where(flag).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), flag)
+        own = last(store, size).groupBy(*keys).agg(value(c, t).alias("_agg"), F.count(c).alias("_present"))
+        own = qualify(own).where(flag).select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)), flag)
+        own = F.broadcast(own) if size <= BROADCAST_LAST or not keys else own
         on = F.lit(True)
         for i, k in enumerate(keys):
-            on = on & facts[k].eqNullSafe(own[f"_k{i}"])
-        return facts.join(F.broadcast(own), on, "left").drop(*(f"_k{i}" for i in range(len(keys)))).withColumn(flag, F.coalesce(flag, F.lit(False)))
-    if kind == "time":
+            on = on & (facts[k] if k in facts.columns else F.lit(None)).eqNullSafe(own[f"_k{i}"])
+        return facts.join(own, on, "left").drop(*(f"_k{i}" for i in range(len(keys)))).withColumn(flag, F.coalesce(flag, F.lit(False)))
+    helpers: list[str] = []
+    if kind == "time" and keys:
         w = Window.partitionBy(*keys).orderBy("_ms").rangeBetween(-size, 0)
-        df = store.withColumn("_ms", millis())
+        df, helpers = store.withColumn("_ms", millis()), ["_ms"]
+    elif kind == "time":
+        # without keys: a frame lies in its fact's stretch of time and the one before, so each fact goes to two stretches
+        stretch = F.floor(F.col("_ms") / size)
+        both = F.when(F.col("_ms").isNull(), F.array(F.struct(stretch.alias("s"), F.lit(True).alias("mine")))).otherwise(F.array(F.struct(stretch.alias("s"), F.lit(True).alias("mine")), F.struct((stretch + 1).alias("s"), F.lit(False).alias("mine"))))
+        df = store.withColumn("_ms", millis()).withColumn("_in", F.explode(both)).withColumn("_stretch", F.col("_in.s")).withColumn("_mine", F.col("_in.mine"))
+        w = Window.partitionBy("_stretch").orderBy("_ms").rangeBetween(-size, 0)
+        helpers = ["_ms", "_in", "_stretch", "_mine"]
     elif kind == "block":
-        df = positions(store, [TIME, ID]).withColumn("_block", F.floor(F.col("_pos") / size))
+        df, helpers = positions(store, [TIME, ID]).withColumn("_block", F.floor(F.col("_pos") / size)), ["_pos", "_block"]
         w = Window.partitionBy("_block", *keys)
     else:
-        df = sessions(store, keys, size)
+        df, helpers = sessions(store, keys, size), ["_session"]
         w = Window.partitionBy(*keys, "_session")
-    df = df.withColumn(spec.alias, value(c, t, w)).withColumn("_present", F.count(c).over(w))
-    flags = qualify(df).select(F.col(ID).alias("_id"), flag)
-    return facts.join(flags, facts[ID] == flags["_id"], "left").drop("_id").withColumn(flag, F.coalesce(flag, F.lit(False)))
-
+    df = df.withColumn("_agg", value(c, t, w)).withColumn("_present", F.count(c).over(w))
+    if "_mine" in helpers:
+        df = df.where("_mine")
+    if history is not None:
+        df = df.where("_own")
+    return qualify(df).select(*(F.col(f"`{n}`") for n in facts.columns), flag)

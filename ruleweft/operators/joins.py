@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleweft.functions import values as V
+from ruleweft.model import RuleError
 
 #: Pairs of names that mean the same id. Fixed values.
 ID_PAIRS = (("customer_id", "id"), ("user_id", "id"), ("order_id", "id"), ("product_id", "id"))
@@ -33,11 +34,14 @@ def _compare(a: Column, ta, b: Column, tb, op: str) -> Column:
     return F.coalesce({"gt": a > b, "lt": a < b, "ge": a >= b, "le": a <= b}[op], F.lit(False))
 
 
-def join(facts: DataFrame, earlier: DataFrame, tests: list[JoinTest], how: str = "inner", prefix: str = "earlier_") -> DataFrame:
+def join(facts: DataFrame, earlier: DataFrame, tests: list[JoinTest], how: str = "inner", prefix: str = "earlier_", product: bool = False) -> DataFrame:
     """Pairs of facts for which all tests hold; the earlier fact's columns get a prefix. Missing fields never match.
 
-    Equalities become hash or merge keys; the other tests filter the pairs.
+    Equalities become hash or merge keys; the other tests filter the pairs. Without an equality every pair has to be
+    looked at, which only ``product`` allows.
     """
+    if not product and all(t.op != "eq" for t in tests):
+        raise RuleError("join", "no equality among the tests: every pair would be compared (product=True allows it)")
     right = earlier.select(*(F.col(f"`{c}`").alias(f"{prefix}{c}") for c in earlier.columns))
     on = reduce(and_, (_compare(facts[t.field], facts.schema[t.field].dataType, right[f"{prefix}{t.earlier}"], earlier.schema[t.earlier].dataType, t.op) if t.op != "eq" else facts[t.field] == right[f"{prefix}{t.earlier}"] for t in tests))
     return facts.join(right, on, how)

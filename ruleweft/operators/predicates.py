@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
@@ -14,19 +15,32 @@ from pyspark.sql import types as T
 from ruleweft.functions import values as V
 from ruleweft.model import All, AnyOf, NoneOf, RuleError, Test
 
+ORDER = {"gt": operator.gt, "lt": operator.lt, "ge": operator.ge, "le": operator.le}
 #: Resolves a field's name to its Column and type.
 Resolver = Callable[[str], tuple[Column, T.DataType]]
 
 
-def resolver(schema: T.StructType) -> Resolver:
+def resolver(schema: T.StructType, constants: dict[str, Any] | None = None) -> Resolver:
+    """Fields of a schema; ``constants`` stand in for fields that it lacks."""
     names = {f.name: f.dataType for f in schema.fields}
-    return lambda name: (F.col(f"`{name}`"), names[name]) if name in names else (F.lit(None), T.NullType())
+    kinds = {"number": lambda v: T.LongType() if isinstance(v, int) else T.DoubleType(), "string": lambda v: T.StringType(), "boolean": lambda v: T.BooleanType(), "date": lambda v: T.TimestampType()}
+
+    def own(name: str) -> tuple[Column, T.DataType]:
+        if name in names:
+            return F.col(f"`{name}`"), names[name]
+        v = (constants or {}).get(name)
+        k = V.literal_kind(v)
+        return (V.lit(v), kinds[k](v)) if k in kinds else (F.lit(None), T.NullType())
+
+    return own
 
 
 def leaf(test: Test, resolve: Resolver) -> Column:
     """One test. A missing field makes ``ne`` true and all else false; classes that can't be compared are an error,
     but for equality (never equal) and text tests (false)."""
     c, t = resolve(test.field)
+    if V.is_cell(t):
+        return cell_test(test, c, c.isNotNull())
     k, lk, v = V.kind(t), V.literal_kind(test.value), test.value
     if k == "null":
         return F.lit(test.op == "ne" and lk != "null" or test.op == "eq" and lk == "null")
@@ -37,8 +51,10 @@ def leaf(test: Test, resolve: Resolver) -> Column:
     if test.op in ("gt", "lt", "ge", "le"):
         if not V.compatible(k, lk) or k in ("array", "object"):
             raise RuleError("type", f"{test.field} ({k}) can't be ordered against {lk}")
-        x = V.lit(v)
-        return F.coalesce({"gt": c > x, "lt": c < x, "ge": c >= x, "le": c <= x}[test.op] & ~_nan(c, t), F.lit(False))
+        x = ORDER[test.op](c, V.lit(v))
+        # NaN counts as the largest number, so only these two can meet it
+        x = x & ~F.isnan(c) if test.op in ("gt", "ge") and isinstance(t, (T.FloatType, T.DoubleType)) else x
+        return F.coalesce(x, F.lit(False))
     if test.op == "contains" and k == "array":
         return F.coalesce(F.array_contains(c, V.lit(v).cast(t.elementType)), F.lit(False)) if V.compatible(V.kind(t.elementType), lk) else F.lit(False)
     if k != "string" or lk != "string":
@@ -46,22 +62,22 @@ def leaf(test: Test, resolve: Resolver) -> Column:
     return F.coalesce({"contains": c.contains, "starts_with": c.startswith, "ends_with": c.endswith}[test.op](v), F.lit(False))
 
 
-def _nan(c: Column, t: T.DataType) -> Column:
-    return F.isnan(c) if isinstance(t, (T.FloatType, T.DoubleType)) else F.lit(False)
-
-
 def _equal(c: Column, t: T.DataType, v: Any) -> Column:
     x = V.lit(v)
     if V.kind(t) in ("array", "object"):
         return F.to_json(c) == F.to_json(x)
-    return (c == x) & ~_nan(c, t) if isinstance(t, (T.FloatType, T.DoubleType)) else c == x
+    return (c == x) & ~F.isnan(c) if isinstance(t, (T.FloatType, T.DoubleType)) else c == x
 
 
 def ragged_leaf(test: Test, fields: str = "fields") -> Column:
     """One test over a map of tagged cells. A missing field makes ``ne`` true and all else false; null is a value that
     equals null; 5 isn't equal to 5.0 but is ordered like it; values that can't be compared make the test false."""
-    cell, v, lk = F.col(fields)[test.field], test.value, V.literal_kind(test.value)
-    here = F.coalesce(F.map_contains_key(fields, test.field), F.lit(False))
+    return cell_test(test, F.col(fields)[test.field], F.coalesce(F.map_contains_key(fields, test.field), F.lit(False)))
+
+
+def cell_test(test: Test, cell: Column, here: Column) -> Column:
+    """One test of a tagged cell; ``here``: the field is there."""
+    v, lk = test.value, V.literal_kind(test.value)
     if test.op in ("eq", "ne"):
         same = V.cell_equal(cell, V.literal_cell(v))
         return here & same if test.op == "eq" else ~here | ~same
@@ -69,8 +85,7 @@ def ragged_leaf(test: Test, fields: str = "fields") -> Column:
         part = {"number": V.cell_number(cell), "string": cell["s"], "boolean": cell["b"], "date": cell["ts"]}.get(lk)
         if part is None:
             return F.lit(False)
-        x = V.lit(v)
-        return F.coalesce({"gt": part > x, "lt": part < x, "ge": part >= x, "le": part <= x}[test.op], F.lit(False))
+        return F.coalesce(ORDER[test.op](part, V.lit(v)), F.lit(False))
     if lk != "string":
         return F.coalesce(F.array_contains(F.from_json(cell["j"], "array<string>"), str(v)), F.lit(False)) if test.op == "contains" else F.lit(False)
     member = F.array_contains(F.from_json(cell["j"], "array<string>"), v) & (cell["t"] == "array")
@@ -106,8 +121,7 @@ def prefilter(condition: Any, resolve: Resolver) -> Column | None:
         k, v = V.kind(t), condition.value
         if k not in ("number", "string", "date") or k != V.literal_kind(v) or condition.op in ("ne", "contains", "ends_with"):
             return None
-        x = V.lit(v)
-        return {"eq": c == x, "gt": c > x, "lt": c < x, "ge": c >= x, "le": c <= x, "starts_with": c.startswith(x)}[condition.op]
+        return c.startswith(V.lit(v)) if condition.op == "starts_with" else (operator.eq if condition.op == "eq" else ORDER[condition.op])(c, V.lit(v))
     if isinstance(condition, (All, AnyOf)):
         own = [prefilter(c, resolve) for c in condition.conditions]
         if isinstance(condition, All):

@@ -35,11 +35,17 @@ def query(sql: str | None = None):
     return put
 
 
+def _all() -> None:
+    from ruleweft.plans import catalogue_engine, catalogue_language  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)
 
 
@@ -203,7 +209,7 @@ def action_alert_notify_log(spark, sf_dir):
 def action_apply(spark, sf_dir):
     df = facts(spark, sf_dir, "customer", "c_custkey").select("fact_id", "c_name", "c_acctbal", "c_mktsegment")
     rules = [Rule(1, "watch", (Test("c_acctbal", "lt", 0),), (SetField("c_mktsegment", "WATCH"),)), Rule(2, "bonus", (Test("c_acctbal", "ge", -1e9),), (Increment("c_acctbal", 100.0),)), Rule(3, "drop", (Test("c_acctbal", "gt", 9000),), (DeleteFact("fact_id"),))]
-    return apply(df, Engine(rules).evaluate(df)).withColumn("c_acctbal", F.round("c_acctbal", 4))
+    return apply(df, rules).withColumn("c_acctbal", F.round("c_acctbal", 4))
 
 
 # calculators and expressions
@@ -251,12 +257,6 @@ def calc_workday_split(spark, sf_dir):
     return df.select("fact_id", c("time_between_datetime(start, finish, unit, workday, a)").alias("before_hours"), c("time_between_datetime(start, finish, unit, workday, b)").alias("after_hours"))
 
 
-@query("SELECT l_orderkey AS fact_id, floor(sum(l_extendedprice * l_quantity) / sum(l_quantity) + 0.0137) AS average FROM lineitem GROUP BY l_orderkey")
-def calc_weighted_average(spark, sf_dir):
-    items = lineitem(spark, sf_dir).groupBy(F.col("l_orderkey").alias("fact_id")).agg(F.collect_list(F.struct(F.col("l_extendedprice").alias("value"), F.col("l_quantity").alias("weight"))).alias("items"))
-    return items.select("fact_id", F.floor(compile_expression("weighted_average(items)", resolver(items.schema)).col + 0.0137).cast("double").alias("average"))
-
-
 TIERS = [(0.0, 0.01), (50000.0, 0.02), (100000.0, 0.03), (200000.0, 0.05)]
 
 
@@ -437,19 +437,6 @@ def stream_condition(spark, sf_dir):
     return match([Rule(1, "busy day", (c,))], events(spark, sf_dir))
 
 
-@query("SELECT * FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, count(*) AS n, round(sum(value), 4) AS s FROM events GROUP BY 1, 2) WHERE window_end <= (SELECT max(ts) - INTERVAL 60 SECOND FROM events)")
-def stream_tumbling_drained(spark, sf_dir):
-    """A file stream drained once; the windows that the watermark closes."""
-    import uuid
-
-    from ruleweft.streaming.run import drain
-
-    src = spark.read.parquet(f"{sf_dir}/events.parquet")
-    e = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet*").parquet(sf_dir).withColumn("event_ts", F.col("ts").cast("timestamp"))
-    out = W.stream(e, W.EventWindow("tumbling", 86_400_000), {"n": F.count(F.lit(1)), "s": F.sum("value")})
-    return ntz(drain(out, f"drained_{uuid.uuid4().hex[:8]}")).withColumn("s", F.round("s", 4))
-
-
 # joins, order, pipelines, store
 
 
@@ -579,41 +566,3 @@ def wire_ingest(spark, sf_dir):
 def wire_results(spark, sf_dir):
     rules = [Rule(1, "low", (Test("c_acctbal", "lt", 0),), (Log("low"), SetField("state", "watch")))]
     return wire.to_messages(Engine(rules).evaluate(facts(spark, sf_dir, "customer", "c_custkey"))).select("rule_id", "fact_id", F.size("actions").alias("n"))
-
-
-def event_stream(spark, sf_dir) -> DataFrame:
-    src = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet*").parquet(sf_dir).withColumn("event_ts", F.col("ts").cast("timestamp"))
-
-
-def drained(stream: DataFrame) -> DataFrame:
-    import uuid
-
-    from ruleweft.streaming.run import drain
-
-    return drain(stream, f"drained_{uuid.uuid4().hex[:8]}")
-
-
-CLOSED = "(SELECT max(ts) - INTERVAL 60 SECOND FROM events)"
-
-
-@query(f"SELECT * FROM (SELECT s AS window_start, s + INTERVAL 1 DAY AS window_end, user_id, count(*) AS n FROM (SELECT user_id, ts, unnest([time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * k) FOR k IN range(4)]) AS s FROM events) WHERE ts < s + INTERVAL 1 DAY GROUP BY 1, 2, 3) WHERE window_end <= {CLOSED}")
-def stream_sliding_drained(spark, sf_dir):
-    return ntz(drained(W.stream(event_stream(spark, sf_dir), W.EventWindow("sliding", 86_400_000, 21_600_000), {"n": F.count(F.lit(1))}, ("user_id",))))
-
-
-@query(f"SELECT * FROM (SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 1 HOUR AS window_end, count(*) AS n FROM (SELECT *, sum(n0) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 3600000000 THEN 1 ELSE 0 END AS n0 FROM events)) GROUP BY user_id, g) WHERE window_end <= {CLOSED}")
-def stream_session_drained(spark, sf_dir):
-    return ntz(drained(W.stream(event_stream(spark, sf_dir), W.EventWindow("session", 3_600_000), {"n": F.count(F.lit(1))}, ("user_id",))))
-
-
-@query("SELECT user_id AS key, unnest(range(count(*) // 20)) AS block, CAST(20 AS BIGINT) AS n FROM events GROUP BY user_id")
-def stream_count_windows(spark, sf_dir):
-    return drained(W.count_windows(event_stream(spark, sf_dir), "user_id", "value", 20)).select("key", "block", "n")
-
-
-@query("SELECT a.event_id AS l_event_id, b.event_id AS r_event_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 600 SECOND WHERE a.event_type = 'view' AND b.event_type = 'purchase'")
-def stream_join(spark, sf_dir):
-    """Views and the purchases that follow within ten minutes."""
-    e = event_stream(spark, sf_dir).select("event_id", "user_id", "event_type", "event_ts")
-    return drained(W.joined(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "user_id", 600_000, 86_400_000 * 40)).select("l_event_id", "r_event_id")

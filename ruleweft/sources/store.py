@@ -52,12 +52,13 @@ class FactStore:
         """Facts of a closed range of time."""
         return self.facts.where(F.col(self.event_ts).between(F.lit(start), F.lit(end)))
 
-    def update(self, changes: DataFrame) -> FactStore:
-        """Takes the non-null fields of ``changes`` by id."""
+    def update(self, changes: DataFrame, nulls: bool = False) -> FactStore:
+        """Takes the fields of ``changes`` by id; nulls count as no change unless ``nulls`` says that they are values."""
         names = [c for c in changes.columns if c != self.fact_id]
-        new = changes.select(self.fact_id, *(F.col(c).alias(f"_new_{c}") for c in names))
-        out = self.facts.join(new, self.fact_id, "left")
-        return self._new(out.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in names else F.col(c) for c in self.facts.columns)))
+        new = changes.select(F.col(self.fact_id).alias("_id"), *(F.col(c).alias(f"_new_{c}") for c in names))
+        out = self.facts.join(new, self.facts[self.fact_id] == new["_id"], "left")
+        took = lambda c: F.when(F.col("_id").isNotNull(), F.col(f"_new_{c}")).otherwise(F.col(c)) if nulls else F.coalesce(f"_new_{c}", c)
+        return self._new(out.select(*(took(c).alias(c) if c in names else F.col(c) for c in self.facts.columns)))
 
     def delete(self, ids: DataFrame) -> FactStore:
         """Without the facts whose id is in ``ids``; unknown ids are ignored."""

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from ruleweft.functions import values as V
 from ruleweft.functions.expr import compile_expression
 from ruleweft.model import RuleError, StreamTest
-from ruleweft.operators.frames import sessions
+from ruleweft.operators.frames import positions, sessions
 from ruleweft.operators.predicates import compile_condition, resolver
 
 #: Fields that may hold an event's time in ms, in order. Fixed values.
@@ -95,9 +95,11 @@ def assign(events: DataFrame, window: EventWindow, keys: tuple[str, ...] = (), t
         own = sessions(events.withColumn("event_ts", t).withColumn("fact_id", F.col(ids)) if ts != "event_ts" or ids != "fact_id" else events, list(keys), window.size)
         w = Window.partitionBy(*keys, "_session")
         return own.withColumn("window_start", F.min("event_ts").over(w)).withColumn("window_end", at(F.unix_millis(F.max("event_ts").over(w)) + window.size))
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(t, ids)) - 1
     step = window.advance or window.size
-    out = events.withColumn("_rn", rn)
+    if keys:
+        out = events.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(t, ids)) - 1)
+    else:  # numbered by ranges of time: no task gets all events
+        out = positions(events.withColumn("_t", t), ["_t", ids], "_nr").withColumnRenamed("_nr", "_rn").drop("_t")
     last = F.floor(F.col("_rn") / step)
     first = F.greatest(F.lit(0), F.floor((F.col("_rn") - window.size) / step) + 1)
     out = out.withColumn("_block", F.explode(F.sequence(first, last)))
@@ -137,24 +139,44 @@ def stream(events: DataFrame, window: EventWindow, aggregates: dict[str, Column]
     return out.select(*keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *aggregates)
 
 
-def count_windows(events: DataFrame, key: str, value: str, size: int) -> DataFrame:
-    """(key, block, n, sum) of every full run of ``size`` events of a key, over a stream: state is one partial block."""
+def count_windows(events: DataFrame, key: str, value: str, size: int, ts: str = "event_ts") -> DataFrame:
+    """(key, block, n, sum) of every full run of ``size`` events of a key, over a stream, in order of time within a
+    micro-batch; state is one partial block."""
+    import numpy as np
     import pandas as pd
 
     def step(k, frames, state):
         block, n, total = state.get if state.exists else (0, 0, 0.0)
-        out = []
-        for pdf in frames:
-            for v in pdf[value].astype(float):
-                n, total = n + 1, total + (0.0 if pd.isna(v) else v)
-                if n == size:
-                    out.append((k[0], block, n, total))
-                    block, n, total = block + 1, 0, 0.0
-        state.update((block, n, total))
-        yield pd.DataFrame(out, columns=["key", "block", "n", "sum"])
+        got = [(pdf[ts].to_numpy(), pdf[value].astype(float).fillna(0.0).to_numpy()) for pdf in frames]
+        at, x = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+        x = x[np.argsort(at, kind="stable")]
+        # the partial block's sum stands for its events, at the place of the last one
+        filled = np.concatenate([np.zeros(max(0, n - 1)), [total][: min(n, 1)], x])
+        full = len(filled) // size
+        sums = filled[: full * size].reshape(full, size).sum(1)
+        rest = filled[full * size :]
+        state.update((block + full, len(rest), float(rest.sum())))
+        yield pd.DataFrame({"key": [k[0]] * full, "block": block + np.arange(full), "n": np.full(full, size), "sum": sums})
 
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"key {kind}, block long, n long, sum double", "block long, n long, sum double", "append", "NoTimeout")
+    rows = events.select(F.col(key), F.col(value).cast("double").alias(value), F.col(ts).cast("timestamp").alias(ts))
+    return rows.groupBy(key).applyInPandasWithState(step, f"key {kind}, block long, n long, sum double", "block long, n long, sum double", "append", "NoTimeout")
+
+
+def chained(steps: list[DataFrame], key: str, within_ms: int, lateness_ms: int = LATENESS_MS, ts: str = "event_ts", ids: str = "event_id") -> DataFrame:
+    """Chains of events of one key, one of each step in order of time, the last at most ``within_ms`` after the first.
+
+    Columns: the key, and ``id0``, ``ts0`` and so on. Over batches it is a chain of equi-joins; over streams partial
+    chains expire with the watermark.
+    """
+    part = lambda df, i: df.select(F.col(key).alias(f"key{i}"), F.col(ids).alias(f"id{i}"), F.col(ts).cast("timestamp").alias(f"ts{i}")).withWatermark(f"ts{i}", interval(lateness_ms))
+    out = part(steps[0], 0)
+    for i, df in enumerate(steps[1:], 1):
+        within = " AND ".join(f"ts{i} <= ts{k} + INTERVAL {within_ms} MILLISECONDS" for k in {0, i - 1})
+        out = out.join(part(df, i), F.expr(f"key0 = key{i} AND ts{i} >= ts{i - 1} AND {within}")).drop(f"key{i}")
+        # a stream has one event time: from here on that of the latest step
+        out = out.withColumn(f"ts{i - 1}", F.timestamp_micros(F.unix_micros(f"ts{i - 1}")))
+    return out.withColumnRenamed("key0", key)
 
 
 def joined(left: DataFrame, right: DataFrame, key: str, within_ms: int, lateness_ms: int = LATENESS_MS, ts: str = "event_ts") -> DataFrame:

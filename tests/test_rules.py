@@ -60,7 +60,7 @@ def test_actions(people):
 
 def test_apply(people):
     rules = [Rule(1, "a", (Test("score", "ge", 75),), (SetField("name", "Top"), Increment("score", 1))), Rule(2, "b", (Test("name", "eq", "Alice"),), (DeleteFact("target"),))]
-    got = {r["fact_id"]: r for r in apply(people, evaluate(rules, people)).collect()}
+    got = {r["fact_id"]: r for r in apply(people, rules).collect()}
     assert sorted(got) == [2, 3] and got[2]["name"] == "Top" and got[2]["score"] == 76 and got[3]["score"] is None
 
 
@@ -174,7 +174,7 @@ def test_streams_equal_batch(spark, tmp_path):
         got = {tuple(r) for r in drain(W.stream(src(), w, agg, keys), f"d_{name}").collect()}
         want = {tuple(r) for r in W.windowed(df, w, agg, keys, ids="fact_id").where(F.col("window_end") <= F.lit(last)).select(*keys, "window_start", "window_end", "n", "s").collect()}
         assert got == want and got
-    got = {tuple(r) for r in drain(W.count_windows(src(), "k", "v", 10), "d_c", "append").collect()}
+    got = {tuple(r) for r in drain(W.count_windows(src(), "k", "v", 10), "d_c").collect()}
     assert len(got) == sum(r["count"] // 10 for r in df.groupBy("k").count().collect()) and all(r[2] == 10 for r in got)
     with pytest.raises(RuleError):
         W.stream(src(), W.EventWindow("session", 1000), agg)
@@ -224,14 +224,14 @@ def test_optimizer():
 def test_pipeline_and_fixpoint(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     df = spark.createDataFrame([(1, 1), (2, 5)], "fact_id bigint, level bigint")
-    one = Stage("one", (Rule(1, "a", (Test("level", "lt", 3),), (SetField("level", 3), CreateFact({"level": 9}))),), created="level bigint")
+    one = Stage("one", (Rule(1, "a", (Test("level", "lt", 3),), (SetField("level", 3), CreateFact({"level": 9}))),))
     two = Stage("two", (Rule(2, "b", (Test("level", "ge", 9),), (Log("high"),)),), after=("one",))
     facts, fired = run([two, one], df, checkpoint=True)
     assert sorted(r["level"] for r in facts.collect()) == [3, 5, 9] and fired.where("stage = 'two'").count() == 1
     with pytest.raises(RuleError):
         ordered([Stage("x", (), ("y",)), Stage("y", (), ("x",))])
     e = Engine([Rule(i, f"r{i}", (Test("level", "eq", i),), (CreateFact({"level": i + 1}),)) for i in range(1, 4)])
-    every, rounds = to_fixpoint(e, df, "level bigint")
+    every, rounds = to_fixpoint(e, df)
     assert sorted(r["level"] for r in every.collect()) == [1, 2, 3, 4, 5] and rounds == 3
 
 
@@ -266,3 +266,63 @@ def test_store_and_json(spark, people, tmp_path):
 def test_first_only_not(people):
     c = NoneOf((Test("score", "gt", 60), Test("score", "gt", 0)))
     assert ids(people.where(compile_condition(c, resolver(people.schema), first_only=True))) == [1, 3]
+
+
+def test_apply_changes(spark):
+    df = spark.createDataFrame([(1, 5, "a", [1]), (2, 7, "b", None), (3, None, "c", [2])], "fact_id bigint, n int, s string, xs array<bigint>")
+    rules = [
+        Rule(1, "new", (Test("n", "ge", 5),), (SetField("tier", "x"), Increment("n", 1), Append("xs", 9))), Rule(2, "mixed", (Test("s", "eq", "b"),), (SetField("s", 4), SetField("tier", None))),
+        Rule(3, "other", (Test("fact_id", "eq", 1),), (UpdateFact("n", {"tier": "told"}), UpdateFact("fact_id", {"seen": True}))), Rule(4, "far", (Test("s", "eq", "c"),), (Calculate("add", {"a": "n", "b": 1.0}, "sum"),)),
+    ]
+    got = {r["fact_id"]: r.asDict(True) for r in apply(df.unionByName(spark.createDataFrame([(5, None, "z", None)], df.schema)), rules).collect()}
+    assert got[1]["tier"] == "x" and got[1]["n"] == 6 and got[1]["xs"] == [1, 9] and got[1]["seen"] is True and got[1]["s"]["s"] == "a"
+    assert got[2]["tier"] is None and got[2]["n"] == 8 and got[2]["xs"] == [9] and got[2]["s"]["i"] == 4
+    assert got[3]["n"] is None and got[3]["sum"] is None and got[5]["tier"] == "told" and got[5]["seen"] is None
+    gone = apply(df, [Rule(1, "d", (Test("s", "eq", "a"),), (DeleteFact("n"),)), Rule(2, "own", (Test("s", "eq", "c"),), (DeleteFact("fact_id"),))])
+    assert ids(gone) == [1, 2]
+    assert ids(apply(df.limit(0), rules)) == []
+    with pytest.raises(RuleError, match="type"):
+        apply(df, [Rule(1, "bad", (Test("n", "ge", 5),), (Append("xs", "text"),))])
+
+
+def test_stages_stay_one_scan(spark):
+    df = spark.createDataFrame([(i, i) for i in range(20)], "fact_id bigint, n bigint")
+    stages = [Stage(f"s{i}", (Rule(i, f"r{i}", (Test(f"f{i}" if i else "n", "ge", 0),), (SetField(f"f{i + 1}", i),)),), (f"s{i - 1}",) if i else ()) for i in range(4)]
+    facts, fired = run(stages, df)
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+    assert facts.where("f4 = 3").count() == 20 and fired.count() == 80
+
+
+def test_repeated_ids_in_frames(spark):
+    df = times(spark, (0, "a", 1), (1, "a", 2)).withColumn("fact_id", F.lit(7).cast("bigint"))
+    spec = Aggregate("sum", "v", "s", ("k",), having=Test("s", "ge", 3), frame=Frame("time", 1000))
+    assert ids(Engine([Rule(1, "r", (spec,))]).matches(df)) == [7]
+    assert ids(Engine([Rule(1, "r", (NoneOf((spec,)),))]).matches(df)) == [7]
+
+
+def test_many_rules(spark):
+    df = spark.range(300).select(F.col("id").alias("fact_id"), (F.col("id") % 13).alias("n"))
+    rules = [Rule(i, f"r{i}", (Test("n", "gt", i % 13), Test("fact_id", "lt", i * 3)), (Log(f"l{i}"), SetField("x", i)) if i % 2 else (Increment("n", 1),)) for i in range(90)]
+    got = {(r["rule_id"], r["fact_id"], r["action_seq"]) for r in evaluate(rules, df).collect()}
+    assert got == {(i, k, s) for i in range(90) for k in range(300) if k % 13 > i % 13 and k < 3 * i for s in range(2 if i % 2 else 1)}
+    assert Engine(rules).matches(df).count() == len({(a, b) for a, b, _ in got})
+
+
+def test_constants_and_custom_aggregates(spark, people):
+    got = Engine([Rule(1, "r", (Test("limit", "gt", 5), Test("score", "ge", 50)), (M.Formula("x", "balance * rate"),))], constants={"limit": 6, "rate": 0.5}).apply(people)
+    assert {r["fact_id"]: r["x"] for r in got.collect()} == {1: 500.0, 2: 1000.0, 3: None}
+    with pytest.raises(RuleError):
+        A.register_aggregate("sum", F.sum)
+
+
+def test_refusals(spark, people):
+    with pytest.raises(RuleError, match="equality"):
+        joins.join(people, people, [joins.JoinTest("score", "score", "gt")])
+    assert joins.join(people, people, [joins.JoinTest("score", "score", "gt")], product=True).count() == 1
+    loop = Engine([Rule(1, "grow", (Test("n", "ge", 0),), (CreateFact({"n": "{{m}}", "m": 1}),))])
+    df = spark.createDataFrame([(1, 1, 2)], "fact_id bigint, n bigint, m bigint")
+    assert to_fixpoint(loop, df)[1] == 2
+    with pytest.raises(RuleError, match="still created"):
+        to_fixpoint(loop, df, most=1)
+    assert dependency.draw([Rule(1, "a<b")], "svg").count("a&lt;b") == 1
