@@ -294,48 +294,93 @@ def test_toxicity(spark, empty):
 # shards and licences
 
 
-def test_sharding(spark, docs, values, empty):
-    size = [len((v or "").encode()) for v in values]
-    got = rows(sharding.size_tiered_shards(clashing(docs), 10_000, 60_000, 2), "doc_id", "shard", "shard_docs", "shard_bytes", "version")
-    n = max(1, -(-sum(size) // 10_000))
-    width = -(-len(size) // n)
-    of = [i // width for i in range(len(size))]
-    total = Counter()
-    for i, s in enumerate(of):
-        total[s] += size[i]
+def plain_shards(sizes: dict, arrival: int, target: int, fan_in: int) -> dict:
+    """(shard, documents, bytes, version) by id, of ids with their bytes."""
+    of, at, total = {}, 0, Counter()
+    k = {}
+    for i in sorted(sizes):
+        k[i] = at // arrival
+        at += sizes[i]
+    place = {x: n for n, x in enumerate(sorted(set(k.values())))}
+    for i in sizes:
+        of[i] = place[k[i]]
+        total[of[i]] += sizes[i]
     tiers = defaultdict(list)
     for s in sorted(total):
-        if total[s] < 60_000:
+        if total[s] < target:
             tiers[(len(f"{total[s]:b}") - 1) // 2].append(s)
     groups, to = [], {}
     for t in sorted(tiers):
-        if len(tiers[t]) >= 2:
+        if len(tiers[t]) >= fan_in:
             before, runs = 0, {}
             for s in tiers[t]:
-                runs.setdefault(before // 60_000, []).append(s)
+                runs.setdefault(before // target, []).append(s)
                 before += total[s]
-            groups += [runs[r] for r in sorted(runs)]
-    for k, g in enumerate(groups):
-        to |= {s: max(total) + 1 + k for s in g}
-    final = [to.get(s, s) for s in of]
-    docs_in, bytes_in = Counter(final), Counter()
-    for i, s in enumerate(final):
-        bytes_in[s] += size[i]
-    assert groups and got == {i: (s, docs_in[s], bytes_in[s], 2) for i, s in enumerate(final)}
+            groups += [runs[r] for r in sorted(runs) if len(runs[r]) > 1]
+    for n, g in enumerate(groups):
+        to |= {s: max(total) + 1 + n for s in g}
+    final = {i: to.get(s, s) for i, s in of.items()}
+    docs_in, bytes_in = Counter(final.values()), Counter()
+    for i, s in final.items():
+        bytes_in[s] += sizes[i]
+    return {i: (s, docs_in[s], bytes_in[s], 2 if groups else 1) for i, s in final.items()}
+
+
+def test_sharding(spark, docs, values, empty):
+    cols = ("doc_id", "shard", "shard_docs", "shard_bytes", "version")
+    size = {i: len((v or "").encode()) for i, v in enumerate(values)}
+    got = rows(sharding.size_tiered_shards(clashing(docs), 10_000, 60_000, 2), *cols)
+    assert got == plain_shards(size, 10_000, 60_000, 2) and {v[3] for v in got.values()} == {2}
     assert sharding.size_tiered_shards(empty).count() == 0
+    # ids far apart are cut by bytes all the same
+    sparse = spark.createDataFrame([(i if i < 100 else 10**15, "x" * 500, "en", "s", 500) for i in range(101)], SCHEMA)
+    got = rows(sharding.size_tiered_shards(sparse, 5_000, 4_000), *cols)
+    assert got == plain_shards({i if i < 100 else 10**15: 500 for i in range(101)}, 5_000, 4_000, 2) and max(v[1] for v in got.values()) == 10
+    null = spark.createDataFrame([(None, "y" * 900, "en", "s", 900)] * 3 + [(4, "z" * 1000, "en", "s", 1000), (4, "z" * 1000, "en", "s", 1000), (5, None, "en", "s", 0), (6, "w" * 50_000, "en", "s", 50_000)], SCHEMA)
+    got = sharding.size_tiered_shards(null, 1_000, 1_000).collect()
+    assert len(got) == 7 and sorted((r["doc_id"] or 0, r["shard_docs"]) for r in got) == [(0, 3)] * 3 + [(4, 2)] * 2 + [(5, 2), (6, 2)]
 
 
 def test_manifest(spark, docs, tmp_path):
     data = sharding.Dataset(spark, str(tmp_path))
-    assert data.version() == 0 and data.manifest().isEmpty()
+    assert data.version() == 0 and data.manifest().isEmpty() and data.read(docs.schema).count() == 0
     assert sharding.append(data, docs.where("doc_id < 30"), 2_000) == 1 and sharding.append(data, docs.where("doc_id >= 30"), 2_000) == 2
     assert data.read(docs.schema).count() == docs.count() and data.read(docs.schema, 1).count() == 30
-    with pytest.raises(Exception, match="(?i)exist"):
+    with pytest.raises(FileExistsError):
         data.commit(data.manifest(), 1)  # another writer was first
     before = data.manifest().count()
     assert sharding.compact(data, docs.schema, 50_000) == 3 and data.manifest().count() < before
     key = lambda df: sorted((r["doc_id"], r["text"] or "") for r in df.collect())
     assert key(data.read(docs.schema)) == key(docs) and data.read(docs.schema, 2).count() == docs.count()
+    data.vacuum()
+    assert data.version() == 3 and key(data.read(docs.schema)) == key(docs)
+
+
+def test_torn_commits(spark, docs, tmp_path, monkeypatch):
+    """A writer that dies at any step leaves the version before it; the next writer loses nothing."""
+    data = sharding.Dataset(spark, str(tmp_path))
+    assert sharding.append(data, docs.where("doc_id < 20")) == 1
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(sharding.Dataset, "_move", die)
+        with pytest.raises(KeyboardInterrupt):
+            sharding.append(data, docs.where("doc_id >= 20"))
+    assert data.version() == 1 and data.read(docs.schema).count() == 20
+    (tmp_path / "versions" / "v00000002").write_text("")  # an empty marker of another tool
+    (tmp_path / "versions" / "v00000003").write_text("0" * 32)  # one whose manifest isn't there
+    assert data.version() == 1 and data.read(docs.schema).count() == 20
+    assert sharding.append(data, docs.where("doc_id >= 20")) == 4 and data.read(docs.schema).count() == docs.count()
+    # two writers that read the same version: the place is taken for the second one
+    draft = tmp_path / "versions" / ".draft-x"
+    draft.write_text("1" * 32)
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(str(p))
+    with pytest.raises(Exception, match="(?i)exist"):
+        data._move(path(draft), path(tmp_path / "versions" / "v00000004"))
+    data.vacuum()
+    assert not [n for n in data._names("versions") if n.startswith(".draft")] and data.read(docs.schema).count() == docs.count()
 
 
 def test_licenses(spark, empty):
