@@ -383,8 +383,67 @@ def test_torn_commits(spark, docs, tmp_path, monkeypatch):
     assert not [n for n in data._names("versions") if n.startswith(".draft")] and data.read(docs.schema).count() == docs.count()
 
 
+HEADERS = {
+    "GPL-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+    "Apache-2.0": "/*\n * Copyright 2020 Some Body\n *\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n *\n */",
+    "MPL-2.0": "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+}
+
+
+def wrapped(text: str, width: int = 72) -> str:
+    import textwrap
+
+    return textwrap.fill(text, width)
+
+
 def test_licenses(spark, empty):
-    files = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.txt", "words and words"), (3, "a/b/c/LICENSE", "Licensed under the Apache License, Version 2.0."), (4, "a/b/c/d/y.txt", "more words"), (5, "z/w.txt", "a plain text\nThis work is licensed under the GNU General Public License, version 3.\n" + "word " * 50), (6, "z/v.txt", None), (7, "z/u.txt", ""), (8, "top.txt", "nothing here but the licensed bar")]
-    got = rows(licenses.license_scan(clashing(spark.createDataFrame(files, "doc_id bigint, path string, text string"))), "doc_id", "license", "origin", "from_doc_id")
-    assert got == {1: ("MIT", "own", 1), 2: ("MIT", "inherited", 1), 3: ("Apache-2.0", "own", 3), 4: ("Apache-2.0", "inherited", 3), 5: ("GPL-3.0", "own", 5), 6: ("none", "none", None), 7: ("none", "none", None), 8: ("none", "none", None)}
+    from ruleweft.llm import license_templates as T
+
+    mit = "MIT License\n\nCopyright (c) 2021 Jo Doe\n\n" + wrapped(T._MIT) + "\n\n" + wrapped(T._WARRANTY) + "\n"
+    bsd = "Copyright (c) 2019, The Authors\nAll rights reserved.\n\n" + wrapped(T._BSD_OPENING) + "\n\n1. " + wrapped(T._BSD_TWO) + "\n\n3. " + wrapped(T._BSD_THREE) + "\n\n" + wrapped(T._BSD_WARRANTY)
+    files = [
+        (1, "a/LICENSE", mit), (2, "a/b/x.txt", "words and words"), (3, "a/b/c/LICENSE", bsd), (4, "a/b/c/d/y.txt", "more words"), (5, "z/w.txt", "a plain text\nThis work is licensed under the GNU General Public License, version 3.\n" + "word " * 50),
+        (6, "z/v.txt", None), (7, "z/u.txt", ""), (8, "top.txt", "nothing here but the licensed bar"), (9, None, "a file without a path"), (10, "q/one", "Released under the MIT License."), (11, "q/one", "second text"), (11, "q/two", "second text"),
+        (None, "a/n.txt", "no id"), (12, "v/long.txt", "blah blah\n" * 50_000 + "Released under the ISC License.\n" + "\n" * 50_000), (13, "t/t", "Licensed under the MIT License.\nReleased under the MIT License."),
+        (14, "p/COPYING", "GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991\n\n Preamble\n\n" + "The licenses for most software are designed to take away your freedom to share and change it. " * 40), (15, "p/src/deep/main.c", "int main"),
+    ]
+    files += [(20 + i, f"h/{k}.c", h + "\n\nint main(void) { return 0; }\n" * 30) for i, (k, h) in enumerate(HEADERS.items())]
+    got = defaultdict(set)
+    for r in licenses.license_scan(clashing(spark.createDataFrame(files, "doc_id bigint, path string, text string"))).collect():
+        got[r["doc_id"]].add((r["license"], r["origin"], r["from_doc_id"]))
+    none = ("none", "none", None)
+    want = {1: ("MIT", "own", 1), 2: ("MIT", "inherited", 1), 3: ("BSD-3-Clause", "own", 3), 4: ("BSD-3-Clause", "inherited", 3), 5: ("GPL-3.0", "own", 5), 6: none, 7: none, 8: none, 9: none, 10: ("MIT", "own", 10), 11: ("MIT", "inherited", 10), None: ("MIT", "inherited", 1), 12: ("ISC", "own", 12), 13: ("MIT", "own", 13), 14: ("GPL-2.0", "own", 14), 15: ("GPL-2.0", "inherited", 14)}
+    want |= {20 + i: (k, "own", 20 + i) for i, k in enumerate(HEADERS)}
+    assert got == {k: {v} for k, v in want.items()}
     assert licenses.license_scan(licenses.with_paths(empty)).count() == 0
+
+
+def test_license_prefilter(spark):
+    """Brute force over all files, without the filter on needed words, finds the same ones and no more."""
+    rnd, forms = random.Random(4), licenses.templates()
+    counts = [Counter(re.findall(licenses.WORD, v.lower())) for _, _, v, _ in forms]
+    df = Counter(w for c in counts for w in c)
+    pool, plain, files = sorted(df), sorted(set(df) - set(licenses.needed()[0])), []
+    for i in range(400):
+        w = list(counts[i % len(counts)].elements()) if i % 2 else []
+        rnd.shuffle(w)
+        files.append((i, " ".join(w[: rnd.randint(1, 200)] + [rnd.choice(pool if i % 3 else plain) for _ in range(rnd.randint(0, 20))]) or "x"))
+    idf = lambda w: np.log((1 + len(forms)) / (1 + df[w])) + 1
+    tf = lambda k: 1 + np.log(k)
+    unit = lambda c: {w: tf(k) * idf(w) / np.sqrt(sum((tf(j) * idf(x)) ** 2 for x, j in c.items())) for w, k in c.items()}
+    vectors = [unit(c) for c in counts]
+    best = {i: max(sum(v * u.get(w, 0) for w, v in unit(Counter(re.findall(licenses.WORD, t.lower()))).items()) for u in vectors) for i, t in files}
+    got = rows(licenses.scan(licenses.units(spark.createDataFrame(files, "doc_id bigint, text string"))), "doc_id", "score")
+    want = {i: round(v, 6) for i, v in best.items() if round(v, 6) >= licenses.COSINE}
+    assert 50 < len(want) < 350 and set(got) == set(want) and all(abs(got[i][0] - want[i]) < 2e-6 for i in want)
+
+
+@pytest.mark.parametrize("name, want", [("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-3", "LGPL-3.0"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("BSD", "BSD-3-Clause"), ("CC0-1.0", "CC0-1.0")])
+def test_real_license_files(spark, name, want):
+    import os
+
+    path = f"/usr/share/common-licenses/{name}"
+    if not os.path.exists(path):
+        pytest.skip("no licence texts on this machine")
+    files = spark.createDataFrame([(1, "d/LICENSE", open(path, encoding="utf-8", errors="replace").read()), (2, "d/e/f.txt", "a file")], "doc_id bigint, path string, text string")
+    assert rows(licenses.license_scan(files), "doc_id", "license", "from_doc_id") == {1: (want, 1), 2: (want, 1)}
