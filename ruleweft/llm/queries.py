@@ -6,11 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleweft.llm import licenses, sharding
+from ruleweft.llm import html_extract, licenses, sharding
 from ruleweft.llm.bpe import bpe_round_trip
 from ruleweft.llm.common import table
 from ruleweft.llm.embed_dedup import embedding_near_dedup
-from ruleweft.llm.html_extract import extract
 from ruleweft.llm.minhash import minhash_near_dedup
 from ruleweft.llm.packing import best_fit_packing
 from ruleweft.llm.quality import quality, train
@@ -52,7 +51,8 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,6 +115,13 @@ PAGES = {
     "<div class='sidebar'><p>Aside text of some length, which looks quite real.</p></div><main><p>The body of the page has a sentence here.</p><form><p>Your name:</p></form><section id='comments'><p>A reader liked the page a lot and says so.</p></section></main>": "The body of the page has a sentence here.",
     "<div id='cookie-notice'>We use cookies to make this page better for you.</div><div class='content'><p>Wo<i>rd</i>s join. <a href='x'>A link</a> stays in the text.</p><!-- <p>hidden</p> --></div>": "Words join. A link stays in the text.",
     "<div class='layout with-sidebar'><div class='sideBar'><p>Links of the side, which are long enough to fool.</p></div><article><p>The text is here, and it ends.</p><aside>Read more about this elsewhere.</aside><div class='share-box'>Share it!</div><pre>code  too</pre><table><tr><td>a<td>b</table></article></div>": "The text is here, and it ends. code too a b",
+    "<div class='layout sidebar-left'><article><h1>T</h1><p>A text of the article, which goes on for a while.</p></article><div class='sidebar'>Side links here</div></div>": "T A text of the article, which goes on for a while.",
+    "<form id='aspnetForm'><nav><a href=x>Menu</a></nav><div class='content'><p>A text of the article, which goes on for a while.</p></div><footer>foot</footer></form>": "A text of the article, which goes on for a while.",
+    "<form><ul><li><a href=x>Menu</a></ul><div><p>A text of the article, which goes on for a while and then some more, until it ends.</p><p>A second paragraph follows, as one would expect here.</p></div></form>": "A text of the article, which goes on for a while and then some more, until it ends. A second paragraph follows, as one would expect here.",
+    "<article><header><h1>The title here</h1></header><p>A text of the article, which goes on for a while.</p><p class='notice-of-award'>The notice of award was sent to the winners, who were happy to get it.</p><div class='notice'>This page has moved to another place, see there.</div></article>": "The title here A text of the article, which goes on for a while. The notice of award was sent to the winners, who were happy to get it.",
+    "<article><h1>T</h1><p>Short text.</p></article><section id='comments'><article><p>A comment of great length, which goes on and on, much more than the article itself does. Really long one.</p></article><article class='comment'><p>And another comment of great length, more than the article.</p></article></section>": "T Short text.",
+    "<article><p>Text one is here and it is good.</p><svg/><p>Text two is here and it is good.</p><button>Buy<p>Text three is here and it is good.</p></article>": "Text one is here and it is good. Text two is here and it is good. Text three is here and it is good.",
+    "<aside class='related'><article><p>A teaser of another story, which is long too.</p></article></aside><article><p>The real one, with a text.</p></article>": "The real one, with a text.",
     "no tags but a sentence of plain words, which is all there is.": "no tags but a sentence of plain words, which is all there is.",
     "": "",
 }
@@ -122,12 +129,55 @@ PAGES = {
 
 def test_pages(spark):
     cases = list(PAGES.items())
-    df = spark.createDataFrame([(i, f"u{i}", h, 1) for i, (h, _) in enumerate(cases)] + [(90, None, None, 1), (91, "u", "<p>" * 3000 + "x", 1), (92, "u", "<article>" + "<p>One more sentence of text.</p>" * 5000 + "</article>", 1), (93, "u", '<a "' * 5000, 1)], "page_id bigint, url string, html string, text int")
-    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.extract(df).collect()}
+    df = spark.createDataFrame([(i, f"u{i}", h, 1) for i, (h, _) in enumerate(cases)] + [(90, None, None, 1), (91, "u", "<p>" * 3000 + "x", 1), (92, "u", "<article>" + "<p>One more sentence of text.</p>" * 5000 + "</article>", 1), (93, "u", '<a "' * 5000, 1), (None, None, cases[0][0], 1), (0, "u0", cases[0][0], 1)], "page_id bigint, url string, html string, text int")
+    for costs in (None, html_extract.train(df)):
+        check_pages(df, cases, costs)
+    assert html_extract.extract(df.limit(0), html_extract.train(df.limit(0))).count() == 0
+
+
+def check_pages(df, cases, costs):
+    every = html_extract.extract(df, costs).collect()
+    assert len(every) == df.count() and [r["text"] for r in every if r["page_id"] is None] == [cases[0][1]]
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in every if r["page_id"] is not None}
     for i, (_, want) in enumerate(cases):
         assert got[i] == (want, len(want))
     assert got[90] == ("", 0) and got[92][1] == 5000 * 27 - 1 and set(got) == {*range(len(cases)), 90, 91, 92, 93}
-    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_whole_labelling():
+    """The labels of random pages cut as little as any labels do."""
+    rnd = random.Random(7)
+    tags = ["p", "div", "li", "h1", "h2", "section class=sidebar", "article", "nav", "div class=share-box", "td", "p class=notice-of-x"]
+    for _ in range(120):
+        html, n = "", 0
+        for _ in range(rnd.randint(1, 9)):
+            t = rnd.choice(tags)
+            text = " ".join("word" for _ in range(rnd.randint(1, 14))) + rnd.choice([".", ""])
+            html += f"<{t}>" + (f"<a href=x>{text}</a>" if rnd.random() < 0.3 else text) + (f"</{t.split()[0]}>" if rnd.random() < 0.7 else "")
+        found, every = html_extract.blocks(html)
+        marked = html_extract.weigh(found, every)
+        net, edges = [html_extract.Costs().evidence(b, marked) for b in found], html_extract.edges(found)
+        n = len(found)
+        cut = lambda s: sum(-min(net[i], 0) if s[i] else max(net[i], 0) for i in range(n)) + sum(c for i, j, c in edges if s[i] != s[j])
+        best = min(product([False, True], repeat=n), key=cut)
+        got = html_extract.min_cut(net, edges)
+        assert cut(got) == pytest.approx(cut(best))
+        assert html_extract.main_text(html) == " ".join(b.text for b, g in zip(found, got, strict=True) if g)
+
+
+def test_pages_in_linear_time():
+    import time
+
+    for html in ("<article>" + "<p>One more sentence of text.</p>" * 100_000 + "</article>", "<div>" * 100_000 + "x", "<button>" * 50_000, "<b>x" * 50_000, "<a>y" * 50_000):
+        start = time.time()
+        html_extract.main_text(html)
+        assert time.time() - start < 15  # some 1 s each on an idle machine
+
+
+def test_fitted_costs():
+    cells = {(1, 12, 1, 0, 0): 500, (1, 3, 0, 0, 0): 100, (0, 2, 0, 10, 3): 700, (0, 9, 1, 0, 0): 40}
+    c = html_extract.fit(cells)
+    assert c.weights != html_extract.PRIOR and c.weights[3] < -2 and html_extract.fit({(1, 3, 1, 0, 0): 5}).weights == html_extract.PRIOR
 
 
 def test_pipeline_near_threshold(spark):
