@@ -1,6 +1,6 @@
 """Near-duplicate embeddings by sorted projection passes.
 
-Each pass orders the vectors of a label lexicographically by a key of concatenated random-projection hashes and
+Equal vectors of a label form a class first, and only the class with its size goes on. Each pass orders the vectors of a label lexicographically by a key of concatenated random-projection hashes and
 compares each with a bounded window of neighbours; verified pairs of all passes are united. How many passes there are
 follows from the wanted recall at the threshold and from the size of the largest label. Neighbour windows cross the
 borders of partitions. Where a label's vectors point the same way, hash bits hardly split it, and a range of equal
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from ruleweft.llm.components import components, forest
 from ruleweft.llm.common import n_parts, remove, shared_dir, stash
 
-COSINE, WINDOW, MISS, BLOCK = 0.98, 32, 1e-4, 2048
+COSINE, WINDOW, MISS, BLOCK = 0.98, 32, 1e-4, 512
 KEY_BITS = 63
+#: Distance from the threshold within which a matrix product's cosine is computed again by ``cosines``.
+CLOSE = 1e-9
 
 
 def prefix_bits(largest: int, window: int = WINDOW) -> int:
@@ -75,26 +77,50 @@ def _planes(passes: int, dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((passes, KEY_BITS, dim))
 
 
+def _proper(kind: type):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(vec_id, label, dim, v) of rows with a proper vector."""
+        for b in batches:
+            for rows, x in proper(b.column(2), kind):
+                at = pa.array(rows)
+                yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(np.full(len(rows), x.shape[1], np.int32)), pa.array([v.tobytes() for v in x], pa.binary())], ["vec_id", "label", "dim", "v"])
+
+    return run
+
+
 def _keys(passes: int, seed: int, kind: type, vectors: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector's key in each pass."""
         planes: dict[int, np.ndarray] = {}
         weight = (1 << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
         for b in batches:
-            ids, labels = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for rows, x in proper(b.column(2), kind):
-                dim = x.shape[1]
+            dims = b.column(2).to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = b.take(pa.array(np.flatnonzero(dims == dim)))
                 if dim not in planes:
                     planes[dim] = _planes(passes, dim, seed)
-                vecs = [pa.array([v.tobytes() for v in x], pa.binary())] if vectors else []
-                x = units(x)
+                x, n = _matrix(own.column(3), dim, kind), own.num_rows
                 for p in range(passes):
                     key = ((x @ planes[dim][p].T) > 0).astype(np.int64) @ weight
-                    n = len(rows)
-                    yield pa.record_batch([pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(labels[rows]), pa.array(key), pa.array(ids[rows]), *vecs], ["pass", "dim", "label", "key", "vec_id", *["v"] * vectors])
+                    yield pa.record_batch([pa.array(np.full(n, p, np.int32)), own.column(2), own.column(1), pa.array(key), own.column(0), *[own.column(3)] * vectors], ["pass", "dim", "label", "key", "vec_id", *["v"] * vectors])
 
     return run
 
 
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of the rows' unit vectors: the one formula that decides at the threshold, in either order."""
+    return (x * y).sum(1)
+
+
+def linked(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
+    """True where a row of ``x`` and one of ``y`` are linked: by a matrix product, and by ``cosines`` where that is close."""
+    m = x @ y.T
+    near = m >= cosine
+    i, j = np.nonzero(np.abs(m - cosine) < CLOSE)
+    near[i, j] = cosines(x[i], y[j]) >= cosine
+    return near
+
+
 def _near(group: np.ndarray, ids: np.ndarray, x: np.ndarray, window: int, cosine: float, cut: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows at most ``window`` apart, of one group, with at least this cosine; across ``cut`` if given."""
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -103,7 +129,7 @@ def _near(group: np.ndarray, ids: np.ndarray, x: np.ndarray, window: int, cosine
         if cut is not None:
             i = i[(i < cut) & (i + d >= cut)]
         i = i[(group[i] == group[i + d])]
-        i = i[np.einsum("ij,ij->i", x[i], x[i + d]) >= cosine]
+        i = i[cosines(x[i], x[i + d]) >= cosine]
         a.append(ids[i])
         b.append(ids[i + d])
     return np.concatenate(a), np.concatenate(b)
@@ -184,10 +210,9 @@ def _meet(cosine: float, kind: type):
         if len(left) and len(right):
             ids, c = g.column("vec_id").to_numpy(), g.column("c").to_numpy()
             x = _matrix(g.column("v").combine_chunks(), g.column("dim")[0].as_py(), kind)
-            xr = x[right].T
             for s in range(0, len(left), 512):
                 own = left[s : s + 512]
-                i, j = np.nonzero((x[own] @ xr >= cosine) & (c[own][:, None] != c[right][None]))
+                i, j = np.nonzero(linked(x[own], x[right], cosine) & (c[own][:, None] != c[right][None]))
                 keep = forest(ids[own[i]], ids[right[j]])
                 a.append(ids[own[i]][keep])
                 b.append(ids[right[j]][keep])
@@ -199,7 +224,7 @@ def _meet(cosine: float, kind: type):
 def _crowded(able: DataFrame, found: DataFrame, passes: int, bits: int, window: int, cosine: float, block: int, seed: int, kind: type, where: str) -> DataFrame:
     """Links (a, b) across the components ``found`` in ranges of equal prefixes that are larger than a window."""
     spot = ["pass", "dim", "label", "prefix"]
-    keyed = able.mapInArrow(_keys(passes, seed, kind, vectors=False), "pass int, dim int, label long, key long, vec_id long")
+    keyed = able.select("vec_id", "label", "dim", "v").mapInArrow(_keys(passes, seed, kind, vectors=False), "pass int, dim int, label long, key long, vec_id long")
     placed = keyed.select("pass", "dim", "label", F.shiftright("key", KEY_BITS - bits).alias("prefix"), "vec_id").join(found, "vec_id", "left")
     placed = placed.withColumn("c", F.coalesce("component_id", "vec_id")).drop("component_id")
     # the whole label is one more range, as of a pass -1
@@ -211,82 +236,77 @@ def _crowded(able: DataFrame, found: DataFrame, passes: int, bits: int, window:
     work = top.groupBy("dim", "label").agg(F.sum(F.when(F.col("pass") >= 0, F.col("work"))).alias("ranges"), F.max(F.when(F.col("pass") < 0, F.col("work"))).alias("all"))
     by_range = F.coalesce(F.coalesce("ranges", F.lit(0.0)) <= F.col("all"), F.lit(True))
     chosen = top.join(work, ["dim", "label"]).where((F.col("pass") >= 0) == by_range).select(*spot, F.col("top.c").alias("top"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    each = placed.join(chosen, spot).join(able.select("vec_id", "embedding"), "vec_id")
+    each = placed.join(chosen, spot).join(able.select("vec_id", "v"), "vec_id")
     own = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cols = [*spot, "i", "j", "vec_id", "c"]
-    asks = each.where("c <> top").withColumn("i", own).withColumn("j", other).select(*cols, F.lit(True).alias("asks"), "embedding")
-    told = each.withColumn("j", own).withColumn("i", other).select(*cols, F.lit(False).alias("asks"), "embedding")
-    meet = asks.unionByName(told).mapInArrow(_as_bytes(kind), "pass int, dim int, label long, prefix long, i int, j int, vec_id long, c long, asks boolean, v binary")
-    return meet.groupBy(*spot, "i", "j").applyInArrow(_meet(cosine, kind), "a long, b long")
+    asks = each.where("c <> top").withColumn("i", own).withColumn("j", other).select(*cols, F.lit(True).alias("asks"), "v")
+    told = each.withColumn("j", own).withColumn("i", other).select(*cols, F.lit(False).alias("asks"), "v")
+    return asks.unionByName(told).groupBy(*spot, "i", "j").applyInArrow(_meet(cosine, kind), "a long, b long")
 
 
 def _count(cosine: float, kind: type):
     def run(g: pa.Table) -> pa.Table:
-        """Links between the two blocks of a pair, by vector."""
-        own, i, j = (g.column(c).to_numpy() for c in ("block", "i", "j"))
-        ids = g.column("vec_id").to_numpy()
+        """Links between the two blocks of a pair, by class: other classes count with their sizes."""
+        own, i, j, dims, size = (g.column(c).to_numpy() for c in ("block", "i", "j", "dim", "n"))
+        ids, v = g.column("vec_id").to_numpy(), g.column("v").combine_chunks()
         n = np.zeros(len(ids), np.int64)
-        for d in np.unique(sizes := np.array([len(v) for v in g.column("v").to_pylist()])).tolist():
-            at = np.flatnonzero(sizes == d)
-            x = _matrix(g.column("v").combine_chunks().take(pa.array(at)), d // np.dtype(kind).itemsize, kind)
+        for d in np.unique(dims).tolist():
+            at = np.flatnonzero(dims == d)
+            x = _matrix(v.take(pa.array(at)), d, kind)
             left, right = at[own[at] == i[0]], at[own[at] == j[0]]
             xl, xr = x[own[at] == i[0]], x[own[at] == j[0]]
             for s in range(0, len(left), 512):
-                near = xl[s : s + 512] @ xr.T >= cosine
+                near = linked(xl[s : s + 512], xr, cosine)
                 near &= ids[left[s : s + 512]][:, None] != ids[right][None]
-                n[left[s : s + 512]] += near.sum(1)
+                n[left[s : s + 512]] += near @ size[right]
                 if i[0] != j[0]:
-                    n[right] += near.sum(0)
-        return pa.table({"vec_id": pa.array(ids), "n": pa.array(n)})
+                    n[right] += size[left[s : s + 512]] @ near
+        return pa.table({"vec_id": pa.array(ids), "links": pa.array(n)})
 
     return run
 
 
 def embedding_near_dedup(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each vector."""
+    """(vec_id, n_links, component_id, kept) of each vector.
+
+    Folders that the result reads (``proper``, ``classes``, ``components``, ``links``) stay in the shared folder.
+    """
     spark = vectors.sparkSession
     where = shared_dir(spark)
     single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
     kind = np.float32 if single else np.float64
-    one = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
-    no_id = one.where("vec_id IS NULL").select("vec_id")
-    one = one.where("vec_id IS NOT NULL").dropDuplicates(["vec_id"])
-    able = one.where("label IS NOT NULL AND embedding IS NOT NULL")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
+    no_id = rows.where("vec_id IS NULL").select("vec_id")
+    one = rows.where("vec_id IS NOT NULL")
+    n = one.agg(F.count("vec_id"), F.count_distinct("vec_id")).first()
+    one = one if n[0] == n[1] else one.dropDuplicates(["vec_id"])
+    good = stash(one.where("label IS NOT NULL AND embedding IS NOT NULL").mapInArrow(_proper(kind), "vec_id long, label long, dim int, v binary"), f"{where}/proper")
+    # equal vectors are one class, which its smallest id stands for
+    same = ["label", "dim", "v"]
+    able = stash(good.groupBy(*same).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).select("vec_id", *same, "n"), f"{where}/classes")
     largest = able.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
     passes = n_passes(largest[0] or 0, cosine, window, miss)
     parts = max(1, min(n_parts(spark), passes * (largest[1] or 0) // (64 * window)))
-    keyed = able.mapInArrow(_keys(passes, seed, kind), "pass int, dim int, label long, key long, vec_id long, v binary")
+    keyed = able.select("vec_id", *same).mapInArrow(_keys(passes, seed, kind), "pass int, dim int, label long, key long, vec_id long, v binary")
     order = ["pass", "dim", "label", "key", "vec_id"]
     scanned = stash(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_scan(window, cosine, kind), SCANNED), f"{where}/scanned")
     across = scanned.where("border IS NOT NULL").groupBy("border").applyInArrow(_borders(window, cosine, kind), "a long, b long")
     near = stash(scanned.where("border IS NULL").select("a", "b").unionByName(across), f"{where}/near")
     found = components(near).withColumnRenamed("id", "vec_id")
     rest = stash(_crowded(able, found, passes, prefix_bits(largest[0] or 0, window), window, cosine, block, seed, kind, where), f"{where}/rest")
-    found = components(near.unionByName(rest))
-    found = stash(found.withColumnRenamed("id", "vec_id"), f"{where}/components")
+    found = stash(components(near.unionByName(rest)).withColumnRenamed("id", "vec_id"), f"{where}/components")
 
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")
     size = found.groupBy("component_id").agg(F.count("*").alias("size"))
     member = found.join(size, "component_id").join(able, "vec_id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    meet = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "embedding")
-    pairs = meet.mapInArrow(_as_bytes(kind), "component_id long, i int, j int, block int, vec_id long, v binary")
-    links = pairs.groupBy("component_id", "i", "j").applyInArrow(_count(cosine, kind), "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    meet = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "n", "dim", "v")
+    links = meet.groupBy("component_id", "i", "j").applyInArrow(_count(cosine, kind), "vec_id long, links long").groupBy("vec_id").agg(F.sum("links").alias("links"))
     links = stash(links, f"{where}/links")
     for name in ("scanned", "placed", "near", "rest"):
         remove(spark, f"{where}/{name}")
-    out = one.select("vec_id").join(found, "vec_id", "left").join(links, "vec_id", "left").unionByName(no_id, allowMissingColumns=True)
-    return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept")
-    )
-
-
-def _as_bytes(kind: type):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.get_field_index("embedding")
-            for rows, x in proper(b.column(at), kind):
-                own = b.take(pa.array(rows))
-                yield pa.record_batch([*(own.column(c) for c in range(at)), pa.array([v.tobytes() for v in x], pa.binary())], [*b.schema.names[:at], "v"])
-
-    return run
+    by_class = able.join(found, "vec_id", "left").join(links, "vec_id", "left").select(*same, F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"))
+    members = good.join(by_class, same).select("vec_id", "component_id", "n_links")
+    out = one.select("vec_id").join(members, "vec_id", "left").unionByName(no_id, allowMissingColumns=True)
+    own = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(False)).alias("kept"))

@@ -77,6 +77,50 @@ def test_concentrated_embeddings(spark):
     assert want.sum() >= 2000 and [got[i] for i in range(len(x))] == want.tolist()
 
 
+def test_touching_crowds(spark):
+    """Labels with two crowds each that one pair near the threshold joins, one crowd partly of equal vectors."""
+    rnd = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x, labels = [], []
+    for label in range(6):
+        a = unit(rnd.normal(size=64))
+        off = rnd.normal(size=64)
+        off = unit(off - (off @ a) * a)
+        b = 0.9803 * a + np.sqrt(1 - 0.9803**2) * off  # one member of each crowd lies that near
+        around = lambda c: unit(c + 0.01 * rnd.normal(size=(400, 64)))
+        far = unit(a - 0.3 * off)
+        two = unit(b + 0.3 * off)
+        crowd = np.concatenate([around(far), [a], around(two), [b]])
+        crowd[50:150] = crowd[50]
+        x.append(crowd)
+        labels += [label] * len(crowd)
+    x = np.concatenate(x).astype(np.float32)
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, v, y) for i, (v, y) in enumerate(zip(x.tolist(), labels, strict=True))], "vec_id bigint, embedding array<float>, label int")
+    df = df.withColumns({n: F.lit(-1) for n in ("v", "n", "dim", "key", "pass", "component_id", "links", "kept", "size")})
+    u, y = unit(x.astype(np.float64)), np.array(labels)
+    near = (u @ u.T >= embed_dedup.COSINE) & (y[:, None] == y[None])
+    comp = np.arange(len(x))
+    while True:
+        new = np.where(near, comp[None], len(x)).min(1)
+        if (new == comp).all():
+            break
+        comp = new
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.embedding_near_dedup(df).collect()}
+    assert [got[i] for i in range(len(x))] == list(zip((near.sum(1) - 1).tolist(), comp.tolist(), strict=True))
+
+
+def test_threshold_is_one_formula():
+    """The block's matrix product decides at the threshold as the windows do, also for exact ties."""
+    rnd = np.random.default_rng(2)
+    x = embed_dedup.units(rnd.normal(size=(200, 24)))
+    for c in (embed_dedup.cosines(x[:50], x[50:100])).tolist():
+        m = embed_dedup.linked(x, x, c)
+        want = np.array([embed_dedup.cosines(np.repeat(x[i : i + 1], len(x), 0), x) >= c for i in range(len(x))])
+        assert (m == want).all() and (m == m.T).all()
+
+
 def test_passes():
     assert embed_dedup.n_passes(5_000) < embed_dedup.n_passes(5_000_000) < 100
 
