@@ -2,10 +2,12 @@
 
 Exact counts come first (words, symbols, repeated lines and word windows) with two base rules on them. A Viterbi pass
 over each text's lines with weights fitted on a bounded labelled sample then marks the lines; the share of words in
-content lines decides whether the text stays.
+content lines decides whether the text stays. Labels are of texts, so for fitting the texts of both classes are glued
+to sequences in which labels change where texts meet: that is what the weights of label pairs are learnt from, and it
+lets a text that is part content and part boilerplate get both labels. All lines of the sampled texts are read.
 
 Null and empty texts have no words, fail the base rules and aren't kept; texts of any length are judged whole; equal
-texts have equal results; an empty table gives no rows; without labels of both classes every line counts as content.
+texts have equal results; null ids are ids like all others; an empty table gives no rows; without labels of both classes every line counts as content.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ruleweft.llm.bytesops import CONTINUES, SPACE, U, Hasher, lines, mix, owners, per_row, repeated, later, windows, words
-from ruleweft.llm.common import flat_bytes, ids_and_text, slices
+from ruleweft.llm.common import flat_bytes, ids_and_text, slices, spread
 from ruleweft.llm.sampling import fitted, parts
 
 SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
@@ -27,11 +29,13 @@ DIGITS, MARKS = np.isin(np.arange(256), range(48, 58)), np.isin(np.arange(256),
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Share of words in content lines from which a text stays.
 CONTENT_SHARE = 0.5
-#: Lines of a text that fitting reads, at most (labelling reads all).
-FIT_LINES = 48
+#: Sequences that the labelled texts are glued to for fitting.
+CHAINS = 256
+#: How often a text of the smaller class takes part, at most.
+MOST_TIMES = 32
 #: Labelled texts of each class that fitting reads, at most.
 PER_CLASS = 2000
-N_FEATURES = 11
+N_FEATURES = 12
 
 
 def measure(data: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -89,6 +93,7 @@ def measure(data: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray],
     f[:, 8] = share(mark_end, *wl, n)
     f[:, 9] = np.log1p(n) / 4
     f[:, 10] = np.minimum(share(data == 33, ls, le, n), 3)
+    f[:, 11] = np.sqrt(np.minimum(f[:, 1], 1))  # few symbols tell much
     return counts, f, n, lat
 
 
@@ -125,33 +130,41 @@ class Crf:
         return out
 
 
-def fit(texts: pa.Array, y: np.ndarray, steps: int = 100, rate: float = 0.2, ridge: float = 1e-3) -> Crf:
-    """Maximises the conditional likelihood of label sequences by gradient ascent; each line has its text's label."""
+def fit(texts: pa.Array, y: np.ndarray, steps: int = 100, rate: float = 0.2, ridge: float = 1e-3, chains: int = CHAINS) -> Crf:
+    """Maximises the conditional likelihood of the labels of glued texts by gradient ascent; each line has its text's.
+
+    The texts of the class with fewer lines take part several times, so that neither label is the likelier one.
+    """
     crf = Crf(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
-    if len(set(y.tolist())) < 2:
-        crf.emit[0, 1] = 1.0
-        return crf
-    kept, sizes, labels = [], [], []
+    crf.emit[0, 1] = 1.0  # without labels of both classes every line is content
+    kept, sizes, labels = [np.zeros((0, N_FEATURES), np.float32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for data, offs, own_y in parts(texts, y):
         counts, f, _, lat = measure(data, offs)
         rows = np.flatnonzero(counts["n_words"] >= MIN_WORDS)
-        size = np.minimum(np.diff(lat)[rows], FIT_LINES)
-        kept.append(f[np.repeat(lat[:-1][rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+        size = np.diff(lat)[rows]
+        kept.append(f[spread(rows, lat[:-1], np.diff(lat))].astype(np.float32))
         sizes.append(size)
         labels.append(own_y[rows])
     f, size, y = np.concatenate(kept), np.concatenate(sizes), np.concatenate(labels)
     if len(set(y.tolist())) < 2:
-        crf.emit[0, 1] = 1.0
         return crf
-    top = int(size.max())
-    x = np.zeros((top, len(size), N_FEATURES))
-    on = np.arange(top)[:, None] < size[None]
-    at = (np.cumsum(size) - size)[None] + np.arange(top)[:, None]
-    x[on] = f[at[on]]
-    # classes weigh the same, and so do texts of any number of lines
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) / size
-    theta = [crf.emit, crf.move]
+    # texts meet in an order that has nothing to do with their ids
+    lines_of = np.bincount(y, weights=size, minlength=2)
+    few = int(lines_of[0] > lines_of[1])
+    times = max(1, round(lines_of[1 - few] / max(1, lines_of[few])))
+    order = np.random.default_rng(5).permutation(np.concatenate([np.arange(len(size)), np.repeat(np.flatnonzero(y == few), min(times, MOST_TIMES) - 1)]))
+    at = spread(order, np.cumsum(size) - size, size)
+    n, top = len(at), -(-len(at) // chains)
+    pad = np.zeros(top * chains - n, np.int64)
+    lay = lambda v: np.concatenate([v, pad.astype(v.dtype)]).reshape(chains, top).T
+    where, line_y, on = lay(at), lay(np.repeat(y[order], size[order])), lay(np.ones(n, bool))
+    x = f[where]
+    theta = [np.zeros((N_FEATURES, 2)), np.zeros((2, 2))]
     m, v = [np.zeros_like(p) for p in theta], [np.zeros_like(p) for p in theta]
+    want = np.zeros((top, chains, 2))
+    np.put_along_axis(want, line_y[:, :, None], 1.0, 2)
+    weight, pairs = on / n, on[1:] / n
+    seen = np.array([[(pairs * (line_y[:-1] == r) * (line_y[1:] == s)).sum() for s in (0, 1)] for r in (0, 1)])
     for step in range(1, steps + 1):
         e = x @ theta[0]
         a, b = np.zeros_like(e), np.zeros_like(e)
@@ -159,19 +172,13 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = 100, rate: float = 0.2, rid
         for t in range(1, top):
             a[t] = np.where(on[t][:, None], np.logaddexp(a[t - 1][:, 0, None] + theta[1][0], a[t - 1][:, 1, None] + theta[1][1]) + e[t], a[t - 1])
         for t in range(top - 2, -1, -1):
-            w = e[t + 1] + b[t + 1]
-            b[t] = np.where(on[t + 1][:, None], np.logaddexp(theta[1][None, :, 0] + w[:, 0, None], theta[1][None, :, 1] + w[:, 1, None]), 0)
+            u = e[t + 1] + b[t + 1]
+            b[t] = np.where(on[t + 1][:, None], np.logaddexp(theta[1][None, :, 0] + u[:, 0, None], theta[1][None, :, 1] + u[:, 1, None]), 0)
         z = np.logaddexp(a[-1][:, 0], a[-1][:, 1])
-        p = np.exp(a + b - z[None, :, None]) * on[:, :, None]
-        want = np.zeros_like(p)
-        want[:, np.arange(len(y)), y] = on
-        g_emit = np.einsum("tnk,tns->ks", x, (want - p) * weight[None, :, None])
-        g_move = np.zeros((2, 2))
-        for t in range(1, top):
-            pair = np.exp(a[t - 1][:, :, None] + theta[1][None] + (e[t] + b[t])[:, None, :] - z[:, None, None]) * (on[t] * weight)[:, None, None]
-            g_move -= pair.sum(0)
-        for s in (0, 1):
-            g_move[s, s] += (on[1:].sum(0) * weight)[y == s].sum()
+        p = np.exp(a + b - z[None, :, None])
+        g_emit = np.einsum("tnk,tns->ks", x, (want - p) * weight[:, :, None])
+        pair = np.exp(a[:-1, :, :, None] + theta[1][None, None] + (e[1:] + b[1:])[:, :, None, :] - z[None, :, None, None])
+        g_move = seen - (pair * pairs[:, :, None, None]).sum((0, 1))
         for k, g in enumerate((g_emit - ridge * theta[0], g_move - ridge * theta[1])):
             m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
             theta[k] = theta[k] + rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)

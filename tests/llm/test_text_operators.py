@@ -146,6 +146,26 @@ def test_quality_learns(spark):
     assert sum(got[i][0] == (i % 2 == 0) for i in range(200, 300)) >= 98
 
 
+def test_quality_mixed_texts(spark):
+    """Texts glued from a clean and a junk one get both labels, each in its place; null ids are rows like others."""
+    rnd = random.Random(3)
+    good = ["\n".join(sentence(rnd, 12).capitalize() + "." for _ in range(rnd.randint(2, 60))) for _ in range(160)]
+    bad = ["\n".join(" ".join(w + rnd.choice(["###", "$$$", " |", "!!"]) for w in sentence(rnd, 12).upper().split()) for _ in range(rnd.randint(2, 6))) for _ in range(60)]
+    labels = spark.createDataFrame([(i, int(i < 160), 0) for i in range(220)], "doc_id bigint, quality int, toxic int")
+    crf = quality.train(documents(spark, good + bad), labels)
+    right = 0
+    for i in range(60):
+        parts = [good[i], bad[i]][:: 1 if i % 2 else -1]
+        data = np.frombuffer("\n".join(parts).encode(), np.uint8)
+        _, f, _, lat = quality.measure(data, np.array([0, len(data)]))
+        k = parts[0].count("\n") + 1
+        v = crf.viterbi(f, lat)
+        right += (v[:k] == i % 2).mean() >= 0.5 and (v[k:] != i % 2).mean() >= 0.5
+    assert right >= 54
+    null = spark.createDataFrame([(None, good[0], "en", "s", 1), (None, bad[0], "en", "s", 1), (1, good[0], "en", "s", 1), (1, good[0], "en", "s", 1)], SCHEMA)
+    assert sorted((r["doc_id"] or 0, r["kept"]) for r in quality.quality(null, crf).collect()) == [(0, False), (0, True), (1, True), (1, True)]
+
+
 def test_viterbi():
     rnd = np.random.default_rng(2)
     crf = quality.Crf(rnd.normal(size=(quality.N_FEATURES, 2)), rnd.normal(size=(2, 2)))
