@@ -72,6 +72,25 @@ def test_bpe_random():
     check()
 
 
+def test_bpe_long_words():
+    """Words of many letters, alike or not, against the library, in time that follows their length."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    path, rnd = bpe.tokenizer_path(bpe.TOKENIZER), random.Random(5)
+    t, e = Tokenizer.from_file(path), bpe.Encoder(bpe.load(path))
+    letters = lambda n, of: "".join(rnd.choices(of, k=n))
+    words = [letters(n, of) for n in (1023, 1024, 3000, 20_000) for of in ("abcdefghijklmnopqrstuvwxyz", "ACGT", "ab", "éüß日本", "x")] + ["the" * 5000, "x" * 4097]
+    for w in words:
+        got = e.encode(["a short word " + w, w])[0].tolist()
+        assert got == t.encode("a short word " + w, add_special_tokens=False).ids + t.encode(w, add_special_tokens=False).ids
+    long = letters(1_000_000, "abcdefghijklmnopqrstuvwxyz")
+    start = time.time()
+    assert len(bpe.load(path).merge_long(long.encode())) == len(t.encode(long, add_special_tokens=False).ids)
+    assert time.time() - start < 30  # some 5 s on an idle machine
+
+
 # packing
 
 
@@ -305,6 +324,8 @@ def test_toxicity(spark, empty):
     own = [i for i in range(600) if got[i][0]]
     assert sum(got[i][2] == int(i % 4 == 0) for i in own) >= 0.98 * len(own)
     assert got[600] == (got[600][0], got[601][1], 0) and got[603][2] == 1
+    null = toxicity.toxicity(documents(spark, ["x"]).selectExpr("cast(null as bigint) AS doc_id", "'vile vile wretch' AS text").unionByName(d.select("doc_id", "text")), labels)
+    assert [(r["held_out"], r["predicted"]) for r in null.where("doc_id IS NULL").collect()] == [(False, 1)]
     kept = toxicity.without_toxic(clashing(d), labels)
     assert kept.columns == clashing(d).columns and {r["doc_id"] for r in kept.collect()} == {i for i in got if got[i][2] == 0}
     assert toxicity.toxicity(empty, labels).count() == 0
