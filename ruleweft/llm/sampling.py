@@ -52,7 +52,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, fit: Callable, where=
         texts = rows.column("text").combine_chunks()
         return pa.table({"model": pa.array([pickle.dumps(fit(texts, rows.column("y").to_numpy().astype(np.int64), counts))], pa.binary())})
 
-    # the ids are bounded by per_class a class, so safe to broadcast
-    rows = ids_and_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y", F.lit(0).alias("all"))
+    # the ids are bounded by per_class a class, so safe to broadcast; rows that share an id are one, with the last text
+    rows = ids_and_text(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")).select("doc_id", "text", "y", F.lit(0).alias("all"))
     made = rows.groupBy("all").applyInArrow(run, "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else fit(pa.array([], pa.string()), np.zeros(0, np.int64), counts)

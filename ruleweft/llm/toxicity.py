@@ -4,11 +4,13 @@ Tokens are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. Log-odd
 compare how many toxic and clean labelled texts hold a token, or a prefix of one (which covers inflected and compound
 forms); features whose likelihood ratio is high enough form the lexicon, and any other token costs ``gap``. A linear-time scan
 over a text's tokens yields all maximal scoring segments. A segment of score S in a text of n tokens is judged by
-extreme-value statistics, p = 1 - exp(-K n exp(-lambda S)); the text's evidence is the sum of -ln p over its
-significant segments, and a logistic curve fitted on the labelled sample turns evidence into a probability.
+extreme-value statistics, p = 1 - exp(-K n exp(-lambda S)), where lambda solves E[exp(lambda s)] = 1 over clean tokens
+and K is the likeliest one for the best segments of clean texts. The text's evidence is the sum of -ln p over all its
+segments, where those that chance explains add next to nothing, and a logistic curve fitted on the labelled sample
+turns evidence into a probability. Segments with a low p are the passages that are reported.
 
 Null and empty texts have no tokens and the score of no evidence; texts are scored whole; equal texts have equal
-scores; null ids are never held out; without labelled rows of both classes every score is 0.
+scores; null ids are scored and never held out; without labelled rows of both classes every score is 0.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ PREFIXES = (0, 4, 5, 6, 7)
 LIKELIHOOD, LOG_ODDS, LEAST_TEXTS = 23.0, 2.5, 4
 #: Cost of a token outside the lexicon, and what the prior counts for, in texts.
 GAP, PRIOR = 0.05, 4.0
-#: p-value up to which a segment is significant.
+#: p-value up to which a segment is a passage.
 P_VALUE = 0.05
 THRESHOLD = 0.7
 
@@ -98,10 +100,19 @@ class Model:
 
     def passages(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, float, float]]]:
         """Each row's evidence, and its significant segments (row, first token, last token, score, p-value)."""
+        evidence, found = np.zeros(len(offs) - 1), []
+        for r, n, i, j, s in self.maximal(data, offs):
+            p = -np.expm1(-min(self.k * n * np.exp(-self.lam * s), 700.0))
+            evidence[r] -= np.log(max(p, 1e-300))
+            if p <= P_VALUE:
+                found.append((r, i, j, s, float(p)))
+        return evidence, found
+
+    def maximal(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        """All maximal segments: row, its tokens, first and last token, score."""
         feats, at = features(data, offs)
         hit = self.hits(feats)
         where = np.flatnonzero(hit)
-        evidence, found = np.zeros(len(offs) - 1), []
         rows = owners(at)[where]
         cuts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)], strict=False):
@@ -110,12 +121,7 @@ class Model:
             n = int(at[r + 1] - at[r])
             gaps = [pos[0], *(y - x - 1 for x, y in zip(pos, pos[1:], strict=False))]
             for s, i, j in segments(hit[where[a:b]].tolist(), gaps, GAP):
-                tail = min(self.k * n * np.exp(-self.lam * s), 700.0)
-                p = -np.expm1(-tail)
-                if p <= P_VALUE:
-                    evidence[r] -= np.log(max(p, 1e-300))
-                    found.append((r, pos[i], pos[j], s, float(p)))
-        return evidence, found
+                yield r, n, pos[i], pos[j], s
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * np.sqrt(evidence) + self.bias)))
@@ -166,6 +172,7 @@ def fit(texts: pa.Array, y: np.ndarray, counts: dict[int, int]) -> Model:
         lam = (lo + hi) / 2
         lo, hi = (lam, hi) if np.exp(np.minimum(lam * s, 600)).sum() / n + (1 - len(s) / n) * np.exp(-lam * GAP) < 1 else (lo, lam)
     model.lam = lo
+    model.k = _location(model, texts, y)
     evidence = np.sqrt(np.concatenate([model.passages(data, offs)[0] for data, offs, _ in parts(texts, y)]))
     model.slope, model.bias = _logistic(evidence, y == 1)
     # the sample holds the classes in other shares than the labelled rows do
@@ -173,6 +180,23 @@ def fit(texts: pa.Array, y: np.ndarray, counts: dict[int, int]) -> Model:
     return model
 
 
+def _location(model: Model, texts: pa.Array, y: np.ndarray) -> float:
+    """The likeliest K for clean texts' best segments: texts without any count as below the lowest score; one text with
+    that score smooths."""
+    top, tokens = [np.zeros(0)], [np.zeros(0)]
+    for data, offs, own_y in parts(texts, y):
+        best, n = np.zeros(len(own_y)), np.diff(features(data, offs)[1])
+        for r, _, _, _, s in model.maximal(data, offs):
+            best[r] = max(best[r], s)
+        top.append(best[own_y == 0])
+        tokens.append(n[own_y == 0])
+    best, n = np.concatenate(top), np.concatenate(tokens)
+    least = min((float(x.min()) for x in model.scores if len(x)), default=1.0)
+    seen = best > 0
+    mean = float(n.mean()) if len(n) else 1.0
+    return float((seen.sum() + 1) / max(1e-12, (n * np.exp(-model.lam * np.where(seen, best, least))).sum() + mean * np.exp(-model.lam * least)))
+
+
 def _unique_pairs(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((own, x))
     x, own = x[order], own[order]
