@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -27,6 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="ruleweft-")
+        atexit.register(shutil.rmtree, base, True)
         sc.setCheckpointDir(base)
     return f"{str(base).rstrip('/')}/ruleweft-{uuid.uuid4().hex}"
 
@@ -42,6 +45,25 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Keys that count as hot in a join, at most: they hold more rows than the average by this factor, so their list is
+#: small enough to broadcast whatever the tables' size.
+HOT_KEYS = 50_000
+
+
+def dealt(left: DataFrame, right: DataFrame, key: str, by: str, counts: DataFrame, total: int, most: int) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key; hot keys of ``left`` go to several tasks.
+
+    ``counts`` (key, n) are the keys' rows in ``left``, ``total`` all of its rows: a key with more than ``most`` rows, and
+    more than a ``HOT_KEYS``-th of all, is split by a hash of ``by``, and its row of ``right`` goes to each part.
+    """
+    cut = max(most, total // HOT_KEYS)
+    hot = F.broadcast(counts.where(F.col("n") > cut).select(key, F.ceil(F.col("n") / cut).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    spread_ = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
+    copied = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return spread_.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def n_parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session, which the user sizes to the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

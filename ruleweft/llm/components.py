@@ -42,26 +42,31 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(keep))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, where: str | None = None) -> DataFrame:
     """Links (a long, b long), neither null, to (id, component_id) of every id that has a link to another one.
 
-    component_id is the smallest id reachable. Loops and repeated links are allowed; no links give no rows.
+    component_id is the smallest id reachable. Loops and repeated links are allowed; no links give no rows. The result
+    reads the last round's folder below ``where`` (a new shared one if not given), which the caller may remove when it
+    has what it needs. Each round's smallest neighbours are written before links join them, so that Spark can split the
+    partition of an id with very many links.
     """
     spark = links.sparkSession
-    where = shared_dir(spark)
+    where = where or shared_dir(spark)
     thin = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_thin, "a long, b long")
+    few = max(1, n_parts(spark) // 8)  # links between ids are small rows: few files hold them
     now, before, k = stash(thin.distinct(), f"{where}/0"), None, 0
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = stash(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).coalesce(few), f"{where}/low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        large = stash(large.coalesce(few), f"{where}/large")
+        least = stash(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(few), f"{where}/least")
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         k += 1
-        # links between ids are small rows: few files hold them
-        new = stash(small.coalesce(max(1, n_parts(spark) // 8)), f"{where}/{k}")
+        new = stash(small.coalesce(few), f"{where}/{k}")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40)), F.count_distinct("a")).first()
-        remove(spark, f"{where}/{k - 1}")
+        for name in (k - 1, "low", "large", "least"):
+            remove(spark, f"{where}/{name}")
         if state[:2] == before or state[0] == 0:
             return new.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(new.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())
         now, before = new, state[:2]

@@ -4,10 +4,12 @@ Small collections of ``PER_COLLECTION`` minhashes each are computed once; a tabl
 threshold of 85 % 30 minhashes serve 45 tables of six. Lower thresholds take more collections. Documents with equal sets form a class first, and only its smallest id
 goes on. In each table bucket all members are compared with one pivot, which keeps a bucket of near copies linear;
 links that these confirm are contracted to components. Members that are still outside their pivot's component are
-then compared with all of their neighbourhood, without any cap, in blocks from which only links come out.
+then compared with all others of their bucket, without any cap, in blocks from which only links come out; a pair meets
+in the first table that it shares. Buckets and pivots with very many rows are dealt to several tasks.
 
 Null and empty texts, and texts of blanks, have the empty set and link with nothing; fewer words than a shingle make
-one shingle; very long texts are whole; equal rows are linked; rows with a null doc_id are returned unlinked, with a
+one shingle; very long texts are whole; equal rows are linked, and rows that share a doc_id are one node of the links
+(confirmed with the first text by order); rows with a null doc_id are returned unlinked, with a
 null component; an empty table gives no rows; other columns are ignored.
 """
 
@@ -22,17 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleweft.llm.bytesops import LOWER, U, Hasher, mix, owners, values, windows, words
-from ruleweft.llm.common import flat_bytes, ids_and_text, remove, shared_dir, slices, spread, stash
+from ruleweft.llm.common import dealt, flat_bytes, ids_and_text, remove, shared_dir, slices, spread, stash
 from ruleweft.llm.components import components
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 PER_COLLECTION = 3
+#: Rows of one bucket, and candidates of one pivot with their full sets, that a task gets.
+BUCKET_ROWS, PIVOT_ROWS = 4096, 512
 #: Probability that all tables miss a pair at the threshold, at most.
 MISS = 0.00125
 #: Documents in a block of those that still have to meet.
-BLOCK = 1024
+BLOCK = 256
 
 
 def n_collections(percent: int, miss: float = MISS, k: int = PER_COLLECTION) -> int:
@@ -99,6 +103,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(percent: int):
+    """(a, b, linked) of rows (a, b, set of a, set of b)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -117,20 +123,28 @@ def _confirm(percent: int):
 
 def _across(percent: int):
     def run(g: pa.Table) -> pa.Table:
-        """Links between the asking documents of a block and the others, across components."""
+        """Links between the asking documents of a block and the others, across components, of pairs whose first common
+        table this is."""
         asks = g.column("asks").to_numpy(zero_copy_only=False)
-        ids, c = g.column("id").to_numpy(), g.column("c").to_numpy()
+        ids, c, table = g.column("id").to_numpy(), g.column("c").to_numpy(), g.column("t")[0].as_py()
         sets = [np.frombuffer(x.as_buffer(), U) for x in g.column("items")]
+        signs = np.array(g.column("signs").to_pylist(), np.int64)
         told, a, b = np.flatnonzero(~asks), [], []
         sizes = np.array([len(sets[i]) for i in told], np.int64)
         keys, own = np.concatenate([sets[i] for i in told]) if len(told) else np.zeros(0, U), np.repeat(np.arange(len(told)), sizes)
         order = np.argsort(keys, kind="stable")
         keys, own = keys[order], own[order]
+        tables = np.array(list(combinations(range(signs.shape[1]), 2)))
         for i in np.flatnonzero(asks).tolist():
+            same = signs[told] == signs[i]
+            first = (same[:, tables[:, 0]] & same[:, tables[:, 1]]).argmax(1) == table
+            other = first & (c[told] != c[i])
+            if not other.any():
+                continue
             x = sets[i]
             lo, n = np.searchsorted(keys, x, "left"), np.searchsorted(keys, x, "right")
             common = np.bincount(own[spread(np.arange(len(x)), lo, n - lo)], minlength=len(told))
-            hit = (100 * common >= percent * (len(x) + sizes - common)) & (c[told] != c[i])
+            hit = (100 * common >= percent * (len(x) + sizes - common)) & other
             a += [ids[i]] * int(hit.sum())
             b += ids[told[hit]].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -139,7 +153,10 @@ def _across(percent: int):
 
 
 def minhash_near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row."""
+    """(doc_id, n_shingles, component_id, kept) of each row.
+
+    Folders that the result reads (``signed``, ``classes``, ``components``) stay in the shared folder.
+    """
     spark = docs.sparkSession
     where = shared_dir(spark)
     texts = ids_and_text(docs)
@@ -153,58 +170,68 @@ def minhash_near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = stash(some.groupBy(*sets).agg(F.min(F.struct("doc_id", *cols)).alias("r")).select(*sets, F.col("r.doc_id").alias("id"), *(F.col(f"r.{c}").alias(c) for c in cols)), f"{where}/classes")
 
     keys = F.array(*(F.xxhash64(F.lit(t), *pair) for t, pair in enumerate(combinations(cols, 2))))
-    tables = classes.select("id", F.col("n_shingles").alias("n"), F.explode(keys).alias("key"))
-    shared = tables.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = stash(tables.join(shared, "key"), f"{where}/shared")
+    tables = classes.select("id", F.explode(keys).alias("key"))
+    shared = stash(tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{where}/shared")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    members = stash(dealt(tables, shared, "key", "id", shared, total, BUCKET_ROWS), f"{where}/found")
     # the pivot is the member that shares its buckets with most others: in a group of copies, what they were copied from
-    rank = members.groupBy("id").agg(F.sum("size").alias("rank"))
-    members = stash(members.drop("size").join(rank, "id"), f"{where}/ranked")
+    rank = members.groupBy("id").agg(F.sum("n").alias("rank"))
+    members = stash(members.drop("n").join(rank, "id"), f"{where}/ranked")
     pivots = members.groupBy("key").agg(F.max(F.struct("rank", (-F.col("id")).alias("minus"))).alias("p")).select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.rank").alias("pivot_rank"))
-    members = stash(members.drop("rank").join(pivots, "key"), f"{where}/members")
+    members = stash(dealt(members.drop("rank"), pivots, "key", "id", shared, total, BUCKET_ROWS), f"{where}/members")
     ids = members.select("id").distinct()
-    items = stash(texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, items binary"), f"{where}/items")
+    one = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    items = stash(one.groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(_sets, "id long, items binary"), f"{where}/items")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """Which of the pairs (a, b) are linked; ``b`` may be a pivot of very many."""
+        pairs = stash(pairs, f"{where}/{name}-pairs")
         left = pairs.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-        both = left.join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+        counts, right = pairs.groupBy("b").agg(F.count("*").alias("n")), items.select(F.col("id").alias("b"), F.col("items").alias("y"))
+        both = dealt(left, right, "b", "a", counts, pairs.count(), PIVOT_ROWS)
         return stash(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long, linked boolean"), f"{where}/{name}")
 
     def with_component(frame: DataFrame, found: DataFrame, column: str, name: str) -> DataFrame:
         x = found.select(F.col("id").alias(column), F.col("component_id").alias(name))
         return frame.join(x, column, "left").withColumn(name, F.coalesce(name, column))
 
+    def stars(found: DataFrame) -> DataFrame:
+        return found.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+
     near = members.where(F.col("id") != F.col("pivot")).select(F.col("id").alias("a"), F.col("pivot").alias("b"), "pivot_rank")
     # first the highest pivot of each document
     best = near.groupBy("a").agg(F.max(F.struct("pivot_rank", (-F.col("b")).alias("minus"))).alias("p")).select("a", (-F.col("p.minus")).alias("b"))
     seen = confirmed(best, "links0")
-    found = components(seen.where("linked"))
+    found = components(seen.where("linked").select("a", "b"), f"{where}/parts0")
     # then the other pivots, where they are still apart
     apart = with_component(with_component(near.select("a", "b").distinct(), found, "a", "ca"), found, "b", "cb").where("ca <> cb").select("a", "b")
-    seen = seen.unionByName(confirmed(apart.join(seen, ["a", "b"], "left_anti"), "links1"))
-    found = components(seen.where("linked"))
-    # then whatever shares a bucket across components: members outside their pivot's component meet all others of their
-    # neighbourhood in blocks, from which only links come out
-    placed = stash(with_component(with_component(members, found, "id", "c"), found, "pivot", "cp"), f"{where}/placed")
-    open_ = placed.groupBy("key").agg(F.max((F.col("c") != F.col("cp")).cast("int")).alias("open")).where("open = 1").select("key")
-    left = stash(placed.join(open_, "key").select("id", "c", "pivot", (F.col("c") != F.col("cp")).cast("int").alias("stray")), f"{where}/open")
-    area = components(left.select(F.col("id").alias("a"), F.col("pivot").alias("b"))).withColumnRenamed("component_id", "area")
-    each = left.groupBy("id").agg(F.first("c").alias("c"), F.max("stray").alias("stray")).join(area, "id")
-    each = each.join(area.groupBy("area").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "area").join(items, "id")
+    more = confirmed(apart.join(seen, ["a", "b"], "left_anti"), "links1")
+    found = components(stars(found).unionByName(more.where("linked").select("a", "b")), f"{where}/parts1")
+    # then whatever shares a bucket across components: members outside their pivot's component meet all others of the
+    # bucket in blocks, from which only links come out
+    placed = stash(with_component(with_component(members, found, "id", "c"), found, "pivot", "cp").withColumn("stray", F.col("c") != F.col("cp")), f"{where}/placed")
+    opened = placed.groupBy("key").agg(F.max(F.col("stray").cast("int")).alias("open"), F.count("*").alias("n")).where("open = 1")
+    opened = stash(opened.select("key", "n"), f"{where}/open")
+    each = dealt(placed.select("key", "id", "c", "stray"), opened, "key", "id", opened, total, BUCKET_ROWS)
+    table = F.array_position(keys, F.col("key")).cast("int") - 1
+    each = each.join(classes.select("id", *cols), "id").withColumn("t", table).withColumn("signs", F.array(*cols)).drop(*cols).join(items, "id")
+    each = each.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cols = ["area", "i", "j", "id", "c", "items"]
-    asks = each.where("stray = 1").withColumn("i", own).withColumn("j", other).select(*cols, F.lit(True).alias("asks"))
-    told = each.withColumn("j", own).withColumn("i", other).select(*cols, F.lit(False).alias("asks"))
-    rest = stash(asks.unionByName(told).groupBy("area", "i", "j").applyInArrow(_across(percent), "a long, b long"), f"{where}/links2")
-    links = seen.where("linked").select("a", "b").unionByName(rest)
-    found = stash(components(links), f"{where}/components")
+    out = ["key", "t", "i", "j", "id", "c", "signs", "items"]
+    asks = each.where("stray").withColumn("i", own).withColumn("j", other).select(*out, F.lit(True).alias("asks"))
+    told = each.withColumn("j", own).withColumn("i", other).select(*out, F.lit(False).alias("asks"))
+    rest = stash(asks.unionByName(told).groupBy("key", "t", "i", "j").applyInArrow(_across(percent), "a long, b long"), f"{where}/links2")
+    if not rest.isEmpty():
+        found = components(stars(found).unionByName(rest), f"{where}/parts2")
+    found = stash(found, f"{where}/components")
 
     by_class = with_component(classes.select(*sets, "id"), found, "id", "component_id").drop("id")
-    out = signed.join(by_class, sets, "left")
+    result = signed.join(by_class, sets, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    for name in ("shared", "ranked", "members", "items", "placed", "open"):
+    for name in ("shared", "found", "ranked", "members", "items", "placed", "open", "links0", "links1", "links2", "links0-pairs", "links1-pairs", "parts0", "parts1", "parts2"):
         remove(spark, f"{where}/{name}")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return result.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -266,7 +266,7 @@ def plain_components(values: list[str | None]) -> list[tuple[int, int]]:
     return [(len(s), root(i)) for i, s in enumerate(sets)]
 
 
-def test_minhash(spark, values, empty):
+def test_minhash(spark, values, empty, monkeypatch):
     rnd = random.Random(9)
     base = sentence(rnd, 200).split(" ")
     chain = []
@@ -274,8 +274,18 @@ def test_minhash(spark, values, empty):
         for _ in range(2):
             base[rnd.randrange(len(base))] = sentence(rnd, 1)
         chain.append(" ".join(base))
-    values = [v for v in values if v is None or len(v) < 100_000] + chain + chain[:3]
+    values = [v for v in values if v is None or len(v) < 30_000 or " " in v] + chain + chain[:3]
+    # copies of one text that are like it, but hardly like each other; and texts just below the threshold
+    star = sentence(rnd, 300).split(" ")
+    for _ in range(60):
+        w = list(star)
+        for _ in range(rnd.choice([3, 4, 6, 9])):
+            w[rnd.randrange(len(w))] = "changed"
+        values.append(" ".join(w))
     want = plain_components(values)
+    monkeypatch.setattr(minhash, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(minhash, "PIVOT_ROWS", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
     got = rows(minhash.minhash_near_dedup(clashing(documents(spark, values))), "doc_id", "n_shingles", "component_id", "kept")
     assert [got[i] for i in range(len(values))] == [(n, c, c == i) for i, (n, c) in enumerate(want)]
     assert minhash.minhash_near_dedup(empty).count() == 0
