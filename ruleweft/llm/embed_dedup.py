@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ruleweft.llm.components import components, forest
 from ruleweft.llm.common import n_parts, remove, shared_dir, stash
 
-COSINE, WINDOW, MISS, BLOCK = 0.98, 32, 1e-4, 512
+COSINE, WINDOW, MISS, BLOCK = 0.98, 32, 1e-4, 2048
 KEY_BITS = 63
 #: Distance from the threshold within which a matrix product's cosine is computed again by ``cosines``.
 CLOSE = 1e-9
@@ -297,7 +297,9 @@ def embedding_near_dedup(vectors: DataFrame, cosine: float = COSINE, window: int
     rest = stash(_crowded(able, found, passes, prefix_bits(largest[0] or 0, window), window, cosine, block, seed, kind, where), f"{where}/rest")
     found = stash(components(near.unionByName(rest)).withColumnRenamed("id", "vec_id"), f"{where}/components")
 
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")
+    # a crowd is cut into 16 blocks at first, and into more where a block would be large
+    each = F.least(F.lit(block), F.greatest(F.lit(block // 16), F.ceil(F.col("size") / 16)))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / each)).cast("int")
     size = found.groupBy("component_id").agg(F.count("*").alias("size"))
     member = found.join(size, "component_id").join(able, "vec_id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     meet = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "n", "dim", "v")
