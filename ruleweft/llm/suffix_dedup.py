@@ -1,27 +1,32 @@
 """Exact repeated passages across documents, by a logarithmic family of sparse suffix arrays.
 
-A byte goes if a 100-byte string that covers it also starts earlier. Suffixes are indexed where they matter only: each
-100-byte window has an anchor, its k-gram of the lowest hash, so equal windows have equal anchors at equal places, and
-one anchor stands for the run of windows around it (its span). An entry is (key of the k-gram, hash of the span,
-document, place); a suffix array is the entries in that order, dealt to buckets by key.
-
-Documents come in batches by doc_id. A batch's suffix array is merge-scanned against the levels of the family, which
-hold all earlier entries: a span seen before is a repeat as a whole; an anchor with different spans is marked, in the
-new entries and in the old ones, for a comparison of its windows. Then levels as large as the new one merge with it,
-so an entry is rewritten a logarithmic number of times. After the last batch the windows of the marked anchors are
-compared exactly: those of one anchor by their text, in one group; anchors with too many spans for one group by the
-windows' hashes, which spread evenly. Equal spans and windows within a task's input are settled there beforehand, so
-what a frequent passage sends on is bounded by the number of tasks.
+A byte goes if a 100-byte string that covers it also starts earlier. Suffixes are sampled: each 100-byte window has an
+anchor, its 32-gram of the lowest hash, so equal windows have equal anchors at equal places, and one anchor stands for
+the run of windows around it (its span). A suffix array holds the anchors' suffixes ordered by their first 32 letters,
+then by document and place, in buckets; 3 % of all suffixes are enough to meet every match of 100 bytes.
+
+Documents come in batches of bounded size in order of their ids. A batch gets its suffix array, which is merge-scanned
+with those of the family's levels: neighbours with equal letters may be parts of a long match, so they are noted, new
+ones and old ones. Then levels of the new one's size merge with it, as a binary counter carries, so an entry is
+rewritten a logarithmic number of times. The family is kept in a folder, and later batches may be added to it.
+
+The noted anchors' surroundings are then fetched and compared: windows are found by hash and confirmed byte by byte, so
+no collision removes text. Where letters are shared by very many different surroundings, these are dealt by longer
+common parts (82 letters or more) instead. Surroundings that are equal within a task's slice of input are settled there,
+byte by byte too, so what a frequent passage sends on is bounded by the number of slices.
 
 Null and empty texts, and texts shorter than a match, lose nothing; very long texts are scanned in segments, with the
-same result; rows that share a doc_id are one document (any of them); rows without one are returned untouched; an empty
-table gives no rows; other columns are ignored.
+same result; rows that share a doc_id are one document, the one with the first text by order; rows without one are
+returned untouched; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
+import json
+import re
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,25 +35,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleweft.llm.bytesops import U, Hasher, mix
-from ruleweft.llm.common import flat_bytes, ids_and_text, n_parts, remove, shared_dir, slices, stash
+from ruleweft.llm.common import flat_bytes, ids_and_text, n_parts, remove, shared_dir, slices, spread, stash
+from ruleweft.llm.sharding import cuts
 
 LENGTH, GRAM = 100, 32
-BATCHES = 4
+WORDS = GRAM // 8
+#: Bytes of a batch, and batches of one run, at most (larger runs have larger batches).
+BATCH_BYTES, BATCHES = 256 << 20, 64
 #: Bytes of text that a task settles among itself at a time, and that one scan's arrays hold.
 SLICE, SEGMENT = 12 << 20, 512 << 10
-#: Different spans of an anchor from which a slice, or all slices together, compare its windows by hash.
+#: Different surroundings of equal letters, in a slice or in all, from which they are dealt by longer parts.
 SLICE_SPANS, ANCHOR_SPANS = 32, 4096
-#: How many buckets there are for each shuffle partition.
-BUCKETS = 4
-REPEAT, BY_TEXT, BY_HASH = 1, 2, 3
+#: Windows whose places before the anchor lie in one of these ranges are dealt together by the part they share.
+PARTS = ((0, 17), (18, 35), (36, 53), (54, 68))
+#: Buckets for each shuffle partition, and bytes of all text for each bucket, at most.
+BUCKETS, BUCKET_BYTES = 4, 64 << 20
+REPEAT, BY_LETTERS, BY_PARTS = 1, 2, 3
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, k: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of each run of windows with one anchor: anchor's place, first and last window, row, key and span hash."""
+    """Of each run of windows with one anchor: anchor's place, first and last window, row, and hash of the span."""
     w, m = length - k + 1, len(data) - k + 1
     if m < w:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, np.zeros(0, U), np.zeros(0, U)
+        return z, z, z, z, np.zeros(0, U)
     h = Hasher(data)
     gram = mix((h.sums[k:] - h.sums[:-k]) * h.back[:m])
     low, size = (gram & U(0xFFFFFFFF00000000)) | np.arange(m, dtype=U), 1
@@ -67,8 +77,14 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, k: int = G
     new[1:] = (at[1:] != at[:-1]) | ~fits[:-1]
     first = np.flatnonzero(new & fits)
     last = np.flatnonzero(fits & np.append((new | ~fits)[1:], True))
-    s = at[first]
-    return s, first, last, np.searchsorted(offs, first, "right") - 1, gram[s], h.spans(first, last + length)
+    return at[first], first, last, np.searchsorted(offs, first, "right") - 1, h.spans(first, last + length)
+
+
+def letters(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first letters of suffixes as big-endian words, whose order is that of the text."""
+    if not len(at):
+        return np.zeros((0, WORDS), U)
+    return data[at[:, None] + np.arange(GRAM)].view(">u8").astype(U)
 
 
 def segments(batch: pa.RecordBatch, column: int, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -92,18 +108,18 @@ def segments(batch: pa.RecordBatch, column: int, length: int = LENGTH) -> Iterat
         i = j
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Little-endian bytes of a column, place by place: what is alike is together, for the shuffle's compression."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes() if len(x) else b""
+def packed(x: np.ndarray) -> bytes:
+    """A column's little-endian bytes, place by place so that what is alike is together, compressed."""
+    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes(), 1) if len(x) else b""
 
 
-def unplanes(raw: list[bytes], kind: type) -> np.ndarray:
+def unpacked(raw: list[bytes], kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    parts = [np.ascontiguousarray(np.frombuffer(r, np.uint8).reshape(size, -1).T).view(kind).ravel() for r in raw if r]
+    parts = [np.ascontiguousarray(np.frombuffer(zlib.decompress(r), np.uint8).reshape(size, -1).T).view(kind).ravel() for r in raw if r]
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-#: Notes for a document have doc_id, entries have a bucket.
+#: Rows of a suffix array or of surroundings have a bucket, notes for a document a doc_id.
 PACKED = "bucket int, doc_id long, n int, key binary, span binary, doc binary, at binary, mark binary"
 _TYPES = [("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.binary()), ("span", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("mark", pa.binary())]
 
@@ -127,130 +143,162 @@ def _bounds(*keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, [*at[1:], len(keys[0])], strict=False))
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """True where the ``n`` bytes from place ``a`` on are those from place ``b`` on."""
+    out, i = np.ones(len(a), bool), 0
+    ends = np.cumsum(n)
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 22), "right")))
+        own = np.arange(i, j)
+        differ = data[spread(own, a, n)] != data[spread(own, b, n)]
+        sums = np.concatenate([[0], np.cumsum(differ)])
+        stop = np.cumsum(n[i:j])
+        out[i:j] = sums[stop] == sums[stop - n[i:j]]
+        i = j
+    return out
+
+
+def repeats_of_first(data: np.ndarray, start: np.ndarray, n: np.ndarray, h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """True for stretches that equal, byte by byte, the first one (by document and place) of those with their hash."""
+    order = np.lexsort((at, doc, n, h))
+    head = _groups(h[order], n[order])
+    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    late = order[~head]
+    out = np.zeros(len(h), bool)
+    out[late] = same_bytes(data, start[late], start[first[~head]], n[late])
+    return out
+
+
 def _notes(doc: np.ndarray, at: np.ndarray, mark: np.ndarray) -> list[dict]:
     """One row for each document: places and marks."""
     order = np.lexsort((at, doc))
     doc, at, mark = doc[order], at[order], mark[order]
-    return [{"doc_id": int(doc[s]), "n": int(e - s), "at": at[s:e].astype(np.int32 if at[s:e].max() < 2**31 else np.int64).tobytes(), "mark": mark[s:e].astype(np.int8).tobytes()} for s, e in _bounds(doc)]
+    return [{"doc_id": int(doc[s]), "n": int(e - s), "at": at[s:e].astype(np.int64).tobytes(), "mark": mark[s:e].astype(np.int8).tobytes()} for s, e in _bounds(doc)]
 
 
-def _places(n: int, raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.int32 if len(raw) == 4 * n else np.int64).astype(np.int64)
+def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    h = np.zeros(len(key), U)
+    for i in range(key.shape[1]):
+        h = mix(h ^ key[:, i])
+    return (h >> U(32)).astype(np.int64) % buckets
 
 
-def _entries(key: np.ndarray, buckets: int, **cols: np.ndarray) -> list[dict]:
-    """One row of packed, sorted entries for each bucket that has any."""
-    bucket = (key >> U(32)).astype(np.int64) % buckets
-    order = np.lexsort((key, bucket))
-    cols = {"key": key} | cols
-    return [{"bucket": int(bucket[order[s]]), "n": int(e - s)} | {c: planes(x[order[s:e]]) for c, x in cols.items()} for s, e in _bounds(bucket[order])]
+def _entries(key: np.ndarray, buckets: int, doc: np.ndarray, at: np.ndarray, mark: np.ndarray) -> list[dict]:
+    """A suffix array in buckets: one row of packed entries, in the order of the suffixes, for each bucket that has any."""
+    bucket = _bucket_of(key, buckets)
+    order = np.lexsort((at, doc, *key.T[::-1], bucket))
+    key, bucket, doc, at, mark = key[order], bucket[order], doc[order], at[order], mark[order]
+    return [{"bucket": int(bucket[s])} | _entry(key[s:e], doc[s:e], at[s:e], mark[s:e]) for s, e in _bounds(bucket)]
+
+
+def _entry(key: np.ndarray, doc: np.ndarray, at: np.ndarray, mark: np.ndarray) -> dict:
+    return {"n": len(key), "key": packed(key.reshape(-1).view("V%d" % GRAM)) if len(key) else b"", "doc": packed(doc), "at": packed(at), "mark": packed(mark.astype(np.int8))}
 
 
 def _index(buckets: int):
-    """A batch's entries: spans that repeat within a slice are noted at once, and so are anchors with many spans."""
-
-    def settle(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        doc, at, key, span = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        order = np.lexsort((at, doc, span, key))
-        doc, at, key, span = doc[order], at[order], key[order], span[order]
-        new = _groups(key, span)
-        notes = [(doc[~new], at[~new], REPEAT)]
-        doc, at, key, span = doc[new], at[new], key[new], span[new]
-        head = _groups(key)
+    """A batch's suffix array, slice by slice: spans that equal an earlier one of the slice are noted at once, and so are
+    letters with many spans, of which one entry stays."""
+
+    def settle(parts: list[tuple[np.ndarray, ...]], data: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        doc, at, key, span, start, n = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        again = repeats_of_first(np.concatenate(data), start, n, span, doc, at)
+        notes = [(doc[again], at[again], REPEAT)]
+        doc, at, key = doc[~again], at[~again], key[~again]
+        order = np.lexsort((at, doc, *key.T[::-1]))
+        doc, at, key = doc[order], at[order], key[order]
+        head = _groups(*key.T)
         of = np.cumsum(head) - 1
         many = np.bincount(of)[of] > SLICE_SPANS if len(of) else np.zeros(0, bool)
-        notes.append((doc[many], at[many], BY_HASH))
+        notes.append((doc[many], at[many], BY_PARTS))
         keep = ~many | head
         rows = _notes(np.concatenate([x[0] for x in notes]), np.concatenate([x[1] for x in notes]), np.concatenate([np.full(len(x[0]), x[2]) for x in notes]))
-        rows += _entries(key[keep], buckets, span=span[keep], doc=doc[keep], at=at[keep], mark=np.where(many[keep], BY_HASH, 0).astype(np.int8))
+        rows += _entries(key[keep], buckets, doc[keep], at[keep], np.where(many[keep], BY_PARTS, 0))
         for i in range(0, len(rows), 4096):
             yield _rows(rows[i : i + 4096])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
+        held: list[np.ndarray] = []
         size = 0
         for b in slices(batches, "text", SEGMENT):
             ids = b.column(0).to_numpy()
             for data, offs, row, start in segments(b, 1):
-                s, _, _, own, key, span = anchors(data, offs)
-                parts.append((ids[row[own]], s - offs[own] + start[own], key, span))
+                s, first, last, own, span = anchors(data, offs)
+                parts.append((ids[row[own]], s - offs[own] + start[own], letters(data, s), span, size + first, last - first + LENGTH))
+                held.append(data)
                 size += len(data)
             if size >= SLICE:
-                yield from settle(parts)
-                parts, size = [], 0
+                yield from settle(parts, held)
+                parts, held, size = [], [], 0
         if parts:
-            yield from settle(parts)
+            yield from settle(parts, held)
 
     return run
 
 
-def _scan(merge: bool):
-    """Merge-scans a bucket's new entries (level 0) with those of the levels; notes, then the merged level if wanted."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        level = rows.column("level").to_numpy()
-        raw = {c: rows.column(c).to_pylist() for c in ("key", "span", "doc", "at", "mark")}
-        n = rows.column("n").to_numpy()
-        key, span, doc, at, mark = (unplanes(raw[c], t) for c, t in (("key", U), ("span", U), ("doc", np.int64), ("at", np.int64), ("mark", np.int8)))
-        fresh, stays = np.repeat(level == 0, n), np.repeat(rows.column("stays").to_numpy(zero_copy_only=False), n)
-        order = np.lexsort((at, doc, span, key))
-        key, span, doc, at, mark, fresh, stays = (x[order] for x in (key, span, doc, at, mark, fresh, stays))
-        head, first = _groups(key), _groups(key, span)
-        of = np.cumsum(head) - 1
-        count = lambda x: np.bincount(of, weights=x, minlength=int(of[-1]) + 1)[of] if len(of) else np.zeros(0)
-        spans, hot = count(first), count(mark == BY_HASH) > 0
-        hot |= spans > ANCHOR_SPANS
-        touched = count(fresh) > 0
-        # a marker stands for spans that its slice has noted; its own span is noted too
-        repeat = fresh & ~first & (mark != BY_HASH)
-        want = np.where(hot, BY_HASH, np.where(spans > 1, BY_TEXT, 0)).astype(np.int8)
-        tell = touched & first & (want > mark)
-        out = _notes(np.concatenate([doc[repeat], doc[tell]]), np.concatenate([at[repeat], at[tell]]), np.concatenate([np.full(int(repeat.sum()), REPEAT), want[tell]]))
-        if merge and len(key):
-            # entries of levels that don't merge stay where they are; a crowded anchor keeps one entry as its marker
-            one = np.zeros(len(key), bool)
-            own = np.flatnonzero(~stays)
-            one[own[_groups(key[own])]] = True
-            keep = np.where(hot, one, first & ~stays)
-            mark = np.where(touched | (mark > want), np.maximum(mark, want), mark)
-            out += [{"bucket": rows.column("bucket")[0].as_py(), "n": int(keep.sum())} | {c: planes(x[keep]) for c, x in (("key", key), ("span", span), ("doc", doc), ("at", at), ("mark", mark.astype(np.int8)))}]
-        return pa.Table.from_batches([_rows(out)])
-
-    return run
-
+def _scan(rows: pa.Table) -> pa.Table:
+    """Merge-scans a bucket's new suffix array (level 0) with those of the levels; notes, then the merged level."""
+    level = rows.column("level").to_numpy()
+    raw = {c: rows.column(c).to_pylist() for c in ("key", "doc", "at", "mark")}
+    n = rows.column("n").to_numpy()
+    key = unpacked(raw["key"], "V%d" % GRAM).view(U).reshape(-1, WORDS)
+    doc, at, mark = (unpacked(raw[c], t) for c, t in (("doc", np.int64), ("at", np.int64), ("mark", np.int8)))
+    fresh, stays = np.repeat(level == 0, n), np.repeat(rows.column("stays").to_numpy(zero_copy_only=False), n)
+    order = np.lexsort((at, doc, *key.T[::-1]))
+    key, doc, at, mark, fresh, stays = (x[order] for x in (key, doc, at, mark, fresh, stays))
+    of = np.cumsum(_groups(*key.T)) - 1
+    count = lambda x: np.bincount(of, weights=x, minlength=int(of[-1]) + 1)[of] if len(of) else np.zeros(0)
+    entries, hot = count(np.ones(len(of))), count(mark == BY_PARTS) > 0
+    hot |= entries > ANCHOR_SPANS
+    touched = count(fresh) > 0
+    want = np.where(hot, BY_PARTS, np.where(entries > 1, BY_LETTERS, 0)).astype(np.int8)
+    tell = touched & (want > mark)
+    out = _notes(doc[tell], at[tell], want[tell])
+    # entries of levels that don't merge stay where they are; letters with very many entries keep one, as a mark
+    own = np.flatnonzero(~stays)
+    one = np.zeros(len(key), bool)
+    one[own[_groups(of[own])]] = True
+    keep = np.where(hot, one, ~stays)
+    mark = np.where(touched, np.maximum(mark, want), mark)
+    out.append({"bucket": rows.column("bucket")[0].as_py()} | _entry(key[keep], doc[keep], at[keep], mark[keep]))
+    return pa.Table.from_batches([_rows(out)])
 
-def _windows(buckets: int):
-    """Marked anchors' windows, by text or by hash; repeats that are settled already become spans of their document."""
 
-    def settle(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        h, doc, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.lexsort((at, doc, h))
-        h, doc, at = h[order], doc[order], at[order]
-        new = _groups(h)
-        rows = _notes(doc[~new], at[~new], np.full(int((~new).sum()), REPEAT)) + _entries(h[new], buckets, doc=doc[new], at=at[new])
+def _surroundings(buckets: int):
+    """What the noted anchors stand for: surroundings to compare, and runs of windows that are settled already."""
+
+    def settle(parts: list[tuple[np.ndarray, ...]], data: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, h, doc, at, start, n = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        text = np.concatenate(data)
+        again = repeats_of_first(text, start, n, h, doc, at)
+        rows = _runs(doc[again], at[again], (at + n - LENGTH)[again])
+        key, doc, at, start, n = (x[~again] for x in (key, doc, at, start, n))
+        bucket = (key >> U(32)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        for s, e in _bounds(bucket[order]):
+            i = order[s:e]
+            rows.append({"bucket": int(bucket[i[0]]), "n": len(i), "span": zlib.compress(text[spread(i, start, n)].tobytes(), 1), "doc": packed(doc[i]), "at": packed(at[i]), "mark": packed(n[i].astype(np.int16))})
         for i in range(0, len(rows), 4096):
             yield _rows(rows[i : i + 4096])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
+        held: list[np.ndarray] = []
         size = 0
         for b in slices(batches, "text", SEGMENT):
             ids = b.column(0).to_numpy()
-            told = b.column(2).to_pylist()
-            seg_told: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for r, notes in enumerate(told):
-                at = np.concatenate([_places(x["n"], x["at"]) for x in notes])
-                mark = np.concatenate([np.frombuffer(x["mark"], np.int8) for x in notes])
-                seg_told[r] = at, mark
+            told: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for r, notes in enumerate(b.column(2).to_pylist()):
+                told[r] = np.concatenate([np.frombuffer(x["at"], np.int64) for x in notes]), np.concatenate([np.frombuffer(x["mark"], np.int8) for x in notes])
             rows: list[dict] = []
             for data, offs, row, start in segments(b, 1):
-                s, first, last, own, key, _ = anchors(data, offs)
+                s, first, last, own, _ = anchors(data, offs)
                 place = s - offs[own] + start[own]
                 mark = np.zeros(len(s), np.int8)
-                lo = np.searchsorted(own, np.arange(len(row)))
+                lo = np.searchsorted(own, np.arange(len(row) + 1))
                 for i, r in enumerate(row.tolist()):
-                    at, m = seg_told[r]
-                    a, z = lo[i], lo[i + 1] if i + 1 < len(row) else len(s)
+                    at, m = told[r]
+                    a, z = lo[i], lo[i + 1]
                     j = np.searchsorted(place[a:z], at)
                     ok = j < z - a
                     ok[ok] = place[a:z][j[ok]] == at[ok]
@@ -260,84 +308,93 @@ def _windows(buckets: int):
                     mark[a:z][gone] = REPEAT
                 base = start[own] - offs[own]
                 gone = mark == REPEAT
-                # runs of windows: every one of them starts a repeat
                 rows += _runs(ids[row[own[gone]]], (first + base)[gone], (last + base)[gone])
-                text = mark == BY_TEXT
-                if text.any():
-                    rows += _texts(key[text], ids[row[own[text]]], (first + base)[text], first[text], last[text] + LENGTH, data, buckets)
-                many = np.flatnonzero(mark == BY_HASH)
-                if len(many):
-                    n = last[many] - first[many] + 1
-                    p = np.repeat(first[many] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    of = np.repeat(many, n)
-                    parts.append((Hasher(data).spans(p, p + LENGTH), ids[row[own[of]]], p + base[of]))
-                    size += len(p)
+                h, some = Hasher(data), []
+                x = np.flatnonzero(mark == BY_LETTERS)
+                some.append((h.spans(s[x], s[x] + GRAM), x, first[x], last[x]))
+                x = np.flatnonzero(mark == BY_PARTS)
+                for k, (near, far) in enumerate(PARTS):
+                    a, z = np.maximum(first[x], s[x] - far), np.minimum(last[x], s[x] - near)
+                    fit = a <= z
+                    y = x[fit]
+                    some.append((mix(h.spans(s[y] - near, s[y] + LENGTH - far) + U(k + 1)), y, a[fit], z[fit]))
+                key, x, a, z = (np.concatenate([p[i] for p in some]) for i in range(4))
+                if len(x):
+                    parts.append((key, h.spans(a, z + LENGTH), ids[row[own[x]]], a + base[x], size + a, z - a + LENGTH))
+                    held.append(data)
+                    size += len(data)
             for i in range(0, len(rows), 4096):
                 yield _rows(rows[i : i + 4096])
-            if size >= 500_000:
-                yield from settle(parts)
-                parts, size = [], 0
+            if size >= SLICE:
+                yield from settle(parts, held)
+                parts, held, size = [], [], 0
         if parts:
-            yield from settle(parts)
+            yield from settle(parts, held)
 
     return run
 
 
 def _runs(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[dict]:
-    """Notes (at: first and last window by turns) of runs of repeated windows."""
+    """Notes (span: first and last window by turns) of runs of repeated windows."""
     order = np.lexsort((first, doc))
     doc, pair = doc[order], np.stack([first[order], last[order]], 1)
     return [{"doc_id": int(doc[s]), "n": int(e - s), "span": pair[s:e].astype(np.int64).tobytes()} for s, e in _bounds(doc)]
 
 
-def _texts(key: np.ndarray, doc: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray, buckets: int) -> list[dict]:
-    """Packed contexts by bucket: key, document, first window, length and text."""
-    bucket = (key >> U(32)).astype(np.int64) % buckets
-    order = np.argsort(bucket, kind="stable")
-    out = []
-    for s, e in _bounds(bucket[order]):
-        i = order[s:e]
-        text = b"".join(data[a:b].tobytes() for a, b in zip(start[i].tolist(), end[i].tolist(), strict=True))
-        out.append({"bucket": int(bucket[i[0]]), "n": len(i), "span": text, "doc": planes(doc[i]), "at": planes(at[i]), "mark": planes((end[i] - start[i]).astype(np.int16))})
-    return out
+def late_windows(data: np.ndarray, p: np.ndarray, doc: np.ndarray, at: np.ndarray, h: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """True for windows (at place ``p`` of ``data``) that equal, byte by byte, one of an earlier document or place."""
+    order = np.lexsort((at, doc, h))
+    head = _groups(h[order])
+    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    # the same window may be there more than once
+    same = (doc[order] == doc[first]) & (at[order] == at[first])
+    late = np.zeros(len(p), bool)
+    late[order[~head & ~same]] = True
+    of = np.zeros(len(p), np.int64)
+    of[order] = first
+    # runs of windows that follow each other, as the first ones do, are confirmed as one stretch
+    x = np.flatnonzero(late)
+    if not len(x):
+        return late
+    a, b = p[x], p[of[x]]
+    cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1)])
+    n = np.diff(np.append(cut, len(x))) + length - 1
+    fine = same_bytes(data, a[cut], b[cut], n)
+    if not fine.all():  # collisions: the windows of these hashes by their bytes
+        doubt = np.isin(h, np.unique(h[x[np.repeat(~fine, n - length + 1)]]))
+        y = np.flatnonzero(doubt)
+        text = data[p[y][:, None] + np.arange(length)]
+        kind = np.unique(text.view(f"V{length}").ravel(), return_inverse=True)[1].ravel()
+        order = np.lexsort((at[y], doc[y], kind))
+        head = _groups(kind[order])
+        first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        late[y] = False
+        late[y[order]] = ~head & ~((doc[y][order] == doc[y][first]) & (at[y][order] == at[y][first]))
+    return late
 
 
 def _compare(rows: pa.Table) -> pa.Table:
-    """Windows of a bucket that also start earlier, as notes: runs of them."""
-    raw = {c: rows.column(c).to_pylist() for c in ("key", "span", "doc", "at", "mark")}
-    text = [i for i, k in enumerate(raw["key"]) if k is None]
-    hashed = [i for i, k in enumerate(raw["key"]) if k is not None]
-    parts = []
-    if text:
-        data = np.frombuffer(b"".join(raw["span"][i] for i in text), np.uint8)
-        doc, at, size = (unplanes([raw[c][i] for i in text], t) for c, t in (("doc", np.int64), ("at", np.int64), ("mark", np.int16)))
-        size = size.astype(np.int64)
-        n = size - LENGTH + 1
-        start = np.cumsum(size) - size
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        p = np.repeat(start, n) + inner
-        parts.append((Hasher(data).spans(p, p + LENGTH), np.repeat(doc, n), np.repeat(at, n) + inner))
-    if hashed:
-        parts.append(tuple(unplanes([raw[c][i] for i in hashed], t) for c, t in (("key", U), ("doc", np.int64), ("at", np.int64))))
-    out = []
-    for h, doc, at in parts:
-        order = np.lexsort((at, doc, h))
-        h, doc, at = h[order], doc[order], at[order]
-        late = ~_groups(h)
-        doc, at = doc[late], at[late]
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]) if len(doc) else np.zeros(0, np.int64)
-        out += _runs(doc[cut], at[cut], at[np.append(cut[1:], len(doc)) - 1] if len(cut) else cut)
+    """Windows of a bucket's surroundings that also start earlier, as notes: runs of them."""
+    raw = {c: rows.column(c).to_pylist() for c in ("span", "doc", "at", "mark")}
+    data = np.frombuffer(b"".join(zlib.decompress(x) for x in raw["span"]), np.uint8)
+    doc, at, size = (unpacked(raw[c], t) for c, t in (("doc", np.int64), ("at", np.int64), ("mark", np.int16)))
+    size = size.astype(np.int64)
+    n = size - LENGTH + 1
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    p = np.repeat(np.cumsum(size) - size, n) + inner
+    doc, at = np.repeat(doc, n), np.repeat(at, n) + inner
+    late = late_windows(data, p, doc, at, Hasher(data).spans(p, p + LENGTH))
+    doc, at = doc[late], at[late]
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)]) if len(doc) else np.zeros(0, np.int64)
+    out = _runs(doc[cut], at[cut], at[np.append(cut[1:], len(doc)) - 1] if len(cut) else cut)
     return pa.Table.from_batches([_rows(out)])
 
 
-def covered(n: int, spans: list[bytes], at: list[tuple[int, bytes]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def covered(n: int, spans: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that repeated windows cover in a text of ``n`` bytes."""
     pairs = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in spans]
-    for k, raw in at:
-        p = _places(k, raw)
-        pairs.append(np.stack([p, p], 1))
     pair = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
     pair = pair[np.argsort(pair[:, 0], kind="stable")]
     if not len(pair):
@@ -347,50 +404,86 @@ def covered(n: int, spans: list[bytes], at: list[tuple[int, bytes]], length: int
     return pair[new, 0], np.minimum(end[np.append(np.flatnonzero(new)[1:] - 1, len(pair) - 1)], n)
 
 
-def _free(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished rounds, which else stay until garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def repeats(texts: DataFrame, where: str, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, notes array<struct<n, span, at>>) of documents with repeated windows; ids unique and not null."""
-    spark = texts.sparkSession
-    buckets = BUCKETS * n_parts(spark)
-    cuts = sorted(set(texts.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
-    bounds = [None, *cuts, None]
-    notes, levels, done = None, [], []
-    for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        part = texts
-        part = part if lo is None else part.where(F.col("doc_id") > F.lit(int(lo)))
-        part = part if hi is None else part.where(F.col("doc_id") <= F.lit(int(hi)))
-        fresh = stash(part.mapInArrow(_index(buckets), PACKED), f"{where}/batch{i}")
-        # levels as large as what they meet merge: a binary counter of batches
+class Family:
+    """Suffix arrays of all documents so far, in levels of geometric sizes, kept in a folder.
+
+    ``add`` takes the next batch, whose ids must be above all earlier ones; ``repeats`` says which windows of all texts
+    so far start earlier too. Each change is written under a new number, and the folder of the last whole one counts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
+        self.spark, self.path = spark, path
+        self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        #: levels: [size in batches, folder], oldest first; notes: folders; top: the highest id; n: batches so far.
+        self.state = self._last() or {"n": 0, "top": None, "levels": [], "notes": [], "buckets": buckets or BUCKETS * n_parts(spark)}
+
+    def _last(self) -> dict | None:
+        folder = self._hadoop(f"{self.path}/states")
+        names = [x.getPath().getName() for x in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        numbers = sorted((int(m[1]) for x in names if (m := re.fullmatch(r"(\d+)", x))), reverse=True)
+        for k in numbers:
+            rows = self.spark.read.text(f"{self.path}/states/{k}").collect() if self._fs.exists(self._hadoop(f"{self.path}/states/{k}/_SUCCESS")) else []
+            if rows:
+                return json.loads(rows[0]["value"])
+        return None
+
+    def _commit(self, state: dict) -> None:
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/states/{state['n']}")
+        self.state = state
+
+    def add(self, texts: DataFrame) -> None:
+        """Indexes a batch (doc_id, text), ids not null and unique, and scans it with all levels."""
+        low, high = texts.agg(F.min("doc_id"), F.max("doc_id")).first()
+        if low is None:
+            return
+        state = json.loads(json.dumps(self.state))
+        if state["top"] is not None and low <= state["top"]:
+            raise ValueError(f"ids of a new batch must be above {state['top']}")
+        where = f"{self.path}/batch{state['n']}-{uuid.uuid4().hex[:8]}"
+        fresh = stash(texts.mapInArrow(_index(state["buckets"]), PACKED), f"{where}/array")
         size, merged = 1, []
-        while levels and levels[-1][0] == size and i + 1 < len(bounds) - 1:
-            merged.append(levels.pop())
+        while state["levels"] and state["levels"][-1][0] == size:  # a binary counter of batches
+            merged.append(state["levels"].pop()[1])
             size *= 2
+        read = lambda folder: self.spark.read.schema(PACKED).parquet(folder).where("bucket IS NOT NULL")
         entries = fresh.where("bucket IS NOT NULL").withColumn("level", F.lit(0)).withColumn("stays", F.lit(False))
-        for k, (_, frame, _) in enumerate([*merged, *levels]):
-            entries = entries.unionByName(frame.withColumn("level", F.lit(k + 1)).withColumn("stays", F.lit(k >= len(merged))))
-        scanned = stash(entries.groupBy("bucket").applyInArrow(_scan(i + 1 < len(bounds) - 1), PACKED), f"{where}/scan{i}")
-        levels.append((size, scanned.where("bucket IS NOT NULL"), f"{where}/scan{i}"))
-        told = [x.where("doc_id IS NOT NULL") for x in (fresh, scanned)]
-        told = stash(told[0].unionByName(told[1]).select("doc_id", "n", "at", "mark"), f"{where}/notes{i}")
-        notes = told if notes is None else notes.unionByName(told)
-        remove(spark, f"{where}/batch{i}")
-        for _, _, path in merged:
-            remove(spark, path)
-        del entries, scanned, fresh, told
-        _free(spark)
-    marked = texts.join(notes.groupBy("doc_id").agg(F.collect_list(F.struct("n", "at", "mark")).alias("notes")), "doc_id").select("doc_id", "text", "notes")
-    seen = stash(marked.mapInArrow(_windows(buckets), PACKED), f"{where}/windows")
-    late = stash(seen.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_compare, PACKED), f"{where}/late")
-    found = seen.where("doc_id IS NOT NULL").unionByName(late).groupBy("doc_id").agg(F.collect_list(F.struct("n", "span", "at")).alias("notes"))
-    found = stash(found, f"{where}/found")
-    for name in ("windows", "late", *(f"notes{i}" for i in range(len(bounds) - 1)), *(p.rsplit("/", 1)[1] for _, _, p in levels)):
+        for k, folder in enumerate([*merged, *(f for _, f in state["levels"])]):
+            entries = entries.unionByName(read(folder).withColumn("level", F.lit(k + 1)).withColumn("stays", F.lit(k >= len(merged))))
+        scanned = stash(entries.groupBy("bucket").applyInArrow(_scan, PACKED), f"{where}/level")
+        told = [x.where("doc_id IS NOT NULL").select("doc_id", "n", "at", "mark") for x in (fresh, scanned)]
+        stash(told[0].unionByName(told[1]), f"{where}/notes")
+        self._commit(state | {"n": state["n"] + 1, "top": high, "levels": [*state["levels"], [size, f"{where}/level"]], "notes": [*state["notes"], f"{where}/notes"]})
+        for folder in (f"{where}/array", *merged):
+            remove(self.spark, folder)
+
+    def repeats(self, texts: DataFrame, where: str) -> DataFrame:
+        """(doc_id, notes array<struct<n, span>>) of the documents of ``texts`` (all that were added) with repeated
+        windows; written below ``where``."""
+        schema = "doc_id long, n int, at binary, mark binary"
+        notes = self.spark.read.schema(schema).parquet(*self.state["notes"]) if self.state["notes"] else self.spark.createDataFrame([], schema)
+        marked = texts.join(notes.groupBy("doc_id").agg(F.collect_list(F.struct("at", "mark")).alias("notes")), "doc_id").select("doc_id", "text", "notes")
+        seen = stash(marked.mapInArrow(_surroundings(self.state["buckets"]), PACKED), f"{where}/surroundings")
+        late = seen.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_compare, PACKED)
+        found = seen.where("doc_id IS NOT NULL").unionByName(late).groupBy("doc_id").agg(F.collect_list(F.struct("n", "span")).alias("notes"))
+        found = stash(found, f"{where}/found")
+        remove(self.spark, f"{where}/surroundings")
+        return found
+
+
+def repeats(texts: DataFrame, where: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """(doc_id, notes) of documents with repeated windows; ids unique and not null."""
+    spark = texts.sparkSession
+    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    family = Family(spark, f"{where}/family", max(BUCKETS * n_parts(spark), -(-total // BUCKET_BYTES)))
+    firsts = cuts(texts, max(batch_bytes, -(-total // BATCHES)), f"{where}/sizes") if total > batch_bytes else []
+    bounds = [None, *firsts[1:], None]
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        part = texts if lo is None else texts.where(F.col("doc_id") >= F.lit(int(lo)))
+        family.add(part if hi is None else part.where(F.col("doc_id") < F.lit(int(hi))))
+    found = family.repeats(texts, where)
+    for name in ("family", "sizes"):
         remove(spark, f"{where}/{name}")
-    _free(spark)
     return found
 
 
@@ -399,26 +492,34 @@ def _cut(texts: list[bytes], notes: list) -> Iterator[tuple[bytes, np.ndarray, n
         if not found:
             yield t, np.zeros(0, np.int64), np.zeros(0, np.int64)
             continue
-        s, e = covered(len(t), [x["span"] for x in found if x["span"] is not None], [(x["n"], x["at"]) for x in found if x["at"] is not None])
+        s, e = covered(len(t), [x["span"] for x in found])
         ends, starts = [0, *e.tolist()], [*s.tolist(), len(t)]
         yield b"".join(t[a:b] for a, b in zip(ends, starts, strict=True)), s, e
 
 
-def _unique(docs: DataFrame) -> DataFrame:
-    """Rows with an id, one for each."""
+def _unique(docs: DataFrame, where: str) -> DataFrame:
+    """Rows with an id, one for each: the first by text, the same on every run."""
     some = docs.where("doc_id IS NOT NULL")
     n = some.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    return some if n[0] == n[1] else some.dropDuplicates(["doc_id"])
+    if n[0] == n[1]:
+        return some
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    first = some.groupBy("doc_id").agg(F.min(F.struct(F.col("text").alias("t"), F.struct(*rest).alias("r") if rest else F.lit(0).alias("r"))).alias("x"))
+    out = first.select("doc_id", F.col("x.t").alias("text"), "x.r.*") if rest else first.select("doc_id", F.col("x.t").alias("text"))
+    return stash(out.select(*docs.columns), f"{where}/unique")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def suffix_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """Digests of what is left of each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def suffix_dedup(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Digests of what is left of each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    The folder ``found``, which the result reads, stays in the shared folder.
+    """
     where = shared_dir(docs.sparkSession)
     rows = ids_and_text(docs)
-    one = _unique(rows)
+    one = _unique(rows, where)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -430,16 +531,16 @@ def suffix_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                     c.append(v)
             yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = repeats(one, where, batches)
+    found = repeats(one, where, batch_bytes)
     bare = rows.where("doc_id IS NULL").withColumn("notes", F.lit(None).cast(found.schema["notes"].dataType))
     return one.join(found, "doc_id", "left").select("doc_id", "text", "notes").unionByName(bare).mapInArrow(run, RESULT)
 
 
-def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def without_repeats(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text`` (characters cut in two go whole) and ``n_chars`` to match."""
     where = shared_dir(docs.sparkSession)
-    one = _unique(docs)
-    found = repeats(ids_and_text(one), where, batches)
+    one = _unique(docs, where)
+    found = repeats(ids_and_text(one), where, batch_bytes)
     own = "_notes"
     while own in docs.columns:
         own = f"_{own}"

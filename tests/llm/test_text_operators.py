@@ -222,24 +222,99 @@ def plain_repeats(values: list[str | None], length: int = 100) -> list[tuple]:
     return out
 
 
+def suffix_cases(values: list) -> list:
+    rnd = random.Random(8)
+    values = [v for v in values if v is None or len(v) < 100_000]
+    passage = sentence(rnd, 40)
+    values += ["x" * 3000] + ["unlike start %d " % i + values[-5][:150] for i in range(12)]
+    # letters that many different surroundings share, and pieces of a passage of many lengths
+    values += [sentence(rnd, 8) + " these letters are shared by very many texts here " + sentence(rnd, 8) for _ in range(60)]
+    values += [sentence(rnd, 3) + passage[rnd.randrange(60) : rnd.randrange(120, len(passage))] + sentence(rnd, 3) for _ in range(40)]
+    return values
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_suffix_dedup(spark, values, empty, small, monkeypatch):
-    if small:  # segments, slices and crowded anchors all come into play
+    if small:  # segments, slices and crowded letters all come into play
         for name, v in (("SEGMENT", 4096), ("SLICE", 8192), ("SLICE_SPANS", 2), ("ANCHOR_SPANS", 3)):
             monkeypatch.setattr(suffix_dedup, name, v)
-    values = [v for v in values if v is None or len(v) < 100_000] + ["x" * 3000] + ["unlike start %d " % i + values[-5][:150] for i in range(12)]
+    values = suffix_cases(values)
     d = documents(spark, values)
     want = plain_repeats(values)
-    for batches in (1, 3):
-        got = rows(suffix_dedup.suffix_dedup(clashing(d), batches), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    for batch in (suffix_dedup.BATCH_BYTES, 20_000):
+        got = rows(suffix_dedup.suffix_dedup(clashing(d), batch), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
         assert [got[i] for i in range(len(values))] == want
     if not small:
         cut = suffix_dedup.without_repeats(clashing(d))
         assert cut.columns == clashing(d).columns and cut.count() == len(values)
         assert all((r["text"] is None) == (values[r["doc_id"]] is None) for r in cut.collect())
         assert suffix_dedup.suffix_dedup(empty).count() == 0
-        null = spark.createDataFrame([(None, "z" * 300, "en", "s", 300), (1, "z" * 99, "en", "s", 99)], SCHEMA)
-        assert {r["n_removed"] for r in suffix_dedup.suffix_dedup(null).collect()} == {0}
+        null = spark.createDataFrame([(None, "z" * 300, "en", "s", 300), (1, "z" * 99, "en", "s", 99), (2, "b" * 150, "en", "s", 1), (2, "ab" * 50 + "c", "en", "s", 1), (2, None, "en", "s", 1)], SCHEMA)
+        assert {r["n_removed"] for r in suffix_dedup.suffix_dedup(null.where("text IS NOT NULL OR doc_id IS NULL")).collect()} == {0}
+        assert suffix_dedup.without_repeats(clashing(null)).count() == 3
+
+
+def test_suffix_hash_collisions(spark, values, monkeypatch):
+    """With hashes of eight values everything that removes text is still confirmed by its bytes."""
+    plain = suffix_dedup.Hasher.spans
+    values = suffix_cases(values)[:60] + ["y" * 700]
+    want = plain_repeats(values)
+    rnd = np.random.default_rng(1)
+    for _ in range(20):
+        data = rnd.integers(97, 99, 3000).astype(np.uint8)
+        data[1500:1700] = data[200:400]
+        p = rnd.permutation(np.arange(2900))
+        seen, late = {}, set()
+        for x in range(2900):
+            late.add(x) if data[x : x + 100].tobytes() in seen else seen.setdefault(data[x : x + 100].tobytes(), x)
+        got = suffix_dedup.late_windows(data, p, np.zeros(2900, np.int64), p, plain(suffix_dedup.Hasher(data), p, p + 100) % np.uint64(8))
+        assert set(p[got].tolist()) == late
+    texts = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id bigint, text string").where("text IS NOT NULL").toPandas()
+    # the functions that tasks run, in this process, where the hash can be changed
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup.Hasher, "spans", lambda self, a, b: plain(self, a, b) % np.uint64(8) << np.uint64(40))
+    batch = pa.RecordBatch.from_pandas(texts, preserve_index=False)
+    out = pa.Table.from_batches(suffix_dedup._index(3)(iter([batch]))).to_pylist()
+    notes = defaultdict(list)
+    for k in range(3):
+        own = [r for r in out if r["bucket"] == k]
+        table = pa.table({**{c: pa.array([r[c] for r in own], t) for c, t in suffix_dedup._TYPES}, "level": pa.array([0] * len(own), pa.int32()), "stays": pa.array([False] * len(own))})
+        out += [r for r in suffix_dedup._scan(table).to_pylist() if r["doc_id"] is not None] if own else []
+    for r in out:
+        if r["doc_id"] is not None:
+            notes[r["doc_id"]].append({"at": r["at"], "mark": r["mark"]})
+    told = batch.filter(pa.array([i in notes for i in texts["doc_id"]]))
+    told = told.append_column("notes", pa.array([notes[i] for i in told.column(0).to_pylist()], pa.list_(pa.struct([("at", pa.binary()), ("mark", pa.binary())]))))
+    out = pa.Table.from_batches(suffix_dedup._surroundings(3)(iter([told])))
+    every = [r for r in out.to_pylist() if r["doc_id"] is not None]
+    for k in range(3):
+        own = out.filter(pa.compute.equal(out.column("bucket"), k))
+        every += suffix_dedup._compare(own).to_pylist() if own.num_rows else []
+    spans = defaultdict(list)
+    for r in every:
+        spans[r["doc_id"]].append(r["span"])
+    for i, x in enumerate(values):
+        s, e = suffix_dedup.covered(len((x or "").encode()), spans[i])
+        assert (int((e - s).sum()), len(s)) == want[i][1:3]
+
+
+def test_suffix_family(spark, values, tmp_path):
+    """Ten batches in a kept family, opened anew for the last ones; levels are those of a binary counter."""
+    values = [v or "" for v in suffix_cases(values)]
+    d = documents(spark, values).select("doc_id", "text")
+    step = -(-len(values) // 10)
+    for k in range(10):
+        family = suffix_dedup.Family(spark, str(tmp_path / "family"), 5) if k in (0, 7) else family  # noqa: F821
+        family.add(d.where(f"doc_id >= {k * step} AND doc_id < {(k + 1) * step}"))
+    assert [n for n, _ in family.state["levels"]] == [8, 2] and family.state["n"] == 10
+    with pytest.raises(ValueError, match="above"):
+        family.add(d.limit(3))
+    got = rows(family.repeats(d, str(tmp_path / "found")), "doc_id", "notes")
+    want = plain_repeats(values)
+    for i, x in enumerate(values):
+        s, e = suffix_dedup.covered(len(x.encode()), [n["span"] for n in got[i][0]] if i in got else [])
+        assert (int((e - s).sum()), len(s)) == want[i][1:3]
 
 
 # minhash
