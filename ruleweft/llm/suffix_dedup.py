@@ -43,7 +43,7 @@ WORDS = GRAM // 8
 #: Bytes of a batch, and batches of one run, at most (larger runs have larger batches).
 BATCH_BYTES, BATCHES = 256 << 20, 64
 #: Bytes of text that a task settles among itself at a time, and that one scan's arrays hold.
-SLICE, SEGMENT = 12 << 20, 512 << 10
+SLICE, SEGMENT = 8 << 20, 512 << 10
 #: Different surroundings of equal letters, in a slice or in all, from which they are dealt by longer parts.
 SLICE_SPANS, ANCHOR_SPANS = 32, 4096
 #: Windows whose places before the anchor lie in one of these ranges are dealt together by the part they share.
@@ -148,7 +148,7 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) ->
     out, i = np.ones(len(a), bool), 0
     ends = np.cumsum(n)
     while i < len(a):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 22), "right")))
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 20), "right")))
         own = np.arange(i, j)
         differ = data[spread(own, a, n)] != data[spread(own, b, n)]
         sums = np.concatenate([[0], np.cumsum(differ)])
@@ -184,10 +184,8 @@ def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _entries(key: np.ndarray, buckets: int, doc: np.ndarray, at: np.ndarray, mark: np.ndarray) -> list[dict]:
-    """A suffix array in buckets: one row of packed entries, in the order of the suffixes, for each bucket that has any."""
+    """One row of packed entries for each bucket that has any; entries are sorted by bucket, then as suffixes."""
     bucket = _bucket_of(key, buckets)
-    order = np.lexsort((at, doc, *key.T[::-1], bucket))
-    key, bucket, doc, at, mark = key[order], bucket[order], doc[order], at[order], mark[order]
     return [{"bucket": int(bucket[s])} | _entry(key[s:e], doc[s:e], at[s:e], mark[s:e]) for s, e in _bounds(bucket)]
 
 
@@ -204,7 +202,7 @@ def _index(buckets: int):
         again = repeats_of_first(np.concatenate(data), start, n, span, doc, at)
         notes = [(doc[again], at[again], REPEAT)]
         doc, at, key = doc[~again], at[~again], key[~again]
-        order = np.lexsort((at, doc, *key.T[::-1]))
+        order = np.lexsort((at, doc, *key.T[::-1], _bucket_of(key, buckets)))
         doc, at, key = doc[order], at[order], key[order]
         head = _groups(*key.T)
         of = np.cumsum(head) - 1
@@ -379,16 +377,21 @@ def _compare(rows: pa.Table) -> pa.Table:
     data = np.frombuffer(b"".join(zlib.decompress(x) for x in raw["span"]), np.uint8)
     doc, at, size = (unpacked(raw[c], t) for c, t in (("doc", np.int64), ("at", np.int64), ("mark", np.int16)))
     size = size.astype(np.int64)
+    start, h = np.cumsum(size) - size, Hasher(data)
+    # surroundings that equal an earlier one as a whole; the windows of the others
+    again = repeats_of_first(data, start, size, h.spans(start, start + size), doc, at)
+    out = _runs(doc[again], at[again], (at + size - LENGTH)[again])
+    doc, at, size, start = (x[~again] for x in (doc, at, size, start))
     n = size - LENGTH + 1
     inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    p = np.repeat(np.cumsum(size) - size, n) + inner
+    p = np.repeat(start, n) + inner
     doc, at = np.repeat(doc, n), np.repeat(at, n) + inner
-    late = late_windows(data, p, doc, at, Hasher(data).spans(p, p + LENGTH))
+    late = late_windows(data, p, doc, at, h.spans(p, p + LENGTH))
     doc, at = doc[late], at[late]
     order = np.lexsort((at, doc))
     doc, at = doc[order], at[order]
     cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)]) if len(doc) else np.zeros(0, np.int64)
-    out = _runs(doc[cut], at[cut], at[np.append(cut[1:], len(doc)) - 1] if len(cut) else cut)
+    out += _runs(doc[cut], at[cut], at[np.append(cut[1:], len(doc)) - 1] if len(cut) else cut)
     return pa.Table.from_batches([_rows(out)])
 
 
