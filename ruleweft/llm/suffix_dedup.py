@@ -41,7 +41,7 @@ from ruleweft.llm.sharding import cuts
 LENGTH, GRAM = 100, 32
 WORDS = GRAM // 8
 #: Bytes of a batch, and batches of one run, at most (larger runs have larger batches).
-BATCH_BYTES, BATCHES = 256 << 20, 64
+BATCH_BYTES, BATCHES = 512 << 20, 64
 #: Bytes of text that a task settles among itself at a time, and that one scan's arrays hold.
 SLICE, SEGMENT = 8 << 20, 512 << 10
 #: Different surroundings of equal letters, in a slice or in all, from which they are dealt by longer parts.
@@ -234,7 +234,11 @@ def _index(buckets: int):
     return run
 
 
-def _scan(rows: pa.Table) -> pa.Table:
+def _scan(keep_level: bool):
+    return lambda rows: _merge_scan(rows, keep_level)
+
+
+def _merge_scan(rows: pa.Table, keep_level: bool = True) -> pa.Table:
     """Merge-scans a bucket's new suffix array (level 0) with those of the levels; notes, then the merged level."""
     level = rows.column("level").to_numpy()
     raw = {c: rows.column(c).to_pylist() for c in ("key", "doc", "at", "mark")}
@@ -252,6 +256,8 @@ def _scan(rows: pa.Table) -> pa.Table:
     want = np.where(hot, BY_PARTS, np.where(entries > 1, BY_LETTERS, 0)).astype(np.int8)
     tell = touched & (want > mark)
     out = _notes(doc[tell], at[tell], want[tell])
+    if not keep_level:
+        return pa.Table.from_batches([_rows(out)])
     # entries of levels that don't merge stay where they are; letters with very many entries keep one, as a mark
     own = np.flatnonzero(~stays)
     one = np.zeros(len(key), bool)
@@ -275,7 +281,7 @@ def _surroundings(buckets: int):
         order = np.argsort(bucket, kind="stable")
         for s, e in _bounds(bucket[order]):
             i = order[s:e]
-            rows.append({"bucket": int(bucket[i[0]]), "n": len(i), "span": zlib.compress(text[spread(i, start, n)].tobytes(), 1), "doc": packed(doc[i]), "at": packed(at[i]), "mark": packed(n[i].astype(np.int16))})
+            rows.append({"bucket": int(bucket[i[0]]), "n": len(i), "span": text[spread(i, start, n)].tobytes(), "doc": packed(doc[i]), "at": packed(at[i]), "mark": packed(n[i].astype(np.int16))})
         for i in range(0, len(rows), 4096):
             yield _rows(rows[i : i + 4096])
 
@@ -374,7 +380,7 @@ def late_windows(data: np.ndarray, p: np.ndarray, doc: np.ndarray, at: np.ndarra
 def _compare(rows: pa.Table) -> pa.Table:
     """Windows of a bucket's surroundings that also start earlier, as notes: runs of them."""
     raw = {c: rows.column(c).to_pylist() for c in ("span", "doc", "at", "mark")}
-    data = np.frombuffer(b"".join(zlib.decompress(x) for x in raw["span"]), np.uint8)
+    data = np.frombuffer(b"".join(raw["span"]), np.uint8)
     doc, at, size = (unpacked(raw[c], t) for c, t in (("doc", np.int64), ("at", np.int64), ("mark", np.int16)))
     size = size.astype(np.int64)
     start, h = np.cumsum(size) - size, Hasher(data)
@@ -418,8 +424,8 @@ class Family:
         self.spark, self.path = spark, path
         self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        #: levels: [size in batches, folder], oldest first; notes: folders; top: the highest id; n: batches so far.
-        self.state = self._last() or {"n": 0, "top": None, "levels": [], "notes": [], "buckets": buckets or BUCKETS * n_parts(spark)}
+        #: levels: [size in batches, folder], oldest first, with their notes; top: the highest id; n: batches so far.
+        self.state = self._last() or {"n": 0, "top": None, "levels": [], "buckets": buckets or BUCKETS * n_parts(spark)}
 
     def _last(self) -> dict | None:
         folder = self._hadoop(f"{self.path}/states")
@@ -435,36 +441,44 @@ class Family:
         self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/states/{state['n']}")
         self.state = state
 
-    def add(self, texts: DataFrame) -> None:
-        """Indexes a batch (doc_id, text), ids not null and unique, and scans it with all levels."""
+    def add(self, texts: DataFrame, last: bool = False) -> None:
+        """Indexes a batch (doc_id, text), ids not null and unique, and scans it with all levels.
+
+        After the ``last`` batch only notes are kept, and no more can be added.
+        """
         low, high = texts.agg(F.min("doc_id"), F.max("doc_id")).first()
         if low is None:
             return
         state = json.loads(json.dumps(self.state))
         if state["top"] is not None and low <= state["top"]:
             raise ValueError(f"ids of a new batch must be above {state['top']}")
+        if any(n == 0 for n, _ in state["levels"]):
+            raise ValueError("the last batch was added already")
         where = f"{self.path}/batch{state['n']}-{uuid.uuid4().hex[:8]}"
         fresh = stash(texts.mapInArrow(_index(state["buckets"]), PACKED), f"{where}/array")
         size, merged = 1, []
-        while state["levels"] and state["levels"][-1][0] == size:  # a binary counter of batches
+        while not last and state["levels"] and state["levels"][-1][0] == size:  # a binary counter of batches
             merged.append(state["levels"].pop()[1])
             size *= 2
-        read = lambda folder: self.spark.read.schema(PACKED).parquet(folder).where("bucket IS NOT NULL")
+        read = lambda folder: self.spark.read.schema(PACKED).parquet(folder)
         entries = fresh.where("bucket IS NOT NULL").withColumn("level", F.lit(0)).withColumn("stays", F.lit(False))
+        notes = fresh.where("doc_id IS NOT NULL")
         for k, folder in enumerate([*merged, *(f for _, f in state["levels"])]):
-            entries = entries.unionByName(read(folder).withColumn("level", F.lit(k + 1)).withColumn("stays", F.lit(k >= len(merged))))
-        scanned = stash(entries.groupBy("bucket").applyInArrow(_scan, PACKED), f"{where}/level")
-        told = [x.where("doc_id IS NOT NULL").select("doc_id", "n", "at", "mark") for x in (fresh, scanned)]
-        stash(told[0].unionByName(told[1]), f"{where}/notes")
-        self._commit(state | {"n": state["n"] + 1, "top": high, "levels": [*state["levels"], [size, f"{where}/level"]], "notes": [*state["notes"], f"{where}/notes"]})
+            old = read(folder)
+            entries = entries.unionByName(old.where("bucket IS NOT NULL").withColumn("level", F.lit(k + 1)).withColumn("stays", F.lit(k >= len(merged))))
+            notes = notes.unionByName(old.where("doc_id IS NOT NULL")) if k < len(merged) else notes
+        # a level keeps the notes of the batches in it
+        stash(entries.groupBy("bucket").applyInArrow(_scan(not last), PACKED).unionByName(notes), f"{where}/level")
+        self._commit(state | {"n": state["n"] + 1, "top": high, "levels": [*state["levels"], [0 if last else size, f"{where}/level"]]})
         for folder in (f"{where}/array", *merged):
             remove(self.spark, folder)
 
     def repeats(self, texts: DataFrame, where: str) -> DataFrame:
         """(doc_id, notes array<struct<n, span>>) of the documents of ``texts`` (all that were added) with repeated
         windows; written below ``where``."""
-        schema = "doc_id long, n int, at binary, mark binary"
-        notes = self.spark.read.schema(schema).parquet(*self.state["notes"]) if self.state["notes"] else self.spark.createDataFrame([], schema)
+        folders = [f for _, f in self.state["levels"]]
+        notes = self.spark.read.schema(PACKED).parquet(*folders) if folders else self.spark.createDataFrame([], PACKED)
+        notes = notes.where("doc_id IS NOT NULL").select("doc_id", "at", "mark")
         marked = texts.join(notes.groupBy("doc_id").agg(F.collect_list(F.struct("at", "mark")).alias("notes")), "doc_id").select("doc_id", "text", "notes")
         seen = stash(marked.mapInArrow(_surroundings(self.state["buckets"]), PACKED), f"{where}/surroundings")
         late = seen.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_compare, PACKED)
@@ -483,7 +497,7 @@ def repeats(texts: DataFrame, where: str, batch_bytes: int = BATCH_BYTES) -> Dat
     bounds = [None, *firsts[1:], None]
     for lo, hi in zip(bounds, bounds[1:], strict=False):
         part = texts if lo is None else texts.where(F.col("doc_id") >= F.lit(int(lo)))
-        family.add(part if hi is None else part.where(F.col("doc_id") < F.lit(int(hi))))
+        family.add(part if hi is None else part.where(F.col("doc_id") < F.lit(int(hi))), last=hi is None)
     found = family.repeats(texts, where)
     for name in ("family", "sizes"):
         remove(spark, f"{where}/{name}")

@@ -280,7 +280,7 @@ def test_suffix_hash_collisions(spark, values, monkeypatch):
     for k in range(3):
         own = [r for r in out if r["bucket"] == k]
         table = pa.table({**{c: pa.array([r[c] for r in own], t) for c, t in suffix_dedup._TYPES}, "level": pa.array([0] * len(own), pa.int32()), "stays": pa.array([False] * len(own))})
-        out += [r for r in suffix_dedup._scan(table).to_pylist() if r["doc_id"] is not None] if own else []
+        out += [r for r in suffix_dedup._merge_scan(table).to_pylist() if r["doc_id"] is not None] if own else []
     for r in out:
         if r["doc_id"] is not None:
             notes[r["doc_id"]].append({"at": r["at"], "mark": r["mark"]})
@@ -310,6 +310,9 @@ def test_suffix_family(spark, values, tmp_path):
     assert [n for n, _ in family.state["levels"]] == [8, 2] and family.state["n"] == 10
     with pytest.raises(ValueError, match="above"):
         family.add(d.limit(3))
+    family.add(documents(spark, ["a last one"], 10_000).select("doc_id", "text"), last=True)
+    with pytest.raises(ValueError, match="last"):
+        family.add(documents(spark, ["one more"], 10_001).select("doc_id", "text"))
     got = rows(family.repeats(d, str(tmp_path / "found")), "doc_id", "notes")
     want = plain_repeats(values)
     for i, x in enumerate(values):
