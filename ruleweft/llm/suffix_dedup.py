@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,9 +120,13 @@ def unpacked(raw: list[bytes], kind: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-#: Rows of a suffix array or of surroundings have a bucket, notes for a document a doc_id.
-PACKED = "bucket int, doc_id long, n int, key binary, span binary, doc binary, at binary, mark binary"
-_TYPES = [("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.binary()), ("span", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("mark", pa.binary())]
+#: Rows of a suffix array or of surroundings have a bucket; notes have arrays of documents, places and marks, or of
+#: documents, first and last windows.
+PACKED = "bucket int, n int, key binary, span binary, doc binary, at binary, mark binary, docs array<bigint>, a array<bigint>, b array<bigint>"
+_LONGS = pa.list_(pa.int64())
+_TYPES = [("bucket", pa.int32()), ("n", pa.int32()), ("key", pa.binary()), ("span", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("mark", pa.binary()), ("docs", _LONGS), ("a", _LONGS), ("b", _LONGS)]
+#: Notes in one row.
+NOTES = 8192
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:
@@ -169,11 +174,24 @@ def repeats_of_first(data: np.ndarray, start: np.ndarray, n: np.ndarray, h: np.n
     return out
 
 
-def _notes(doc: np.ndarray, at: np.ndarray, mark: np.ndarray) -> list[dict]:
-    """One row for each document: places and marks."""
-    order = np.lexsort((at, doc))
-    doc, at, mark = doc[order], at[order], mark[order]
-    return [{"doc_id": int(doc[s]), "n": int(e - s), "at": at[s:e].astype(np.int64).tobytes(), "mark": mark[s:e].astype(np.int8).tobytes()} for s, e in _bounds(doc)]
+def _notes(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[dict]:
+    """Notes in order of documents and places."""
+    order = np.lexsort((a, doc))
+    return [{"docs": doc[x], "a": a[x].astype(np.int64), "b": b[x].astype(np.int64)} for i in range(0, len(order), NOTES) if len(x := order[i : i + NOTES])]
+
+
+def _by_document(rows: DataFrame) -> DataFrame:
+    """(doc_id, notes array<struct<a, b>>) of packed notes."""
+    every = rows.where("docs IS NOT NULL").select(F.explode(F.arrays_zip("docs", "a", "b")).alias("x")).select(F.col("x.docs").alias("doc_id"), F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+    return every.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("notes"))
+
+
+def _pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The notes of all rows end to end, as two columns, and the n + 1 offsets of the rows; null has none."""
+    column = column.fill_null([]) if column.null_count else column
+    flat = column.flatten()
+    sizes = np.asarray(pa.compute.list_value_length(column))
+    return flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -291,9 +309,7 @@ def _surroundings(buckets: int):
         size = 0
         for b in slices(batches, "text", SEGMENT):
             ids = b.column(0).to_numpy()
-            told: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for r, notes in enumerate(b.column(2).to_pylist()):
-                told[r] = np.concatenate([np.frombuffer(x["at"], np.int64) for x in notes]), np.concatenate([np.frombuffer(x["mark"], np.int8) for x in notes])
+            told_at, told_mark, told = _pairs(b.column(2))
             rows: list[dict] = []
             for data, offs, row, start in segments(b, 1):
                 s, first, last, own, _ = anchors(data, offs)
@@ -301,7 +317,7 @@ def _surroundings(buckets: int):
                 mark = np.zeros(len(s), np.int8)
                 lo = np.searchsorted(own, np.arange(len(row) + 1))
                 for i, r in enumerate(row.tolist()):
-                    at, m = told[r]
+                    at, m = told_at[told[r] : told[r + 1]], told_mark[told[r] : told[r + 1]]
                     a, z = lo[i], lo[i + 1]
                     j = np.searchsorted(place[a:z], at)
                     ok = j < z - a
@@ -339,10 +355,8 @@ def _surroundings(buckets: int):
 
 
 def _runs(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[dict]:
-    """Notes (span: first and last window by turns) of runs of repeated windows."""
-    order = np.lexsort((first, doc))
-    doc, pair = doc[order], np.stack([first[order], last[order]], 1)
-    return [{"doc_id": int(doc[s]), "n": int(e - s), "span": pair[s:e].astype(np.int64).tobytes()} for s, e in _bounds(doc)]
+    """Notes of runs of repeated windows: first and last one."""
+    return _notes(doc, first, last)
 
 
 def late_windows(data: np.ndarray, p: np.ndarray, doc: np.ndarray, at: np.ndarray, h: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -401,16 +415,14 @@ def _compare(rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(out)])
 
 
-def covered(n: int, spans: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes that repeated windows cover in a text of ``n`` bytes."""
-    pairs = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in spans]
-    pair = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-    pair = pair[np.argsort(pair[:, 0], kind="stable")]
-    if not len(pair):
-        return pair[:, 0], pair[:, 0]
-    end = np.maximum.accumulate(pair[:, 1] + length)
-    new = np.r_[True, pair[1:, 0] > end[:-1]]
-    return pair[new, 0], np.minimum(end[np.append(np.flatnonzero(new)[1:] - 1, len(pair) - 1)], n)
+def covered(n: int, first: np.ndarray, last: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that runs of repeated windows cover in a text of ``n`` bytes."""
+    if not len(first):
+        return first, last
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], np.maximum.accumulate(last[order] + length)
+    new = np.r_[True, first[1:] > end[:-1]]
+    return first[new], np.minimum(end[np.append(np.flatnonzero(new)[1:] - 1, len(first) - 1)], n)
 
 
 class Family:
@@ -462,11 +474,11 @@ class Family:
             size *= 2
         read = lambda folder: self.spark.read.schema(PACKED).parquet(folder)
         entries = fresh.where("bucket IS NOT NULL").withColumn("level", F.lit(0)).withColumn("stays", F.lit(False))
-        notes = fresh.where("doc_id IS NOT NULL")
+        notes = fresh.where("docs IS NOT NULL")
         for k, folder in enumerate([*merged, *(f for _, f in state["levels"])]):
             old = read(folder)
             entries = entries.unionByName(old.where("bucket IS NOT NULL").withColumn("level", F.lit(k + 1)).withColumn("stays", F.lit(k >= len(merged))))
-            notes = notes.unionByName(old.where("doc_id IS NOT NULL")) if k < len(merged) else notes
+            notes = notes.unionByName(old.where("docs IS NOT NULL")) if k < len(merged) else notes
         # a level keeps the notes of the batches in it
         stash(entries.groupBy("bucket").applyInArrow(_scan(not last), PACKED).unionByName(notes), f"{where}/level")
         self._commit(state | {"n": state["n"] + 1, "top": high, "levels": [*state["levels"], [0 if last else size, f"{where}/level"]]})
@@ -474,16 +486,14 @@ class Family:
             remove(self.spark, folder)
 
     def repeats(self, texts: DataFrame, where: str) -> DataFrame:
-        """(doc_id, notes array<struct<n, span>>) of the documents of ``texts`` (all that were added) with repeated
-        windows; written below ``where``."""
+        """(doc_id, notes array<struct<a, b>>) of the documents of ``texts`` (all that were added) with repeated
+        windows: first and last ones of their runs; written below ``where``."""
         folders = [f for _, f in self.state["levels"]]
         notes = self.spark.read.schema(PACKED).parquet(*folders) if folders else self.spark.createDataFrame([], PACKED)
-        notes = notes.where("doc_id IS NOT NULL").select("doc_id", "at", "mark")
-        marked = texts.join(notes.groupBy("doc_id").agg(F.collect_list(F.struct("at", "mark")).alias("notes")), "doc_id").select("doc_id", "text", "notes")
+        marked = texts.join(_by_document(notes), "doc_id").select("doc_id", "text", "notes")
         seen = stash(marked.mapInArrow(_surroundings(self.state["buckets"]), PACKED), f"{where}/surroundings")
         late = seen.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_compare, PACKED)
-        found = seen.where("doc_id IS NOT NULL").unionByName(late).groupBy("doc_id").agg(F.collect_list(F.struct("n", "span")).alias("notes"))
-        found = stash(found, f"{where}/found")
+        found = stash(_by_document(seen.unionByName(late)), f"{where}/found")
         remove(self.spark, f"{where}/surroundings")
         return found
 
@@ -504,12 +514,13 @@ def repeats(texts: DataFrame, where: str, batch_bytes: int = BATCH_BYTES) -> Dat
     return found
 
 
-def _cut(texts: list[bytes], notes: list) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
-    for t, found in zip(texts, notes, strict=True):
-        if not found:
-            yield t, np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _cut(texts: list[bytes], notes: pa.Array) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    first, last, offs = _pairs(notes)
+    for t, a, z in zip(texts, offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+        if a == z:
+            yield t, first[:0], first[:0]
             continue
-        s, e = covered(len(t), [x["span"] for x in found])
+        s, e = covered(len(t), first[a:z], last[a:z])
         ends, starts = [0, *e.tolist()], [*s.tolist(), len(t)]
         yield b"".join(t[a:b] for a, b in zip(ends, starts, strict=True)), s, e
 
@@ -543,7 +554,7 @@ def suffix_dedup(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
             data, offs = flat_bytes(b.column(1))
             raw, offs = data.tobytes(), offs.tolist()
             out: tuple[list, ...] = ([], [], [], [])
-            for (s, e), (kept, a, z) in zip(zip(offs, offs[1:], strict=False), _cut([raw[s:e] for s, e in zip(offs, offs[1:], strict=False)], b.column(2).to_pylist()), strict=True):
+            for (s, e), (kept, a, z) in zip(zip(offs, offs[1:], strict=False), _cut([raw[s:e] for s, e in zip(offs, offs[1:], strict=False)], b.column(2)), strict=True):
                 for c, v in zip(out, (e - s, int((z - a).sum()), len(a), hashlib.sha256(kept).hexdigest()), strict=True):
                     c.append(v)
             yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -570,7 +581,7 @@ def without_repeats(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFram
             null = np.array(b.column(at).is_null())
             data, offs = flat_bytes(b.column(at))
             raw, offs = data.tobytes(), offs.tolist()
-            texts = [k.decode("utf-8", "ignore") for k, _, _ in _cut([raw[s:e] for s, e in zip(offs, offs[1:], strict=False)], b.column(len(names)).to_pylist())]
+            texts = [k.decode("utf-8", "ignore") for k, _, _ in _cut([raw[s:e] for s, e in zip(offs, offs[1:], strict=False)], b.column(len(names)))]
             cols = [b.column(i) for i in range(len(names))]
             cols[at] = pa.array(texts, pa.string(), mask=null)
             yield pa.record_batch(cols, names)

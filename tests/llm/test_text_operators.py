@@ -280,22 +280,24 @@ def test_suffix_hash_collisions(spark, values, monkeypatch):
     for k in range(3):
         own = [r for r in out if r["bucket"] == k]
         table = pa.table({**{c: pa.array([r[c] for r in own], t) for c, t in suffix_dedup._TYPES}, "level": pa.array([0] * len(own), pa.int32()), "stays": pa.array([False] * len(own))})
-        out += [r for r in suffix_dedup._merge_scan(table).to_pylist() if r["doc_id"] is not None] if own else []
+        out += [r for r in suffix_dedup._merge_scan(table).to_pylist() if r["docs"] is not None] if own else []
     for r in out:
-        if r["doc_id"] is not None:
-            notes[r["doc_id"]].append({"at": r["at"], "mark": r["mark"]})
+        for i, a, b in zip(r["docs"] or [], r["a"] or [], r["b"] or [], strict=True):
+            notes[i].append({"a": a, "b": b})
     told = batch.filter(pa.array([i in notes for i in texts["doc_id"]]))
-    told = told.append_column("notes", pa.array([notes[i] for i in told.column(0).to_pylist()], pa.list_(pa.struct([("at", pa.binary()), ("mark", pa.binary())]))))
+    told = told.append_column("notes", pa.array([notes[i] for i in told.column(0).to_pylist()], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))))
     out = pa.Table.from_batches(suffix_dedup._surroundings(3)(iter([told])))
-    every = [r for r in out.to_pylist() if r["doc_id"] is not None]
+    every = out.to_pylist()
     for k in range(3):
         own = out.filter(pa.compute.equal(out.column("bucket"), k))
         every += suffix_dedup._compare(own).to_pylist() if own.num_rows else []
-    spans = defaultdict(list)
+    runs = defaultdict(list)
     for r in every:
-        spans[r["doc_id"]].append(r["span"])
+        for i, a, b in zip(r["docs"] or [], r["a"] or [], r["b"] or [], strict=True):
+            runs[i].append((a, b))
     for i, x in enumerate(values):
-        s, e = suffix_dedup.covered(len((x or "").encode()), spans[i])
+        pair = np.array(runs[i], np.int64).reshape(-1, 2)
+        s, e = suffix_dedup.covered(len((x or "").encode()), pair[:, 0], pair[:, 1])
         assert (int((e - s).sum()), len(s)) == want[i][1:3]
 
 
@@ -316,7 +318,8 @@ def test_suffix_family(spark, values, tmp_path):
     got = rows(family.repeats(d, str(tmp_path / "found")), "doc_id", "notes")
     want = plain_repeats(values)
     for i, x in enumerate(values):
-        s, e = suffix_dedup.covered(len(x.encode()), [n["span"] for n in got[i][0]] if i in got else [])
+        pair = np.array([(n["a"], n["b"]) for n in got[i][0]] if i in got else [], np.int64).reshape(-1, 2)
+        s, e = suffix_dedup.covered(len(x.encode()), pair[:, 0], pair[:, 1])
         assert (int((e - s).sum()), len(s)) == want[i][1:3]
 
 
