@@ -2,7 +2,7 @@
 
 A byte goes if a 100-byte string that covers it also starts earlier. Suffixes are sampled: each 100-byte window has an
 anchor, its 32-gram of the lowest hash, so equal windows have equal anchors at equal places, and one anchor stands for
-the run of windows around it (its span). A suffix array holds the anchors' suffixes ordered by their first 32 letters,
+the run of windows around it (its span). A suffix array holds the anchors' suffixes ordered by their first 24 letters,
 then by document and place, in buckets; 3 % of all suffixes are enough to meet every match of 100 bytes.
 
 Documents come in batches of bounded size in order of their ids. A batch gets its suffix array, which is merge-scanned
@@ -26,7 +26,6 @@ import hashlib
 import json
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +39,11 @@ from ruleweft.llm.common import flat_bytes, ids_and_text, n_parts, remove, share
 from ruleweft.llm.sharding import cuts
 
 LENGTH, GRAM = 100, 32
-WORDS = GRAM // 8
-#: Bytes of a batch, and batches of one run, at most (larger runs have larger batches).
-BATCH_BYTES, BATCHES = 512 << 20, 64
+#: Letters by which suffixes are ordered.
+LETTERS = 24
+#: Bytes of a batch, and batches of one run, at most: as each batch is scanned with all before, larger runs have larger
+#: batches. Batches that are added to a kept family may have any size.
+BATCH_BYTES, BATCHES = 512 << 20, 8
 #: Bytes of text that a task settles among itself at a time, and that one scan's arrays hold.
 SLICE, SEGMENT = 8 << 20, 512 << 10
 #: Different surroundings of equal letters, in a slice or in all, from which they are dealt by longer parts.
@@ -52,6 +53,7 @@ PARTS = ((0, 17), (18, 35), (36, 53), (54, 68))
 #: Buckets for each shuffle partition, and bytes of all text for each bucket, at most.
 BUCKETS, BUCKET_BYTES = 4, 64 << 20
 REPEAT, BY_LETTERS, BY_PARTS = 1, 2, 3
+CODEC = pa.Codec("zstd", compression_level=3)
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, k: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -84,8 +86,8 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, k: int = G
 def letters(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The first letters of suffixes as big-endian words, whose order is that of the text."""
     if not len(at):
-        return np.zeros((0, WORDS), U)
-    return data[at[:, None] + np.arange(GRAM)].view(">u8").astype(U)
+        return np.zeros((0, LETTERS // 8), U)
+    return data[at[:, None] + np.arange(LETTERS)].view(">u8").astype(U)
 
 
 def segments(batch: pa.RecordBatch, column: int, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -111,12 +113,15 @@ def segments(batch: pa.RecordBatch, column: int, length: int = LENGTH) -> Iterat
 
 def packed(x: np.ndarray) -> bytes:
     """A column's little-endian bytes, place by place so that what is alike is together, compressed."""
-    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes(), 1) if len(x) else b""
+    if not len(x):
+        return b""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+    return len(raw).to_bytes(4, "little") + CODEC.compress(raw, asbytes=True)
 
 
 def unpacked(raw: list[bytes], kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    parts = [np.ascontiguousarray(np.frombuffer(zlib.decompress(r), np.uint8).reshape(size, -1).T).view(kind).ravel() for r in raw if r]
+    parts = [np.ascontiguousarray(np.frombuffer(CODEC.decompress(r[4:], int.from_bytes(r[:4], "little"), asbytes=True), np.uint8).reshape(size, -1).T).view(kind).ravel() for r in raw if r]
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
@@ -208,7 +213,7 @@ def _entries(key: np.ndarray, buckets: int, doc: np.ndarray, at: np.ndarray, mar
 
 
 def _entry(key: np.ndarray, doc: np.ndarray, at: np.ndarray, mark: np.ndarray) -> dict:
-    return {"n": len(key), "key": packed(key.reshape(-1).view("V%d" % GRAM)) if len(key) else b"", "doc": packed(doc), "at": packed(at), "mark": packed(mark.astype(np.int8))}
+    return {"n": len(key), "key": packed(key.reshape(-1).view(f"V{LETTERS}")) if len(key) else b"", "doc": packed(doc), "at": packed(at), "mark": packed(mark.astype(np.int8))}
 
 
 def _index(buckets: int):
@@ -261,7 +266,7 @@ def _merge_scan(rows: pa.Table, keep_level: bool = True) -> pa.Table:
     level = rows.column("level").to_numpy()
     raw = {c: rows.column(c).to_pylist() for c in ("key", "doc", "at", "mark")}
     n = rows.column("n").to_numpy()
-    key = unpacked(raw["key"], "V%d" % GRAM).view(U).reshape(-1, WORDS)
+    key = unpacked(raw["key"], f"V{LETTERS}").view(U).reshape(-1, LETTERS // 8)
     doc, at, mark = (unpacked(raw[c], t) for c, t in (("doc", np.int64), ("at", np.int64), ("mark", np.int8)))
     fresh, stays = np.repeat(level == 0, n), np.repeat(rows.column("stays").to_numpy(zero_copy_only=False), n)
     order = np.lexsort((at, doc, *key.T[::-1]))
