@@ -111,17 +111,22 @@ def segments(batch: pa.RecordBatch, column: int, length: int = LENGTH) -> Iterat
         i = j
 
 
+def squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(4, "little") + CODEC.compress(raw, asbytes=True) if raw else b""
+
+
+def unsqueezed(raw: bytes) -> bytes:
+    return CODEC.decompress(raw[4:], int.from_bytes(raw[:4], "little"), asbytes=True) if raw else b""
+
+
 def packed(x: np.ndarray) -> bytes:
     """A column's little-endian bytes, place by place so that what is alike is together, compressed."""
-    if not len(x):
-        return b""
-    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
-    return len(raw).to_bytes(4, "little") + CODEC.compress(raw, asbytes=True)
+    return squeezed(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()) if len(x) else b""
 
 
 def unpacked(raw: list[bytes], kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    parts = [np.ascontiguousarray(np.frombuffer(CODEC.decompress(r[4:], int.from_bytes(r[:4], "little"), asbytes=True), np.uint8).reshape(size, -1).T).view(kind).ravel() for r in raw if r]
+    parts = [np.ascontiguousarray(np.frombuffer(unsqueezed(r), np.uint8).reshape(size, -1).T).view(kind).ravel() for r in raw if r]
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
@@ -304,7 +309,7 @@ def _surroundings(buckets: int):
         order = np.argsort(bucket, kind="stable")
         for s, e in _bounds(bucket[order]):
             i = order[s:e]
-            rows.append({"bucket": int(bucket[i[0]]), "n": len(i), "span": text[spread(i, start, n)].tobytes(), "doc": packed(doc[i]), "at": packed(at[i]), "mark": packed(n[i].astype(np.int16))})
+            rows.append({"bucket": int(bucket[i[0]]), "n": len(i), "span": squeezed(text[spread(i, start, n)].tobytes()), "doc": packed(doc[i]), "at": packed(at[i]), "mark": packed(n[i].astype(np.int16))})
         for i in range(0, len(rows), 4096):
             yield _rows(rows[i : i + 4096])
 
@@ -399,7 +404,7 @@ def late_windows(data: np.ndarray, p: np.ndarray, doc: np.ndarray, at: np.ndarra
 def _compare(rows: pa.Table) -> pa.Table:
     """Windows of a bucket's surroundings that also start earlier, as notes: runs of them."""
     raw = {c: rows.column(c).to_pylist() for c in ("span", "doc", "at", "mark")}
-    data = np.frombuffer(b"".join(raw["span"]), np.uint8)
+    data = np.frombuffer(b"".join(map(unsqueezed, raw["span"])), np.uint8)
     doc, at, size = (unpacked(raw[c], t) for c, t in (("doc", np.int64), ("at", np.int64), ("mark", np.int16)))
     size = size.astype(np.int64)
     start, h = np.cumsum(size) - size, Hasher(data)
