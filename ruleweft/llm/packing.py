@@ -1,8 +1,11 @@
 """Best-fit packing of tokenised documents by hierarchical residual packing.
 
-Documents are cut into pieces of at most ``capacity`` tokens. Pieces are dealt to groups of bounded size; each group
-packs best-fit decreasing, emits its nearly full bins, and hands the emptiest bins, as items, to its parent in a tree
-of fan-in ``fan_in``. A group hands up at most ``1 / fan_in`` of its bins, so no group grows with the corpus.
+Documents are cut into pieces of at most ``capacity`` tokens. Pieces are dealt by their place to groups of bounded
+size; each group packs best-fit decreasing and emits its nearly full bins. All others are items of the next round,
+which deals them to fewer groups, so that a tree of groups forms over what is left; it ends in one group, or in a round
+that hardly merges any bins. No group grows with the corpus.
+
+A tokenizer that lower-cases and splits at blanks as the default one does is run on words; any other on whole texts.
 
 Nulls and empty texts are documents of the closing token alone; rows with a null ``doc_id`` are kept and packed like
 any other; equal rows are packed once each; an empty table gives no rows; other columns are ignored.
@@ -10,6 +13,7 @@ any other; equal rows are packed once each; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -27,8 +31,10 @@ from ruleweft.llm.common import ids_and_text, remove, shared_dir, slices, spread
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces in a group of the first round, and groups under one parent.
-GROUP_ITEMS, FAN_IN = 50_000, 8
+#: Bins in a group, and pieces in a group of later rounds for each of them; on average.
+GROUP_ITEMS, GROUP_PIECES = 50_000, 8
+#: Share of bins that a later round has to merge for another one to follow.
+PROGRESS = 0.02
 #: Free tokens up to which a bin counts as nearly full.
 SLACK = 8
 #: Words whose ids a worker remembers.
@@ -137,6 +143,35 @@ class ChunkIds(dict):
         return self.flat[spread(self.known[np.concatenate(codes)].ravel(), self.offs, self.lens)], np.concatenate([[0], np.cumsum(sizes)])
 
 
+#: What a tokenizer must have for texts to be encoded word by word. Fixed values.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+}
+
+
+class WholeIds:
+    """Ids of whole texts, by any tokenizer."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        own = [e.ids for e in _tokenizer(self.path).encode_batch(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        return np.fromiter(chain.from_iterable(own), np.uint32, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def encoder(path: str) -> ChunkIds | WholeIds:
+    """Word by word if the tokenizer is of the kind that allows it."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    plain = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER and spec["post_processor"] is None
+    alone = all(not (t["lstrip"] or t["rstrip"] or t["normalized"]) and " " not in t["content"] and not t["content"].isalpha() for t in spec["added_tokens"])
+    return ChunkIds(path) if plain and alone and spec["model"]["type"] == "BPE" else WholeIds(path)
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -144,7 +179,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     """Rows (doc_id, piece, start, length, ids_crc32): each document's ids then ``end_id``, cut at ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = ChunkIds(path)
+        cache = encoder(path)
         for b in slices(batches, "text", 4 << 20):
             ids, offs = cache.ids(strings(b.column(1)))
             out: tuple[list, ...] = ([], [], [], [], [])
@@ -186,17 +221,14 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 NODE = f"node long, bin long, {PIECES}, offset long, final boolean"
 
 
-def _pack_node(capacity: int, slack: int, fan_in: int, first: bool, last: bool):
+def _pack_node(capacity: int, slack: int, first: bool, last: bool):
     def run(group: pa.Table) -> pa.Table:
         cols = {n: group.column(n).to_numpy() for n in ("bin", "length", "offset")}
         # each piece is a bin of its own at first
         own = np.arange(group.num_rows) if first else np.unique(cols["bin"], return_inverse=True)[1]
         sizes = np.bincount(own, weights=cols["length"]).astype(np.int64)
         to, base, free = best_fit(sizes, capacity)
-        final = np.ones(len(free), bool)
-        if not last:
-            up = np.argsort(-free, kind="stable")[: len(free) // fan_in + (len(free) < fan_in)]
-            final[up[free[up] > slack]] = False
+        final = free <= slack if not last else np.ones(len(free), bool)
         out = group.set_column(group.schema.get_field_index("bin"), "bin", pa.array(to[own]))
         out = out.set_column(out.schema.get_field_index("offset"), "offset", pa.array(base[own] + cols["offset"]))
         return out.set_column(out.schema.get_field_index("final"), "final", pa.array(final[to[own]]))
@@ -204,20 +236,28 @@ def _pack_node(capacity: int, slack: int, fan_in: int, first: bool, last: bool):
     return run
 
 
-def pack(items: DataFrame, where: str, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, fan_in: int = FAN_IN, slack: int = SLACK) -> DataFrame:
-    """Packs pieces (a table written once) and adds sequence_id and offset. ``where``: a shared folder for the rounds."""
-    n = items.count()
-    nodes, round_, done = max(1, -(-n // group_items)), 0, None
+def pack(items: DataFrame, where: str, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, slack: int = SLACK) -> DataFrame:
+    """Packs pieces (a table written once) and adds sequence_id and offset. ``where``: a shared folder for the rounds,
+    which the result reads."""
+    bins, round_, done = items.count(), 0, None
+    nodes = max(1, -(-bins // group_items))
     none = F.lit(0).cast("long")
-    left = items.select(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(nodes)).alias("node"), none.alias("bin"), *items.columns, none.alias("offset"), F.lit(False).alias("final"))
+    deal = lambda key: F.pmod(F.xxhash64(*key), F.lit(nodes))
+    # by place, not by id: many rows may share one
+    left = items.select(deal([F.monotonically_increasing_id()]).alias("node"), none.alias("bin"), *items.columns, none.alias("offset"), F.lit(False).alias("final"))
     while True:
-        packed = stash(left.groupBy("node").applyInArrow(_pack_node(capacity, slack, fan_in, not round_, nodes == 1), NODE), f"{where}/round{round_}")
-        ready = packed.where("final").select(*items.columns, (F.lit(round_ << 58).cast("long") + F.shiftleft("node", 24) + F.col("bin")).alias("sequence_id"), "offset")
+        packed = stash(left.groupBy("node").applyInArrow(_pack_node(capacity, slack, not round_, nodes == 1), NODE), f"{where}/round{round_}")
+        still = packed.where(~F.col("final"))
+        pieces_left, bins_left = still.agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
+        stuck = round_ > 0 and bins_left > (1 - PROGRESS) * bins
+        ready = (packed if stuck or not bins_left else packed.where("final")).select(*items.columns, (F.lit(round_ << 58).cast("long") + F.shiftleft("node", 24) + F.col("bin")).alias("sequence_id"), "offset")
         done = ready if done is None else done.unionByName(ready)
-        if nodes == 1:
+        if stuck or not bins_left:
             return done
-        left = packed.where(~F.col("final")).withColumn("bin", F.col("node") * (1 << 24) + F.col("bin")).withColumn("node", F.floor(F.col("node") / fan_in))
-        nodes, round_ = -(-nodes // fan_in), round_ + 1
+        bins, round_ = bins_left, round_ + 1
+        nodes = max(1, -(-bins // group_items), -(-pieces_left // (GROUP_PIECES * group_items)))
+        key = F.shiftleft("node", 24) + F.col("bin")
+        left = still.withColumn("bin", key).withColumn("node", deal([F.col("bin"), F.lit(round_)]))
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, **options: int) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.helpers import SCHEMA, WORD, clashing, documents, sentence, texts
 
 from ruleweft.llm import bpe, licenses, minhash, packing, quality, sharding, suffix_dedup, toxicity
@@ -98,7 +99,7 @@ def test_packing(docs, values, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path(packing.TOKENIZER))
-    for options in ({}, {"group_items": 10, "fan_in": 2}):
+    for options in ({}, {"group_items": 10}):
         got = packing.best_fit_packing(clashing(docs), **options).collect()
         want = {}
         for i, x in enumerate(values):
@@ -118,6 +119,27 @@ def test_packing(docs, values, empty):
             assert end <= packing.CAPACITY
         assert len(by) <= 1.1 * sum(n for _, n, _ in want.values()) / packing.CAPACITY + 1
     assert packing.best_fit_packing(empty).count() == 0
+    null = docs.sparkSession.createDataFrame([(None, "a text without an id", "en", "s", 1)] * 40 + [(7, "one two", "en", "s", 1)] * 2, SCHEMA)
+    got = packing.best_fit_packing(null, group_items=10).collect()
+    assert len(got) == 42 and len({(r["sequence_id"], r["offset"]) for r in got}) == 42 and len({r["sequence_id"] for r in got}) == 1
+    other = packing.tokenizer_path(bpe.TOKENIZER)  # of another kind: encoded as whole texts
+    t = Tokenizer.from_file(other)
+    got = {r["doc_id"]: r["length"] for r in packing.best_fit_packing(docs.where("doc_id < 20"), other).collect()}
+    assert isinstance(packing.encoder(other), packing.WholeIds) and got == {i: len(t.encode(values[i] or "", add_special_tokens=False).ids) + 1 for i in range(20)}
+
+
+def test_residual_rounds(spark, tmp_path):
+    """Pieces that fill bins in pairs or not at all, in many small groups: almost as few bins as one group needs."""
+    rnd = random.Random(3)
+    sizes = [rnd.randint(2300, 2700) for _ in range(1500)] + [rnd.randint(1300, 1795) for _ in range(1500)]
+    df = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], packing.PIECES)
+    df.write.parquet(str(tmp_path / "items"))
+    got = packing.pack(spark.read.parquet(str(tmp_path / "items")), str(tmp_path / "rounds"), group_items=200)
+    assert got.count() == 3000 and got.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= packing.CAPACITY
+    whole = len(packing.best_fit(np.array(sizes), packing.CAPACITY)[2])
+    assert got.select("sequence_id").distinct().count() <= 1.03 * whole  # groups of 200 fit a little worse
+    alone = packing.pack(df.withColumn("length", F.lit(2500).cast("long")), str(tmp_path / "alone"), group_items=200)
+    assert alone.select("sequence_id").distinct().count() == 3000
 
 
 def test_best_fit():
