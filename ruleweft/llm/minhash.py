@@ -36,7 +36,7 @@ BUCKET_ROWS, PIVOT_ROWS = 4096, 512
 #: Probability that all tables miss a pair at the threshold, at most.
 MISS = 0.00125
 #: Documents in a block of those that still have to meet.
-BLOCK = 256
+BLOCK = 512
 
 
 def n_collections(percent: int, miss: float = MISS, k: int = PER_COLLECTION) -> int:
@@ -210,17 +210,18 @@ def minhash_near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # then whatever shares a bucket across components: members outside their pivot's component meet all others of the
     # bucket in blocks, from which only links come out
     placed = stash(with_component(with_component(members, found, "id", "c"), found, "pivot", "cp").withColumn("stray", F.col("c") != F.col("cp")), f"{where}/placed")
-    opened = placed.groupBy("key").agg(F.max(F.col("stray").cast("int")).alias("open"), F.count("*").alias("n")).where("open = 1")
-    opened = stash(opened.select("key", "n"), f"{where}/open")
+    opened = placed.groupBy("key").agg(F.count_if("stray").alias("strays"), F.count("*").alias("n")).where("strays > 0")
+    opened = stash(opened, f"{where}/open")
     each = dealt(placed.select("key", "id", "c", "stray"), opened, "key", "id", opened, total, BUCKET_ROWS)
     table = F.array_position(keys, F.col("key")).cast("int") - 1
     each = each.join(classes.select("id", *cols), "id").withColumn("t", table).withColumn("signs", F.array(*cols)).drop(*cols).join(items, "id")
-    each = each.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # strays in blocks of their own meet blocks of all: few strays copy the others few times
+    parts = lambda count: F.ceil(F.col(count) / BLOCK).cast("int")
+    own = lambda count: F.pmod(F.xxhash64("id"), parts(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), parts(count) - 1))
     out = ["key", "t", "i", "j", "id", "c", "signs", "items"]
-    asks = each.where("stray").withColumn("i", own).withColumn("j", other).select(*out, F.lit(True).alias("asks"))
-    told = each.withColumn("j", own).withColumn("i", other).select(*out, F.lit(False).alias("asks"))
+    asks = each.where("stray").withColumn("i", own("strays")).withColumn("j", every("n")).select(*out, F.lit(True).alias("asks"))
+    told = each.withColumn("j", own("n")).withColumn("i", every("strays")).select(*out, F.lit(False).alias("asks"))
     rest = stash(asks.unionByName(told).groupBy("key", "t", "i", "j").applyInArrow(_across(percent), "a long, b long"), f"{where}/links2")
     if not rest.isEmpty():
         found = components(stars(found).unionByName(rest), f"{where}/parts2")
