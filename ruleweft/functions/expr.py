@@ -251,7 +251,8 @@ def _round(x: Typed, n: Typed | None = None) -> Typed:
         return Typed(F.round(x.col.cast("double"), 0), "number")
     scale = F.pow(F.lit(10.0), n.col)
     y = x.col.cast("double") * scale
-    return Typed(F.signum(y) * F.floor(F.abs(y) + 0.5) / scale, "number")
+    # what overflows has no digits to round
+    return Typed(F.when(F.abs(y) >= float("inf"), x.col.cast("double")).otherwise(F.signum(y) * F.round(F.abs(y), 0) / scale), "number")
 
 
 @function("abs", 1)

@@ -27,7 +27,7 @@ def dsl_arithmetic(spark, sf_dir):
     df = lineitem(spark, sf_dir)
     c = compiler(df)
     return df.select(
-        "fact_id", F.round(c("l_extendedprice / l_quantity"), 4).alias("unit_price"), c("l_linenumber / 2").alias("half"), c("div(l_linenumber, 2)").cast("bigint").alias("whole"), c("abs(l_quantity - 25)").alias("distance"),
+        "fact_id", c("round(l_extendedprice / l_quantity, 4)").alias("unit_price"), c("l_linenumber / 2").alias("half"), c("div(l_linenumber, 2)").cast("bigint").alias("whole"), c("abs(l_quantity - 25)").alias("distance"),
         c("abs(l_linenumber - 4)").cast("int").alias("steps"), c("l_discount == 0.05").alias("near"), c("l_discount + 0.01 > 0.05").alias("above"),
     )
 

@@ -53,6 +53,11 @@ def test_error_when_run(row, text):
         value(row, text)
 
 
+@pytest.mark.parametrize(("x", "n", "want"), [(0.49999999999999994, 0, 0.0), (273.78475, 4, 273.7847), (-3189.06375, 4, -3189.0637), (2.5, 0, 3.0), (1e16, 4, 1e16), (-1e300, 4, -1e300), (1e306, 4, 1e306), (math.inf, 2, math.inf), (None, 2, None)])
+def test_round_to_digits(spark, x, n, want):
+    assert value(spark.createDataFrame([(x,)], "x double"), f"round(x, {n})") == want
+
+
 def test_variables():
     assert variables(parse('if z > 1 then add(b, a) else [c, {k: d}][0] ++ "x"')) == ["a", "b", "c", "d", "z"]
 

@@ -41,3 +41,17 @@ def test_query(spark, con, name):
         want = con.execute(sql).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
+
+
+def test_rounding_at_ties(spark, tmp_path):
+    """A product just below a tie goes down as in SQL, and large or tiny quotients stay right."""
+    prices = [(31890.6375, 10.0), (1368.92375, 5.0), (0.00015, 2.0), (0.0000999999999999999, 2.0), (-7.00025, 2.0), (-31890.6375, 10.0), (1e16, 1.0), (-1e300, 1.0), (1e305, 1.0), (0.0, 3.0), (None, 1.0)]
+    df = pd.DataFrame(prices, columns=["l_extendedprice", "l_quantity"]).assign(l_discount=0.05)
+    df["l_orderkey"], df["l_linenumber"] = range(len(df)), pd.Series([1] * len(df), dtype="int32")
+    path = str(tmp_path / "lineitem.parquet")
+    df.to_parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}'")
+    prices = lambda rows: sorted((r[0], repr(r[1])) for r in rows)
+    got = catalogue.queries()["dsl_arithmetic"](spark, str(tmp_path)).select("fact_id", "unit_price").collect()
+    assert prices(got) == prices(con.execute(f"SELECT fact_id, unit_price FROM ({catalogue.oracle_sql()['dsl_arithmetic']})").fetchall())
